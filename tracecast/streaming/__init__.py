@@ -1,0 +1 @@
+"""The reference works on finished logs only: it has no stream, watermark or state operator to rebuild."""
