@@ -50,13 +50,15 @@ class SuffixModel:
 
 
 def fit(train: DataFrame, models: DataFrame, settings: Settings = Settings(), persist: bool = True) -> SuffixModel:
-    """Learns decision rules from ``(model_id, case_id, acts)`` on given trees.
+    """Learns decision rules on given trees from ``(model_id, case_id, acts)``, or from
+    variants already counted: ``(model_id, variant_id, acts, n_traces)``.
 
     Replay runs once per distinct variant. The rules are small and read by every
     prediction, so they are written out unless ``persist`` is off.
     """
     nodes = tree_nodes(models)
-    replayed = replay(variants(train, "model_id"), models)
+    counted = train if "n_traces" in train.columns else variants(train, "model_id")
+    replayed = replay(counted, models)
     rules = decision_table(decision_counts(footprint(replayed, nodes)), nodes)
     if persist:
         nodes, rules = materialize(nodes, "nodes"), materialize(rules, "rules")
