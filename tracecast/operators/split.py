@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tracecast.settings import Settings
@@ -14,23 +14,28 @@ from tracecast.settings import Settings
 _SMALL_SLICE = 1_000_000
 
 
+def _ranges(rows: DataFrame, column: str) -> list[Row]:
+    """``(n, lo, hi)`` of each range partition of a column, in order; one row per partition reaches the driver."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = (
+        rows.select(column)
+        .where(F.col(column).isNotNull())
+        .repartitionByRange(parts, column)
+        .groupBy(F.spark_partition_id().alias("part"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi"))
+        .collect()
+    )
+    return sorted(found, key=lambda r: r["lo"])
+
+
 def value_at_rank(rows: DataFrame, column: str, rank_of: Callable[[int], int]):
     """Exact value of ``column`` at 1-based rank ``rank_of(row count)``; None below rank 1.
 
-    Rows are range-partitioned and only (count, min, max) per range reach the driver.
     The range that holds the rank is narrowed until it is small enough to order.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select(column).where(F.col(column).isNotNull())
     rank = None
     while True:
-        ranges = (
-            rows.repartitionByRange(parts, column)
-            .groupBy(F.spark_partition_id().alias("part"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi"))
-            .collect()
-        )
-        ranges.sort(key=lambda r: r["lo"])
+        ranges = _ranges(rows, column)
         if rank is None:
             rank = rank_of(sum(r["n"] for r in ranges))
         if rank < 1 or not ranges:
@@ -45,7 +50,20 @@ def value_at_rank(rows: DataFrame, column: str, rank_of: Callable[[int], int]):
             return part["lo"]
         rows = rows.where(F.col(column).between(part["lo"], part["hi"]))
         if part["n"] <= _SMALL_SLICE:
-            return rows.orderBy(column).offset(rank - 1).limit(1).first()[0]
+            return rows.select(column).orderBy(column).offset(rank - 1).limit(1).first()[0]
+
+
+def enumerate_rows(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds the 0-based rank by a unique column: a window per range plus the rows before the range."""
+    ranges = _ranges(rows, column)
+    if not ranges:
+        return rows.withColumn(name, F.lit(None).cast("bigint"))
+    before = [sum(r["n"] for r in ranges[:i]) for i in range(len(ranges))]
+    lows = F.array(*[F.lit(r["lo"]) for r in ranges])
+    part = F.size(F.filter(lows, lambda lo: lo <= F.col(column)))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(column))
+    offset = F.element_at(F.array(*[F.lit(n).cast("bigint") for n in before]), F.col("part"))
+    return rows.withColumn("part", part).withColumn(name, offset + within - 1).drop("part")
 
 
 def train_cutoff(trace_rows: DataFrame):
@@ -65,7 +83,8 @@ def train_test_split(trace_rows: DataFrame) -> DataFrame:
 
 def validation_cases(train: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Case ids of the validation sample: exactly ``round(ratio * n)``, chosen by a seeded hash."""
-    keyed = train.select("case_id", F.xxhash64("case_id", F.lit(settings.seed)).alias("h"))
+    seeded = F.concat_ws(":", F.col("case_id").cast("string"), F.lit(str(settings.seed)))
+    keyed = train.select("case_id", F.md5(seeded).alias("h"))
     cutoff = value_at_rank(keyed, "h", lambda n: round(settings.ratio_validation * n))
     return keyed.where(F.lit(False) if cutoff is None else F.col("h") <= F.lit(cutoff)).select("case_id")
 
