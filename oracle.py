@@ -40,6 +40,10 @@ def _variants(source: str) -> str:
     return f"select acts, count(*) as n_traces, min(case_id) as variant_id, any_value(n) as n from {source} group by acts"
 
 
+def _long(*columns: str) -> str:
+    return ", ".join(f"cast({c} as bigint) as {c}" for c in columns)
+
+
 def _text(array: str) -> str:
     return f"array_to_string({array}, ',')"
 
@@ -183,7 +187,7 @@ def queries() -> dict[str, str]:
             select case_id, unnest(range(greatest(2, first_len), longest + 1)) as length, ngram
             from (select case_id, ngram, min(last) as first_len from grams group by 1, 2)
             cross join (select max(n) as longest from train)""",
-        "tree_table": lines + _NODES + "select * from nodes",
+        "tree_table": lines + _NODES + f"select model_id, type, shortname, {_long('node_id', 'parent_id', 'child_ix', 'depth')} from nodes",
         "tree_memberships": lines + _NODES + """
             select 'bag' as model_id, 'and_branch' as kind, n.shortname as node, '[And0]' as operator,
                    case when n.parent_id = 1 then 0 else n.child_ix end as detail
@@ -195,15 +199,17 @@ def queries() -> dict[str, str]:
             union all
             select 'flower', case when child_ix = 1 then 'loop_redo' else 'loop_exit' end, shortname, '[XorLoop0]', null
             from nodes where model_id = 'flower' and parent_id = 0 and child_ix > 0""",
-        "tree_lca": lines + _NODES + """
+        "tree_lca": lines + _NODES + f"""
+            select model_id, {_long('node_1', 'node_2', 'ancestor', 'level')} from (
             select a.model_id, a.node_id as node_1, b.node_id as node_2,
                    case when a.parent_id = 1 and b.parent_id = 1 then 1 else 0 end as ancestor,
                    case when a.parent_id = 1 and b.parent_id = 1 then 2 else 1 end as level
             from nodes a join nodes b on a.model_id = b.model_id and a.node_id < b.node_id
-            where a.type in ('task', 'tau') and b.type in ('task', 'tau')""",
-        "tree_branch_sizes": lines + _NODES + """
+            where a.type in ('task', 'tau') and b.type in ('task', 'tau'))""",
+        "tree_branch_sizes": lines + _NODES + f"""
+            select model_id, {_long('and_id', 'branch', 'n_nodes')} from (
             select 'bag' as model_id, 0 as and_id, 0 as branch, 3 as n_nodes
-            union all select 'bag', 0, ix - 2, 1 from labels where ix > 2""",
+            union all select 'bag', 0, ix - 2, 1 from labels where ix > 2)""",
         "model_alphabet": " union ".join(
             f"select '{name}' as model_id, cast({activity} as varchar) as activity from {table}"
             for name, (table, _, activity, _) in LOGS.items()
@@ -218,25 +224,29 @@ def queries() -> dict[str, str]:
             from steps cross join (select max(n_labels) as n_labels from labels)""",
         "visible_path": lines + _BAG + """
             select variant_id, string_agg(activity, ',' order by step) as path from played group by variant_id""",
-        "loop_counters": lines + _FLOWER + """
-            select variant_id, 5 + 5 * i as pos, 0 as operator, i + 1 as count from steps where i < n - 1""",
-        "and_steps": lines + _BAG + "select variant_id, 0 as operator, step, branch from played",
+        "loop_counters": lines + _FLOWER + f"""
+            select variant_id, {_long('pos', 'operator', 'count')} from (
+            select variant_id, 5 + 5 * i as pos, 0 as operator, i + 1 as count from steps where i < n - 1)""",
+        "and_steps": lines + _BAG + f"select variant_id, {_long('operator', 'step')}, branch from (select *, 0 as operator from played)",
         "footprint": lines + _FLOWER + """
             select variant_id, n_traces as weight, '[Xor1]' as operator, '[XorLoop0]{' || i || '}' as loop_ctx, activity as value from steps
             union all select variant_id, n_traces, '[XorLoop0]', '', cast(n - 1 as varchar) from v""",
-        "decision_table": events + _FLOWER + "select operator, loop_ctx, source, value, cnt from value_counts",
-        "xor_decisions": events + _FLOWER + """
+        "decision_table": events + _FLOWER + f"select operator, loop_ctx, source, value, {_long('cnt')} from value_counts",
+        "xor_decisions": events + _FLOWER + f"""
+            select loop_ctx, source, value, {_long('n')} from (
             select loop_ctx, source, value, n from (
                 select loop_ctx, source, value, sum(cnt) over (partition by loop_ctx, source) as n,
                        row_number() over (partition by loop_ctx, source order by cnt desc, value) as r
-                from value_counts where operator = '[Xor1]') where r = 1""",
-        "loop_decisions": events + _FLOWER + """
+                from value_counts where operator = '[Xor1]') where r = 1)""",
+        "loop_decisions": events + _FLOWER + f"""
+            select source, median, n, {_long('operator')} from (
             select 0 as operator, source, med - 1 as median, (select count(*) from train) as n
-            from usual cross join (select unnest(['pf+', 'pf']) as source)""",
-        "and_decisions": lines + _BAG + """
+            from usual cross join (select unnest(['pf+', 'pf']) as source))""",
+        "and_decisions": lines + _BAG + f"""
+            select ranked, {_long('operator', 'step', 'n')} from (
             select 0 as operator, step, string_agg(branch, ',' order by score desc, branch) as ranked, sum(cnt) as n
             from (select step, branch, sum(n_traces) as cnt, sum(n_traces) / case when branch = 0 then 3.0 else 1.0 end as score
-                  from played group by step, branch) group by step""",
+                  from played group by step, branch) group by step)""",
         "decision_lookup": lines + _FLOWER + """
             select case_id, case when m.i is not null then 'pf+' else 'pf' end as source, coalesce(m.activity, o.activity) as value
             from test t left join modes m on m.i = t.n
@@ -251,10 +261,11 @@ def queries() -> dict[str, str]:
         "prediction_lines": _scored_lines("events") + f"""
             select case_id, k as length, {_text('prefix')} as prefix, {_text('guessed')} as suffix_guessed,
                    {_text('suffix')} as suffix, dam as damerau_similarity, lev as levenshtein_similarity from scored""",
-        "decision_source_tally": lines + _FLOWER + """
+        "decision_source_tally": lines + _FLOWER + f"""
+            select source, {_long('n_decisions')} from (
             select s.source, case when s.source = 'pf+'
                 then (select sum(2 * (greatest(k, len) - k) + 1) from pre cross join usual) else 0 end as n_decisions
-            from (select unnest(['pf+', 'pf', 'first']) as source) s""",
+            from (select unnest(['pf+', 'pf', 'first']) as source) s)""",
         "describe_similarity": _scored_lines("lineitem") + """
             , m as (select avg(dam) as mu, count(*) as c from scored)
             select count(*) as nobs, round(min(dam), 6) as min, round(max(dam), 6) as max, round(avg(dam), 6) as mean,

@@ -67,6 +67,10 @@ def _parts(log: str, spark: SparkSession, folder: str) -> tuple[DataFrame, DataF
     return traces.trainable(parts.where("is_train")).drop("is_train"), parts.where("not is_train").drop("is_train")
 
 
+def _long(*columns: str) -> list:
+    return [F.col(c).cast("bigint").alias(c) for c in columns]
+
+
 def _text(column: str):
     return to_text(column, COMMA)
 
@@ -228,7 +232,7 @@ def discovered_tree_query(spark, folder):
 
 def tree_table_query(spark, folder):
     nodes = tree.tree_nodes(_fixed_models(spark, folder, "lineitem"))
-    return nodes.select("model_id", "node_id", "parent_id", "child_ix", "type", "shortname", "depth")
+    return nodes.select("model_id", "type", "shortname", *_long("node_id", "parent_id", "child_ix", "depth"))
 
 
 def tree_memberships_query(spark, folder):
@@ -236,12 +240,13 @@ def tree_memberships_query(spark, folder):
 
 
 def tree_lca_query(spark, folder):
-    return tree.lowest_common_ancestors(tree.tree_nodes(_fixed_models(spark, folder, "lineitem")))
+    pairs = tree.lowest_common_ancestors(tree.tree_nodes(_fixed_models(spark, folder, "lineitem")))
+    return pairs.select("model_id", *_long("node_1", "node_2", "ancestor", "level"))
 
 
 def tree_branch_sizes_query(spark, folder):
     return tree.branch_sizes(tree.tree_nodes(_fixed_models(spark, folder, "lineitem"))).select(
-        "model_id", "and_id", "branch", "n_nodes"
+        "model_id", *_long("and_id", "branch", "n_nodes")
     )
 
 
@@ -276,14 +281,14 @@ def visible_path_query(spark, folder):
 def loop_counters_query(spark, folder):
     replayed, nodes = _replayed(spark, folder, "flower")
     return footprint.counters(replayed, nodes).select(
-        "variant_id", F.col("pos").cast("bigint").alias("pos"), "operator", "count"
+        "variant_id", *_long("pos", "operator", "count")
     )
 
 
 def and_steps_query(spark, folder):
     replayed, nodes = _replayed(spark, folder, "bag")
     rows = footprint.footprint(replayed, nodes)
-    return rows.select("variant_id", "operator", "step", F.col("value").alias("branch"))
+    return rows.select("variant_id", *_long("operator", "step"), F.col("value").alias("branch"))
 
 
 def footprint_query(spark, folder):
@@ -309,13 +314,13 @@ def xor_decisions_query(spark, folder):
 
 def loop_decisions_query(spark, folder):
     counts, _ = _counts(spark, folder, "flower", "events")
-    return D.loop_decisions(counts).select("operator", "source", "median", "n")
+    return D.loop_decisions(counts).select(*_long("operator"), "source", "median", "n")
 
 
 def and_decisions_query(spark, folder):
     counts, nodes = _counts(spark, folder, "bag")
     rows = D.and_decisions(counts, nodes).where("source = 'pf+'")
-    return rows.select("operator", "step", F.array_join(F.col("ranked").cast("array<string>"), COMMA).alias("ranked"), "n")
+    return rows.select(*_long("operator", "step"), F.array_join(F.col("ranked").cast("array<string>"), COMMA).alias("ranked"), "n")
 
 
 def decision_lookup_query(spark, folder):
