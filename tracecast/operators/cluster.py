@@ -2,9 +2,9 @@
 
 A point is a distinct n-gram set. Points meet in *hubs*: the set itself, the set
 less one n-gram, its activity set, and that set less one activity. Sharing a hub of
-the second kind is the same as differing in at most two n-grams, so the connected
-components over hubs are the single-linkage components at that distance, found
-without comparing points. The four kinds of hub give four levels of a hierarchy.
+the second kind is the same as being one edit apart (one n-gram added, removed or
+exchanged), so the connected components over hubs are the single-linkage components
+at that distance, found without comparing points. The four kinds of hub give four levels of a hierarchy.
 
 For a minimum cluster size the hierarchy is condensed (components below the size
 are noise) and the clusters with the largest excess of mass are kept, never the
