@@ -100,9 +100,8 @@ def damerau_similarity(a: Column, b: Column) -> Column:
 
 def score_pairs(lines: DataFrame, guess: str = "suffix_guessed", truth: str = "suffix") -> DataFrame:
     """Adds both similarities to every line, computing each distinct pair once."""
-    pairs = lines.groupBy(guess, truth).agg(F.count(F.lit(1)).alias("n_lines"))
-    spread = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    scored = pairs.repartition(spread, guess, truth).select(
+    pairs = lines.select(guess, truth).distinct()
+    scored = pairs.select(
         guess,
         truth,
         damerau_similarity(F.col(guess), F.col(truth)).alias("damerau_similarity"),

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracecast.functions.sequences import ngrams
@@ -40,28 +40,49 @@ class Clustering:
 def feature_points(train: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Variants with their point: ``(variant_id, acts, n_traces, point, grams, activities)``."""
     distinct = variants(train).select("variant_id", "acts", "n_traces")
-    grams = F.array_sort(F.array_distinct(ngrams(F.col("acts"), settings.ngram_min, settings.ngram_max)))
-    return distinct.withColumns(
-        {"grams": grams, "activities": F.array_sort(F.array_distinct("acts"))}
-    ).withColumn("point", F.md5(F.to_json("grams")))
+    grams = F.array_distinct(ngrams(F.col("acts"), settings.ngram_min, settings.ngram_max))
+    return distinct.withColumns({"grams": grams, "activities": F.array_distinct("acts")}).withColumn(
+        "point", _set_key(_set_hash(F.col("grams")))
+    )
+
+
+def _item_hash(item: Column) -> Column:
+    """Two independent 64-bit hashes of a label."""
+    return F.struct(F.xxhash64(item).alias("x"), F.xxhash64(item, F.lit(1)).alias("y"))
+
+
+def _with(a: Column, b: Column) -> Column:
+    """Hash of a set with an item put in or, being its own inverse, taken out."""
+    return F.struct(a["x"].bitwiseXOR(b["x"]).alias("x"), a["y"].bitwiseXOR(b["y"]).alias("y"))
+
+
+def _set_hash(items: Column) -> Column:
+    empty = F.struct(F.lit(0).cast("bigint").alias("x"), F.lit(0).cast("bigint").alias("y"))
+    return F.aggregate(items, empty, lambda seen, item: _with(seen, _item_hash(item)))
+
+
+def _set_key(hashed: Column, prefix: str = "") -> Column:
+    return F.concat(F.lit(prefix), F.lpad(F.lower(F.hex(hashed["x"])), 16, "0"), F.lpad(F.lower(F.hex(hashed["y"])), 16, "0"))
 
 
 def hubs(points: DataFrame) -> DataFrame:
-    """``(point, weight, level, hub)``."""
+    """``(point, weight, level, hub)``; linear in the set sizes, as a set less one item is one step from its hash."""
 
-    def key(prefix: str, items: Column) -> Column:
-        return F.concat(F.lit(prefix), F.md5(F.to_json(items)))
+    def itself(prefix: str, hashed: Column) -> Column:
+        return F.array(_set_key(hashed, prefix))
 
-    def less_one(prefix: str, items: str) -> Column:
-        return F.transform(items, lambda x: key(prefix, F.filter(items, lambda y: y != x)))
+    def less_one(prefix: str, items: str, hashed: Column) -> Column:
+        return F.transform(items, lambda x: _set_key(_with(hashed, _item_hash(x)), prefix))
 
+    g, a = F.col("g_hash"), F.col("a_hash")
     levels = F.array(
-        F.array(key("g", F.col("grams"))),
-        F.concat(less_one("g", "grams"), F.array(key("g", F.col("grams")))),
-        F.array(key("a", F.col("activities"))),
-        F.concat(less_one("a", "activities"), F.array(key("a", F.col("activities")))),
+        itself("g", g),
+        F.concat(less_one("g", "grams", g), itself("g", g)),
+        itself("a", a),
+        F.concat(less_one("a", "activities", a), itself("a", a)),
     )
-    return points.select("point", "weight", F.posexplode(levels).alias("level", "hs")).select(
+    hashed = points.withColumns({"g_hash": _set_hash(F.col("grams")), "a_hash": _set_hash(F.col("activities"))})
+    return hashed.select("point", "weight", F.posexplode(levels).alias("level", "hs")).select(
         "point", "weight", "level", F.explode("hs").alias("hub")
     )
 
@@ -69,24 +90,37 @@ def hubs(points: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of a node-hub graph; a component is named by its smallest node.
 
-    Each round passes the smallest name through the hubs, then jumps to the name's
-    own name, which halves the distance to the root. Every round is a written table.
+    Each round joins every node to the smallest node it shares a hub with, follows
+    those links twice, and contracts the graph to the nodes joined to. Hubs left with
+    one node drop out, so at least half of the remaining nodes go in every round.
     """
-    labels = materialize(edges.select("node", F.col("node").alias("component")).distinct(), "components")
+    links, rounds = edges, []
     while True:
-        by_hub = edges.join(labels, "node").groupBy("hub").agg(F.min("component").alias("component"))
-        heard = edges.join(by_hub, "hub").groupBy("node").agg(F.min("component").alias("heard"))
-        lower = labels.join(heard, "node").select("node", "component", "heard")
-        roots = lower.select(F.col("node").alias("heard"), F.col("heard").alias("jump"))
-        passed = materialize(
-            lower.join(roots, "heard").select(
-                "node", F.col("jump").alias("component"), (F.col("component") != F.col("jump")).alias("moved")
-            ),
+        shared = links.groupBy("hub").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+        lowest = materialize(
+            links.join(shared, "hub").groupBy("node").agg(F.min("lo").alias("to")), "components"
+        )
+        if lowest.isEmpty():
+            break
+        merged = materialize(_follow(_follow(lowest)), "components")
+        rounds.append(merged)
+        # A node without a shared hub is finished; the others go on under their new names.
+        links = materialize(
+            links.join(shared.select("hub"), "hub", "left_semi").join(merged, "node")
+            .select(F.col("to").alias("node"), "hub").distinct(),
             "components",
         )
-        labels = passed.select("node", "component")
-        if passed.where("moved").isEmpty():
-            return labels
+    labels = edges.select("node", F.col("node").alias("component")).distinct()
+    for merged in rounds:
+        renamed = merged.select(F.col("node").alias("component"), "to")
+        labels = labels.join(renamed, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return labels
+
+
+def _follow(steps: DataFrame) -> DataFrame:
+    """Replaces every target by its own target."""
+    onward = steps.select(F.col("node").alias("to"), F.col("to").alias("onward"))
+    return steps.join(onward, "to").select("node", F.col("onward").alias("to"))
 
 
 def hierarchy(points: DataFrame, hub_rows: DataFrame) -> DataFrame:
@@ -166,23 +200,19 @@ def soft_membership(hub_rows: DataFrame, labels: DataFrame) -> DataFrame:
     votes = held.groupBy("candidate", "level", "hub").agg(
         F.min_by("cluster_id", F.struct(-F.col("held"), "cluster_id")).alias("cluster_id")
     )
-    cast = hub_rows.join(votes, ["level", "hub"]).groupBy("candidate", "point", "level", "cluster_id").agg(
-        F.count(F.lit(1)).alias("n")
+    # All further grouping is by point within a candidate: one shuffle serves it.
+    cast = (
+        hub_rows.join(votes, ["level", "hub"])
+        .repartition("candidate", "point")
+        .groupBy("candidate", "point", "level", "cluster_id")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
     density = F.element_at(F.array(*[F.lit(d) for d in LEVEL_DENSITY]), F.col("level") + 1)
-    # Share of each cluster per level, then over the levels that voted at all.
-    per_level = cast.groupBy("candidate", "point", "level").agg(
-        F.sum("n").alias("total"), F.collect_list(F.struct("cluster_id", "n")).alias("votes")
-    )
-    shares = per_level.select(
-        "candidate", "point", density.alias("d"), "total", F.explode("votes").alias("v")
-    ).select("candidate", "point", "d", F.col("v.cluster_id").alias("cluster_id"), (F.col("v.n") / F.col("total") * F.col("d")).alias("s"))
-    by_point = per_level.groupBy("candidate", "point").agg(F.sum(density).alias("all_d"))
-    return (
-        shares.groupBy("candidate", "point", "cluster_id").agg(F.sum("s").alias("s"))
-        .join(by_point, ["candidate", "point"])
-        .select("candidate", "point", "cluster_id", (F.col("s") / F.col("all_d")).alias("prob"))
-    )
+    in_level = F.sum("n").over(Window.partitionBy("candidate", "point", "level"))
+    shares = cast.withColumn("s", F.col("n") / in_level * density)
+    by_cluster = shares.groupBy("candidate", "point", "cluster_id").agg(F.sum("s").alias("s"))
+    of_point = F.sum("s").over(Window.partitionBy("candidate", "point"))
+    return by_cluster.select("candidate", "point", "cluster_id", (F.col("s") / of_point).alias("prob"))
 
 
 def cluster_traces(train: DataFrame, settings: Settings = Settings()) -> Clustering:

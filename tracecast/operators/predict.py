@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracecast.operators.net import net
 from tracecast.settings import Settings
+from tracecast.storage import materialize
 
 _GUESS_SCHEMA = (
     "model_id string, state string, suffix_guessed array<string>, n_pf_plus int, n_pf int, n_first int"
@@ -39,8 +40,12 @@ def continue_states(states: DataFrame, models: DataFrame, table: DataFrame, sett
     split over as many groups as its count asks for, each with a copy of the rules.
     """
     distinct = states.select("model_id", "state").distinct()
-    groups = distinct.groupBy("model_id").agg(
-        F.ceil(F.count(F.lit(1)) / settings.states_per_group).cast("int").alias("n_groups")
+    # One row per model, written so that its size decides how it is joined to the states.
+    groups = materialize(
+        distinct.groupBy("model_id").agg(
+            F.ceil(F.count(F.lit(1)) / settings.states_per_group).cast("int").alias("n_groups")
+        ),
+        "state-groups",
     )
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = distinct.join(groups, "model_id").select(

@@ -17,11 +17,6 @@ def _fields(columns: str, rows: DataFrame) -> str:
     return ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns.split())
 
 
-def _spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """Even partitions for the Python stage, whose cost is not visible in bytes."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
 def _replay_complete(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         fired_all, skipped_all = [], []
@@ -46,7 +41,7 @@ def replay(variant_rows: DataFrame, models: DataFrame) -> DataFrame:
     transitions, silent and unobserved ones included; an activity the model cannot
     play is skipped whole and counted.
     """
-    rows = _spread(variant_rows, "model_id", "variant_id").join(models.select("model_id", "tree"), "model_id")
+    rows = variant_rows.join(models.select("model_id", "tree"), "model_id")
     schema = _fields("model_id variant_id n_traces", variant_rows) + ", " + _FIRED
     return rows.select("model_id", "variant_id", "n_traces", "acts", "tree").mapInPandas(_replay_complete, schema)
 
@@ -83,7 +78,7 @@ def prefix_states(sequences: DataFrame, models: DataFrame) -> DataFrame:
     prefix of a sequence, so the cost is linear in its length. ``state`` is the marking
     and the operator counters; equal states have equal continuations.
     """
-    rows = _spread(sequences, "model_id", "variant_id").join(models.select("model_id", "tree"), "model_id")
+    rows = sequences.join(models.select("model_id", "tree"), "model_id")
     schema = _fields("model_id variant_id", sequences) + ", states array<struct<length: int, state: string>>"
     return (
         rows.select("model_id", "variant_id", "acts", "lengths", "tree")

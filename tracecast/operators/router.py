@@ -29,8 +29,8 @@ def train_router(labelled: DataFrame, max_len: int, settings: Settings = Setting
     vocab = grams.select("ngram").distinct()
     members = labelled.select("candidate", "cluster_id", "variant_id", "n_traces")
     sizes = members.groupBy("candidate", "cluster_id").agg(F.sum("n_traces").alias("size"))
-    total = Window.partitionBy("candidate")
-    sizes = sizes.withColumn("prior", F.log(F.col("size") / F.sum("size").over(total)))
+    totals = sizes.groupBy("candidate").agg(F.sum("size").alias("all"))
+    sizes = sizes.join(totals, "candidate").withColumn("prior", F.log(F.col("size") / F.col("all"))).drop("all")
     seen_at = (
         grams.withColumn("first_len", F.greatest(F.lit(2), "first_len"))
         .join(members, "variant_id")

@@ -61,9 +61,11 @@ def _traces(log: str, spark: SparkSession, folder: str) -> DataFrame:
     return traces.traces(LOGS[log](spark, folder))
 
 
-def _parts(log: str, spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Training traces and test traces."""
+def _parts(log: str, spark: SparkSession, folder: str, write: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Training traces and test traces; written first where several jobs read them."""
     parts = split.train_test_split(_traces(log, spark, folder))
+    if write:
+        parts = materialize(parts, "traces")
     return traces.trainable(parts.where("is_train")).drop("is_train"), parts.where("not is_train").drop("is_train")
 
 
@@ -166,7 +168,7 @@ def xes_roundtrip_query(spark, folder):
 
 def _halves(spark, folder):
     rows = traces.prefixes(_parts("lineitem", spark, folder)[1])
-    return rows.repartition("case_id").select("case_id", F.col("length").cast("bigint").alias("length"), "prefix", "suffix")
+    return rows.select("case_id", F.col("length").cast("bigint").alias("length"), "prefix", "suffix")
 
 
 def levenshtein_similarity_query(spark, folder):
@@ -325,7 +327,7 @@ def and_decisions_query(spark, folder):
 
 def decision_lookup_query(spark, folder):
     counts, nodes = _counts(spark, folder, "flower")
-    table = D.decision_table(counts, nodes)
+    table = D.decision_table(materialize(counts, "decision-counts"), nodes)
     asked = _parts("lineitem", spark, folder)[1].select(
         "case_id", F.lit("flower").alias("model_id"), F.lit(1).alias("operator"), F.lit("Xor").alias("kind"),
         F.lit(None).cast("int").alias("step"), F.concat(F.lit("[XorLoop0]{"), F.size("acts"), F.lit("}")).alias("loop_ctx"),
@@ -339,13 +341,13 @@ def decision_lookup_query(spark, folder):
 def _flower_model(spark, folder, log: str):
     acts = A.labels(LOGS[log](spark, folder))
     models = trees.models_from(spark, {MAIN: A.flower(acts)})
-    train, test = _parts(log, spark, folder)
+    train, test = _parts(log, spark, folder, write=True)
     return suffix_model.fit(train.withColumn("model_id", F.lit(MAIN)), models), train, test
 
 
 def predicted_suffixes_query(spark, folder):
     model, _, test = _flower_model(spark, folder, "lineitem")
-    distinct = traces.variants(test).where(F.size("acts") >= 3)
+    distinct = suffix_model.distinct_sequences(test)
     guessed = model.predict(
         distinct.select(F.lit(MAIN).alias("model_id"), "variant_id", "acts", F.sequence(F.lit(2), F.size("acts") - 1).alias("lengths"))
     )
@@ -395,7 +397,7 @@ def run_report_query(spark, folder):
 
 def discovered_lines(spark, folder, log: str = "conversations") -> DataFrame:
     """Prediction lines of the unclustered run on the tree discovered from the training log."""
-    train, test = _parts(log, spark, folder)
+    train, test = _parts(log, spark, folder, write=True)
     keyed = train.withColumn("model_id", F.lit(MAIN))
     models = materialize(discover(traces.variants(keyed, "model_id")), "models")
     return suffix_model.prediction_lines(test, suffix_model.fit(keyed, models))
@@ -412,10 +414,10 @@ def discovered_predictions_query(spark, folder):
 @lru_cache(maxsize=8)
 def _clustered(app: str, folder: str, log: str):
     spark = SparkSession.getActiveSession()
-    train, test = _parts(log, spark, folder)
+    train, test = _parts(log, spark, folder, write=True)
     train, validation = split.cut_validation(train)
     train, validation = materialize(train, "train"), materialize(validation, "validation")
-    return clustered.fit_clustered(train), validation, materialize(test, "test")
+    return clustered.fit_clustered(train), validation, test
 
 
 def _fitted(spark, folder, log: str = "conversations"):

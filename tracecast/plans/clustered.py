@@ -11,8 +11,8 @@ from tracecast.functions.similarity import score_pairs
 from tracecast.operators import cluster as C
 from tracecast.operators.discover import discover
 from tracecast.operators.router import Router, route, train_router
-from tracecast.operators.traces import suffix_of, trainable, variants
-from tracecast.plans.suffix_model import MAIN, SuffixModel, case_lines, fit, variant_lines
+from tracecast.operators.traces import suffix_of, variants
+from tracecast.plans.suffix_model import MAIN, SuffixModel, case_lines, distinct_sequences, fit, variant_lines
 from tracecast.settings import Settings
 from tracecast.storage import materialize
 
@@ -59,9 +59,9 @@ def fit_clustered(train: DataFrame, settings: Settings = Settings()) -> Clustere
     return ClusteredModel(clustering, chosen, model, router, settings)
 
 
-def routed_lines(traces: DataFrame, fitted: ClusteredModel, candidate: int | None = None) -> DataFrame:
+def routed_lines(distinct: DataFrame, fitted: ClusteredModel, candidate: int | None = None) -> DataFrame:
     """Scored predictions per candidate, distinct sequence and length; one candidate only when given."""
-    distinct = variants(trainable(traces)).where(F.size("acts") >= 3).select("variant_id", "acts", "n_traces")
+    distinct = distinct.select("variant_id", "acts", "n_traces")
     routed = route(distinct.select("variant_id", "acts"), fitted.router, fitted.settings)
     if candidate is not None:
         routed = routed.where(F.col("candidate") == candidate)
@@ -76,12 +76,12 @@ def routed_lines(traces: DataFrame, fitted: ClusteredModel, candidate: int | Non
         .join(routed, ["model_id", "variant_id", "length"])
         .join(distinct, "variant_id")
     )
-    return score_pairs(guessed.withColumn("suffix", suffix_of("acts", "length")))
+    return score_pairs(materialize(guessed.withColumn("suffix", suffix_of("acts", "length")), "guessed"))
 
 
 def candidate_scores(validation: DataFrame, fitted: ClusteredModel) -> DataFrame:
     """Mean similarity per candidate over the validation prefixes."""
-    lines = routed_lines(validation, fitted)
+    lines = routed_lines(distinct_sequences(validation), fitted)
     weighted = F.sum(F.col("damerau_similarity") * F.col("n_traces")) / F.sum("n_traces")
     return lines.groupBy("candidate").agg(weighted.alias("score"), F.sum("n_traces").alias("n_prefixes"))
 
@@ -93,11 +93,12 @@ def best_candidate(scores: DataFrame) -> DataFrame:
 
 def clustered_lines(test: DataFrame, validation: DataFrame, fitted: ClusteredModel) -> DataFrame:
     """Prediction lines of the test cases on the chosen candidate's models."""
+    distinct = distinct_sequences(test)
     if fitted.router is None:
-        lines = variant_lines(test, fitted.model).withColumn("candidate", F.lit(0))
+        lines = variant_lines(distinct, fitted.model).withColumn("candidate", F.lit(0))
     else:
         best = best_candidate(candidate_scores(validation, fitted)).first()["candidate"]
         if best is None:  # no validation prefix: the finest granularity that has clusters
             best = fitted.chosen.agg(F.min("candidate")).first()[0]
-        lines = routed_lines(test, fitted, best)
-    return case_lines(test, lines)
+        lines = routed_lines(distinct, fitted, best)
+    return case_lines(test, distinct, lines)

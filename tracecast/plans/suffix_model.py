@@ -14,7 +14,7 @@ from tracecast.operators.decisions import decision_counts, decision_table
 from tracecast.operators.footprint import footprint
 from tracecast.operators.predict import continue_states
 from tracecast.operators.replay import prefix_states, replay
-from tracecast.operators.traces import prefix_lengths, suffix_of, trainable, variants
+from tracecast.operators.traces import suffix_of, trainable, variants
 from tracecast.operators.tree import tree_nodes
 from tracecast.settings import Settings
 from tracecast.storage import materialize
@@ -36,7 +36,7 @@ class SuffixModel:
 
         Returns ``(model_id, variant_id, length, suffix_guessed, n_pf_plus, n_pf, n_first)``.
         """
-        states = prefix_states(sequences, self.models)
+        states = materialize(prefix_states(sequences, self.models), "states")
         guesses = continue_states(states, self.models, self.rules, self.settings)
         return states.join(guesses, ["model_id", "state"]).drop("state")
 
@@ -49,55 +49,55 @@ class SuffixModel:
         return self.predict(row).first()["suffix_guessed"]
 
 
-def fit(train: DataFrame, models: DataFrame, settings: Settings = Settings(), persist: bool = True) -> SuffixModel:
+def fit(train: DataFrame, models: DataFrame, settings: Settings = Settings()) -> SuffixModel:
     """Learns decision rules on given trees from ``(model_id, case_id, acts)``, or from
     variants already counted: ``(model_id, variant_id, acts, n_traces)``.
 
-    Replay runs once per distinct variant. The rules are small and read by every
-    prediction, so they are written out unless ``persist`` is off.
+    Replay runs once per distinct variant. What it leaves behind, the decision counts
+    and the rules, is small and read often, so it is written out.
     """
-    nodes = tree_nodes(models)
+    nodes = materialize(tree_nodes(models), "nodes")
     counted = train if "n_traces" in train.columns else variants(train, "model_id")
-    replayed = replay(counted, models)
-    rules = decision_table(decision_counts(footprint(replayed, nodes)), nodes)
-    if persist:
-        nodes, rules = materialize(nodes, "nodes"), materialize(rules, "rules")
-    return SuffixModel(models, nodes, rules, settings)
+    counts = materialize(decision_counts(footprint(replay(counted, models), nodes)), "decision-counts")
+    return SuffixModel(models, nodes, materialize(decision_table(counts, nodes), "rules"), settings)
 
 
-def variant_lines(test: DataFrame, model: SuffixModel, model_id: str = MAIN) -> DataFrame:
-    """Predictions per distinct test sequence and length, both similarities included."""
-    distinct = variants(trainable(test)).where(F.size("acts") >= 3)
+def distinct_sequences(test: DataFrame) -> DataFrame:
+    """Written table of the sequences that have a prefix to predict from."""
+    return materialize(variants(trainable(test)).where(F.size("acts") >= 3), "sequences")
+
+
+def variant_lines(distinct: DataFrame, model: SuffixModel, model_id: str = MAIN) -> DataFrame:
+    """Predictions per distinct sequence and length, both similarities included."""
     sequences = distinct.select(
         F.lit(model_id).alias("model_id"), "variant_id", "acts", F.sequence(F.lit(2), F.size("acts") - 1).alias("lengths")
     )
     guessed = model.predict(sequences).join(distinct.select("variant_id", "acts"), "variant_id")
-    return score_pairs(guessed.withColumn("suffix", suffix_of("acts", "length")))
+    return score_pairs(materialize(guessed.withColumn("suffix", suffix_of("acts", "length")), "guessed"))
 
 
 def prediction_lines(test: DataFrame, model: SuffixModel, model_id: str = MAIN, candidate: int = 0) -> DataFrame:
     """One line per test prefix of every case."""
-    scored = variant_lines(test, model, model_id)
-    return case_lines(test, scored.withColumn("candidate", F.lit(candidate)))
+    distinct = distinct_sequences(test)
+    scored = variant_lines(distinct, model, model_id)
+    return case_lines(test, distinct, scored.withColumn("candidate", F.lit(candidate)))
 
 
-def case_lines(test: DataFrame, scored: DataFrame) -> DataFrame:
+def case_lines(test: DataFrame, distinct: DataFrame, scored: DataFrame) -> DataFrame:
     """Gives every case the lines of its sequence."""
-    return (
-        prefix_lengths(test)
-        .join(scored, ["acts", "length"])
-        .select(
-            "case_id",
-            "length",
-            F.slice("acts", 1, F.col("length")).alias("prefix"),
-            to_text(F.slice("acts", 1, F.col("length"))).alias("prefix_text"),
-            "suffix_guessed",
-            "suffix",
-            "damerau_similarity",
-            "levenshtein_similarity",
-            "candidate",
-            "n_pf_plus",
-            "n_pf",
-            "n_first",
-        )
+    cases = test.join(distinct.select("variant_id", "acts"), "acts").select("case_id", "variant_id")
+    prefix = F.slice("acts", 1, F.col("length"))
+    return cases.join(scored, "variant_id").select(
+        "case_id",
+        "length",
+        prefix.alias("prefix"),
+        to_text(prefix).alias("prefix_text"),
+        "suffix_guessed",
+        "suffix",
+        "damerau_similarity",
+        "levenshtein_similarity",
+        "candidate",
+        "n_pf_plus",
+        "n_pf",
+        "n_first",
     )

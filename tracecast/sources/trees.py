@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -22,8 +23,11 @@ MODEL_SCHEMA = T.StructType([
 
 
 def models_from(spark: SparkSession, trees: dict[str, object]) -> DataFrame:
-    """Model table from trees known to the driver, e.g. ``{"m": ["Seq", "a", "b"]}``."""
-    rows = [(model_id, json.dumps(tree)) for model_id, tree in trees.items()]
+    """Model table from trees known to the driver, e.g. ``{"m": ["Seq", "a", "b"]}``.
+
+    Built from an Arrow table, so Catalyst knows its size and broadcasts it if small.
+    """
+    rows = pa.table({"model_id": list(trees), "tree": [json.dumps(t) for t in trees.values()]})
     return spark.createDataFrame(rows, MODEL_SCHEMA)
 
 
