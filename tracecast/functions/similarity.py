@@ -13,7 +13,7 @@ from pyspark.sql.functions import pandas_udf
 _FIRST_CODE = 0x100
 _CODES = 0xD800 - _FIRST_CODE
 #: Pairs compared in one vectorised pass.
-_CHUNK = 512
+_CHUNK = 1024
 
 
 def _or_blank(acts: Column) -> Column:
@@ -34,13 +34,14 @@ def _encode(acts: Column, alphabet: Column) -> Column:
 def levenshtein_similarity(a: Column, b: Column) -> Column:
     """``1 - distance / longer length``; stays in the JVM."""
     a, b = _or_blank(a), _or_blank(b)
-    alphabet = F.array_distinct(F.concat(a, b))
-    fits = F.size(alphabet) < _CODES
-    distance = F.levenshtein(_encode(a, alphabet), _encode(b, alphabet))
-    similarity = 1.0 - distance / F.greatest(F.size(a), F.size(b))
-    return F.when(fits, similarity).otherwise(
-        F.raise_error(F.lit("more distinct labels in one pair than character codes")).cast("double")
-    )
+
+    def similarity(alphabet: Column) -> Column:
+        distance = F.levenshtein(_encode(a, alphabet), _encode(b, alphabet))
+        too_many = F.raise_error(F.lit("more distinct labels in one pair than character codes")).cast("double")
+        return F.when(F.size(alphabet) < _CODES, 1.0 - distance / F.greatest(F.size(a), F.size(b))).otherwise(too_many)
+
+    # Bound to a lambda variable, the alphabet is built once per pair instead of once per label.
+    return F.get(F.transform(F.array(F.array_distinct(F.concat(a, b))), similarity), F.lit(0))
 
 
 def _padded(codes: list[np.ndarray], fill: int) -> np.ndarray:

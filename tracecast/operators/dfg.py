@@ -27,7 +27,7 @@ def start_end_activities(variant_rows: DataFrame, *keys: str) -> DataFrame:
     """``(activity, n_start, n_end)``."""
     ends = F.array(
         F.struct(F.get("acts", F.lit(0)).alias("activity"), F.lit(1).alias("s"), F.lit(0).alias("e")),
-        F.struct(F.element_at("acts", -1).alias("activity"), F.lit(0).alias("s"), F.lit(1).alias("e")),
+        F.struct(F.try_element_at("acts", F.lit(-1)).alias("activity"), F.lit(0).alias("s"), F.lit(1).alias("e")),
     )
     return (
         variant_rows.where(F.size("acts") > 0)

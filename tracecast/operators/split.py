@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable
 
@@ -53,17 +54,25 @@ def value_at_rank(rows: DataFrame, column: str, rank_of: Callable[[int], int]):
             return rows.select(column).orderBy(column).offset(rank - 1).limit(1).first()[0]
 
 
+def _range_index(column: str, lows: list) -> Column:
+    """0-based index of the range a value falls in; two short scans instead of one over all ranges."""
+    step = math.isqrt(len(lows) - 1) + 1
+    up_to = lambda bounds: F.size(F.filter(bounds, lambda lo: lo <= F.col(column))) - 1
+    block = up_to(F.array(*[F.lit(lo) for lo in lows[::step]]))
+    blocks = F.array(*[F.array(*[F.lit(lo) for lo in lows[i : i + step]]) for i in range(0, len(lows), step)])
+    return block * step + up_to(F.get(blocks, block))
+
+
 def enumerate_rows(rows: DataFrame, column: str, name: str) -> DataFrame:
     """Adds the 0-based rank by a unique column: a window per range plus the rows before the range."""
     ranges = _ranges(rows, column)
     if not ranges:
         return rows.withColumn(name, F.lit(None).cast("bigint"))
-    before = [sum(r["n"] for r in ranges[:i]) for i in range(len(ranges))]
-    lows = F.array(*[F.lit(r["lo"]) for r in ranges])
-    part = F.size(F.filter(lows, lambda lo: lo <= F.col(column)))
+    before = [0, *itertools.accumulate(r["n"] for r in ranges[:-1])]
+    offset = F.get(F.array(*[F.lit(n).cast("bigint") for n in before]), F.col("part"))
     within = F.row_number().over(Window.partitionBy("part").orderBy(column))
-    offset = F.element_at(F.array(*[F.lit(n).cast("bigint") for n in before]), F.col("part"))
-    return rows.withColumn("part", part).withColumn(name, offset + within - 1).drop("part")
+    ranked = rows.withColumn("part", _range_index(column, [r["lo"] for r in ranges]))
+    return ranked.withColumn(name, offset + within - 1).drop("part")
 
 
 def train_cutoff(trace_rows: DataFrame):

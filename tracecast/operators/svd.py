@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracecast.settings import Settings
+from tracecast.storage import materialize
 
 
 def svd_basis(features: DataFrame, key: str = "case_id", settings: Settings = Settings()) -> DataFrame | None:
@@ -26,8 +27,10 @@ def svd_basis(features: DataFrame, key: str = "case_id", settings: Settings = Se
     names, k = model.vocabulary, settings.svd_components
     if k >= len(names):
         return None
-    vectors = MLUtils.convertVectorColumnsFromML(model.transform(rows).select("x"), "x")
-    v = RowMatrix(vectors.rdd.map(lambda r: r[0]), numCols=len(names)).computeSVD(k).V.toArray()
+    # The solver passes over the rows many times.
+    vectors = materialize(model.transform(rows).select("x"), "vectors")
+    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "x"), numCols=len(names))
+    v = matrix.computeSVD(k).V.toArray()
     v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])  # one sign per axis
     schema = T.StructType([T.StructField("ngram", T.StringType()), T.StructField("axis", VectorUDT())])
     spark = features.sparkSession

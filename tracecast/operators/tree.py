@@ -130,7 +130,7 @@ def loop_dependents(nodes: DataFrame) -> DataFrame:
 
 
 def parent_type() -> Column:
-    return F.element_at("above", -1)["type"]
+    return F.try_element_at("above", F.lit(-1))["type"]
 
 
 def _child_entries(nodes: DataFrame, which: Column) -> DataFrame:

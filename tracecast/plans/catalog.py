@@ -25,7 +25,7 @@ from tracecast.settings import Settings
 from tracecast.ship import ship
 from tracecast.sources import trees, xes
 from tracecast.sources.eventlog import event_log
-from tracecast.storage import materialize, work_dir
+from tracecast.storage import materialize, new_path
 
 COMMA = ","
 
@@ -157,9 +157,7 @@ def xes_export_query(spark, folder):
 
 
 def xes_roundtrip_query(spark, folder):
-    import uuid
-
-    path = f"{work_dir(spark)}/xes-{uuid.uuid4().hex}"
+    path = new_path(spark, "xes")
     xes.write_xes(_traces("lineitem", spark, folder), path)
     return xes.read_xes(spark, path).select("trace_name", _text("acts").alias("trace"))
 

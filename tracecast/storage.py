@@ -8,11 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _DIR = "spark.checkpoint.dir"
+_written: dict[str, list[str]] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
     """Shared folder named by ``spark.checkpoint.dir``; a local session without one gets its own."""
-    folder = spark.conf.get(_DIR, None) or spark.sparkContext.getConf().get(_DIR, None)
+    folder = spark.conf.get(_DIR, None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
@@ -29,7 +30,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     strategy by its real size.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """Unused path in the shared folder, remembered for :func:`release`."""
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables this application has written here; results still built on them end."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        location = spark._jvm.org.apache.hadoop.fs.Path(path)
+        location.getFileSystem(hadoop).delete(location, True)
