@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tracecast.operators.ngrams import first_lengths
 from tracecast.settings import Settings
+from tracecast.storage import materialize
 
 
 class Router:
@@ -72,41 +73,56 @@ def train_router(labelled: DataFrame, max_len: int, settings: Settings = Setting
 def route(sequences: DataFrame, router: Router, settings: Settings = Settings()) -> DataFrame:
     """``(candidate, variant_id, length, cluster_id)`` for every prefix of ``(variant_id, acts)``.
 
-    Lengths beyond the longest trained one use its classifier. An n-gram a cluster has
-    seen only raises its score, so besides the clusters that share an n-gram with the
-    prefix only the best one of the bare biases can win.
+    Lengths beyond the longest trained one use its classifier. Prefixes of one
+    classifier with equal n-gram sets are scored once.
     """
     grams = first_lengths(sequences, "variant_id", settings).join(router.vocab, "ngram", "left_semi")
     lengths = F.explode(F.sequence(F.lit(2), F.size("acts") - 1)).alias("length")
     prefixes = sequences.where(F.size("acts") >= 3).select("variant_id", lengths)
     held = prefixes.join(grams.select("variant_id", "ngram", "first_len"), "variant_id").where("first_len <= length")
-    known = F.least("length", F.lit(router.max_len)).alias("classifier")
-    counts = (
-        prefixes.join(held.groupBy("variant_id", "length").agg(F.count(F.lit(1)).alias("n")), ["variant_id", "length"], "left")
-        .select("variant_id", "length", known, F.coalesce("n", F.lit(0)).alias("n"))
+    # Order-free hash of the n-gram set.
+    sets = held.groupBy("variant_id", "length").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("ngram")).alias("x"), F.bit_xor(F.xxhash64("ngram", F.lit(1))).alias("y")
     )
-    bases = router.bases.withColumnRenamed("length", "classifier")
-    shared = (
-        held.select("variant_id", "length", "ngram", known)
-        .join(router.weights.withColumnRenamed("length", "classifier"), ["classifier", "ngram"])
-        .groupBy("candidate", "variant_id", "length", "classifier", "cluster_id")
-        .agg(F.sum("weight").alias("gain"))
+    key = ["classifier", "n", "x", "y"]
+    keyed = materialize(
+        prefixes.join(sets, ["variant_id", "length"], "left").select(
+            "variant_id", "length", F.least("length", F.lit(router.max_len)).alias("classifier"),
+            *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "x", "y")],
+        ),
+        "prefix-sets",
     )
+    first = keyed.groupBy(*key).agg(F.min(F.struct("variant_id", "length")).alias("p"))
+    asked = first.select(*key, "p.variant_id", "p.length")
+    best = _best_cluster(asked.select(*key), asked.join(held, ["variant_id", "length"]).select(*key, "ngram"), router)
+    return keyed.join(best, key).select("candidate", "variant_id", "length", "cluster_id")
+
+
+def _best_cluster(asked: DataFrame, held: DataFrame, router: Router) -> DataFrame:
+    """Best cluster per candidate and distinct prefix.
+
+    An n-gram a cluster has seen only raises its score, so besides the clusters that
+    share an n-gram with the prefix only the best one of the bare biases can win.
+    """
+    key = ["classifier", "n", "x", "y"]
+    bases = router.bases.withColumnRenamed("length", "classifier")
+    bare_score = F.col("bias") + F.col("n") * F.col("unseen")
     overlapping = (
-        shared.join(bases, ["candidate", "classifier", "cluster_id"])
-        .join(counts, ["variant_id", "length", "classifier"])
-        .select("candidate", "variant_id", "length", "cluster_id", (F.col("bias") + F.col("n") * F.col("unseen") + F.col("gain")).alias("score"))
+        held.join(router.weights.withColumnRenamed("length", "classifier"), ["classifier", "ngram"])
+        .groupBy("candidate", "cluster_id", *key)
+        .agg(F.sum("weight").alias("gain"))
+        .join(bases, ["candidate", "classifier", "cluster_id"])
+        .select("candidate", "cluster_id", *key, (bare_score + F.col("gain")).alias("score"))
     )
-    bare_kinds = counts.select("classifier", "n").distinct()
     bare = (
-        bare_kinds.join(bases, "classifier")
-        .withColumn("score", F.col("bias") + F.col("n") * F.col("unseen"))
+        asked.select("classifier", "n").distinct()
+        .join(bases, "classifier")
         .groupBy("candidate", "classifier", "n")
-        .agg(F.min_by(F.struct("cluster_id", "score"), F.struct(-F.col("score"), "cluster_id")).alias("top"))
+        .agg(F.min_by(F.struct("cluster_id", bare_score.alias("score")), F.struct(-bare_score, "cluster_id")).alias("top"))
     )
-    outside = counts.join(bare, ["classifier", "n"]).select("candidate", "variant_id", "length", "top.cluster_id", "top.score")
+    outside = asked.join(bare, ["classifier", "n"]).select("candidate", "top.cluster_id", *key, "top.score")
     return (
         overlapping.unionByName(outside)
-        .groupBy("candidate", "variant_id", "length")
+        .groupBy("candidate", *key)
         .agg(F.min_by("cluster_id", F.struct(-F.round("score", 9), "cluster_id")).alias("cluster_id"))
     )

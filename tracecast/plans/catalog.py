@@ -6,7 +6,6 @@ Sequences leave as comma-joined text, so that any engine can compare them.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -409,9 +408,10 @@ def discovered_predictions_query(spark, folder):
 
 # -- clustered run -------------------------------------------------------------------------------
 
-@lru_cache(maxsize=8)
-def _clustered(app: str, folder: str, log: str):
-    spark = SparkSession.getActiveSession()
+_FITTED: dict[tuple, tuple] = {}
+
+
+def _fit_clustered(spark, folder, log: str):
     train, test = _parts(log, spark, folder, write=True)
     train, validation = split.cut_validation(train)
     train, validation = materialize(train, "train"), materialize(validation, "validation")
@@ -420,7 +420,10 @@ def _clustered(app: str, folder: str, log: str):
 
 def _fitted(spark, folder, log: str = "conversations"):
     """The clustered model of a log; queries of one application share it."""
-    return _clustered(spark.sparkContext.applicationId, folder, log)
+    key = (spark.sparkContext.applicationId, folder, log)
+    if key not in _FITTED:
+        _FITTED[key] = _fit_clustered(spark, folder, log)
+    return _FITTED[key]
 
 
 def trace_clusters_query(spark, folder):
