@@ -87,6 +87,21 @@ def test_directly_follows_and_ends(trace_frame):
     assert ends == {"a": (2, 2), "b": (1, 1), "c": (1, 1)}
 
 
+def test_event_level_forms_with_one_case_holding_most_rows(spark):
+    rng = random.Random(8)
+    cases = [1] * 3000 + [rng.randint(2, 60) for _ in range(900)] + [70]
+    rows = [(c, rng.choice("abc"), i) for i, c in enumerate(cases)]
+    rng.shuffle(rows)
+    log = event_log(spark.createDataFrame(rows, "c int, a string, i int").repartition(6), "c", "a", ["i"])
+    v = traces.variants(traces.traces(log))
+    as_set = lambda df: {tuple(r) for r in df.collect()}
+    assert as_set(dfg.directly_follows_of_events(log)) == as_set(dfg.directly_follows(v))
+    assert as_set(dfg.start_end_of_events(log)) == as_set(dfg.start_end_activities(v))
+    assert traces.longest_case(log).first().max_len == traces.max_trace_length(traces.traces(log)).first().max_len == 3000
+    shown = {r.case_id: r.acts for r in traces.traces(log).where("case_id = 1").collect()}
+    assert shown[1] == [a for c, a, i in sorted(rows, key=lambda r: r[2]) if c == 1]
+
+
 def test_prefix_features_equal_cutting_first(trace_frame):
     rows = trace_frame("a-b-a-c;b-b;c-a-b")
     grams = N.first_lengths(rows)

@@ -1,10 +1,21 @@
-"""Directly-follows relation and start/end activities of a log of variants."""
+"""Directly-follows relation and start/end activities, of variants or straight from the events.
+
+The event-level forms never gather a case: a case may be spread over any number of
+tasks, so one that holds a large share of the log costs no more than others.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracecast.storage import materialize
+
 
 def following_pairs(acts: str = "acts") -> Column:
     pairs = F.transform(
@@ -35,3 +46,65 @@ def start_end_activities(variant_rows: DataFrame, *keys: str) -> DataFrame:
         .groupBy(*keys, F.col("x.activity").alias("activity"))
         .agg(F.sum(F.col("x.s") * F.col("n_traces")).alias("n_start"), F.sum(F.col("x.e") * F.col("n_traces")).alias("n_end"))
     )
+
+
+_LOCAL_SCHEMA = (
+    "part int, a string, b string, cnt bigint, first_case string, first_act string, last_case string, last_act string"
+)
+
+
+def _pairs_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pair counts of one sorted range, and the range's first and last event."""
+    part, found, first, last = TaskContext.get().partitionId(), Counter(), None, None
+    for batch in batches:
+        if batch.empty:
+            continue
+        first = first or tuple(batch.iloc[0])
+        if last is not None:
+            batch = pd.concat([pd.DataFrame([last], columns=batch.columns), batch])
+        case, act = batch["case_id"].to_numpy(), batch["activity"].to_numpy()
+        same = case[1:] == case[:-1]
+        pairs = pd.DataFrame({"a": act[:-1][same], "b": act[1:][same]})
+        found.update(pairs.value_counts().to_dict())
+        last = tuple(batch.iloc[-1])
+    rows = [(part, a, b, n, None, None, None, None) for (a, b), n in found.items()]
+    if first is not None:
+        rows.append((part, None, None, None, *first, *last))
+    yield pd.DataFrame(rows, columns=[c.split()[0] for c in _LOCAL_SCHEMA.split(", ")])
+
+
+def directly_follows_of_events(log: DataFrame) -> DataFrame:
+    """``(a, b, cnt)`` of a ``(case_id, activity, ord)`` log.
+
+    Events are range-partitioned by case and order and counted range by range; pairs
+    across two ranges come from the ranges' ends, two events per partition.
+    """
+    parts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["case_id", "ord", "activity"]
+    ranges = log.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # Written once: both uses below must see the same ranges.
+    counted = materialize(
+        ranges.select(F.col("case_id").cast("string").alias("case_id"), "activity").mapInPandas(_pairs_in_order, _LOCAL_SCHEMA),
+        "range-pairs",
+    )
+    along = Window.orderBy("part")
+    ends = counted.where("first_case is not null").select(
+        F.lag("last_case").over(along).alias("case_before"), F.lag("last_act").over(along).alias("a"), "first_case",
+        F.col("first_act").alias("b"),
+    )
+    across = ends.where("case_before = first_case").select("a", "b", F.lit(1).cast("bigint").alias("cnt"))
+    inside = counted.where("first_case is null").select("a", "b", "cnt")
+    return inside.unionByName(across).groupBy("a", "b").agg(F.sum("cnt").alias("cnt"))
+
+
+def start_end_of_events(log: DataFrame) -> DataFrame:
+    """``(activity, n_start, n_end)`` of a ``(case_id, activity, ord)`` log, by partial aggregation per case."""
+    at = F.struct("ord", "activity")
+    ends = log.groupBy("case_id").agg(F.min(at)["activity"].alias("s"), F.max(at)["activity"].alias("e"))
+    both = F.array(
+        F.struct(F.col("s").alias("activity"), F.lit(1).alias("start"), F.lit(0).alias("end")),
+        F.struct(F.col("e").alias("activity"), F.lit(0).alias("start"), F.lit(1).alias("end")),
+    )
+    return ends.select(F.explode(both).alias("x")).groupBy("x.activity").agg(
+        F.sum("x.start").alias("n_start"), F.sum("x.end").alias("n_end")
+    )

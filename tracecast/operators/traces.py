@@ -53,5 +53,10 @@ def suffix_of(acts: str, length: str):
     return F.slice(F.col(acts), F.col(length) + 1, F.size(acts))
 
 
+def longest_case(log: DataFrame) -> DataFrame:
+    """Length of the longest case, counted without gathering events."""
+    return log.groupBy("case_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("max_len"))
+
+
 def max_trace_length(trace_rows: DataFrame) -> DataFrame:
     return trace_rows.agg(F.max(F.size("acts")).cast("bigint").alias("max_len"))

@@ -99,7 +99,7 @@ def trace_text_query(spark, folder):
 
 
 def max_trace_len_query(spark, folder):
-    return traces.max_trace_length(_traces("events", spark, folder))
+    return traces.longest_case(events_log(spark, folder))
 
 
 def train_test_split_query(spark, folder):
@@ -136,11 +136,11 @@ def validation_prefixes_query(spark, folder):
 
 
 def directly_follows_query(spark, folder):
-    return dfg.directly_follows(traces.variants(_traces("events", spark, folder)))
+    return dfg.directly_follows_of_events(events_log(spark, folder))
 
 
 def start_end_activities_query(spark, folder):
-    return dfg.start_end_activities(traces.variants(_traces("lineitem", spark, folder)))
+    return dfg.start_end_of_events(lines_log(spark, folder))
 
 
 # -- XES -----------------------------------------------------------------------------------------
