@@ -128,12 +128,11 @@ def hierarchy(points: DataFrame, hub_rows: DataFrame) -> DataFrame:
     tree = points.select("point", "weight", F.col("point").alias("c0"))
     for level in list(LEVELS)[1:]:
         below = f"c{level - 1}"
-        edges = (
-            hub_rows.where(F.col("level") == level)
-            .join(tree.select("point", F.col(below).alias("node")), "point")
-            .select("node", "hub")
-            .distinct()
-        )
+        of_level = hub_rows.where(F.col("level") == level)
+        if level == 1:  # the components below are the points themselves
+            edges = of_level.select(F.col("point").alias("node"), "hub")
+        else:
+            edges = of_level.join(tree.select("point", F.col(below).alias("node")), "point").select("node", "hub").distinct()
         found = connected_components(materialize(edges, "hub-edges"))
         tree = tree.join(found.select(F.col("node").alias(below), F.col("component").alias(f"c{level}")), below)
     return materialize(tree.select("point", "weight", *[f"c{level}" for level in LEVELS]), "hierarchy")
