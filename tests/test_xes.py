@@ -1,4 +1,4 @@
-from tracecast.sources.xes import read_xes, write_xes
+from tracecast.sources.xes import read_xes, write_xes, write_xes_per_model
 
 SAMPLE = """<?xml version="1.0" encoding="UTF-8"?>
 <log>
@@ -22,3 +22,12 @@ def test_roundtrip(spark, small, tmp_path):
     write_xes(small, str(tmp_path / "xes"))
     back = {int(r.trace_name): r.acts for r in read_xes(spark, str(tmp_path / "xes")).collect()}
     assert back == {r.case_id: r.acts for r in small.collect()}
+
+
+def test_one_folder_per_model(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("2_0", 7, ["a", "b"]), ("2_1", 7, ["a", "b"]), ("2_1", 9, ["c"])], "model_id string, variant_id bigint, acts array<string>"
+    )
+    write_xes_per_model(rows, str(tmp_path / "xes"))
+    found = {(r.trace_name, tuple(r.acts)) for r in read_xes(spark, str(tmp_path / "xes" / "model_id=2_1")).collect()}
+    assert found == {("7", ("a", "b")), ("9", ("c",))}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,17 +18,32 @@ XES_SCHEMA = T.StructType([
 ])
 
 
+def _named(value: Column) -> Column:
+    return F.struct(F.lit(NAME).alias("_key"), value.cast("string").alias("_value"))
+
+
+def _nested(traces: DataFrame, name: str, *keep: str) -> DataFrame:
+    events = F.transform("acts", lambda a: F.struct(_named(a).alias("string")))
+    return traces.select(*keep, _named(F.col(name)).alias("string"), events.alias("event"))
+
+
 def to_xes_rows(traces: DataFrame) -> DataFrame:
     """Nested rows of the format; traces are named by their rank in case order."""
-    named = lambda value: F.struct(F.lit(NAME).alias("_key"), value.cast("string").alias("_value"))
-    return enumerate_rows(traces, "case_id", "trace_name").select(
-        named(F.col("trace_name")).alias("string"),
-        F.transform("acts", lambda a: F.struct(named(a).alias("string"))).alias("event"),
-    )
+    return _nested(enumerate_rows(traces, "case_id", "trace_name"), "trace_name")
 
 
 def write_xes(traces: DataFrame, path: str) -> None:
-    to_xes_rows(traces).write.mode("overwrite").format("xml").option("rowTag", "trace").option("rootTag", "log").save(path)
+    _write(to_xes_rows(traces), path)
+
+
+def write_xes_per_model(variant_rows: DataFrame, path: str) -> None:
+    """One folder per ``model_id``; traces are named by their variant."""
+    _write(_nested(variant_rows, "variant_id", "model_id"), path, "model_id")
+
+
+def _write(rows: DataFrame, path: str, *by: str) -> None:
+    writer = rows.write.mode("overwrite").format("xml").option("rowTag", "trace").option("rootTag", "log")
+    writer.partitionBy(*by).save(path)
 
 
 def read_xes(spark: SparkSession, path: str) -> DataFrame:
