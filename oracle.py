@@ -214,6 +214,11 @@ def queries() -> dict[str, str]:
             f"select '{name}' as model_id, cast({activity} as varchar) as activity from {table}"
             for name, (table, _, activity, _) in LOGS.items()
         ),
+        "discovered_replay": " union all ".join(
+            f"select * from ({_log(name)} select '{name}' as model_id, variant_id, {_text('acts')} as path, "
+            f"cast(0 as bigint) as n_skipped from ({_variants('tr')}))"
+            for name in LOGS
+        ),
         "fired_transitions": lines + _FLOWER + """
             select variant_id, 0 as pos, 'end_[XorLoop0]' as fired from v
             union all select variant_id, 1 + 5 * i, '[Xor1]' from steps

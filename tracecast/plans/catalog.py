@@ -45,7 +45,8 @@ def orders_log(spark: SparkSession, folder: str) -> DataFrame:
 
 def lines_log(spark: SparkSession, folder: str) -> DataFrame:
     label = F.concat("l_returnflag", "l_linestatus")
-    order = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", label]
+    # Events that tie here are ordered by their label, as traces sort on it last.
+    order = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey"]
     return event_log(_table(spark, folder, "lineitem"), "l_orderkey", label, order)
 
 
@@ -333,6 +334,22 @@ def decision_lookup_query(spark, folder):
     return footprint.named(found, nodes).select("case_id", "source", "value")
 
 
+def discovered_replay_query(spark, folder):
+    """Every log's variants on the tree discovered from them: what is shown, and what could not be played."""
+    models = materialize(discovered_trees(spark, folder), "models")
+    nodes = tree.tree_nodes(models)
+    rows = None
+    for name in LOGS:
+        found = traces.variants(_traces(name, spark, folder).withColumn("model_id", F.lit(name)), "model_id")
+        rows = found if rows is None else rows.unionAll(found)
+    replayed = materialize(replay.replay(rows, models), "replayed")
+    path = F.array_sort(F.collect_list(F.struct("pos", "activity")))
+    shown = replay.visible_path(replayed, tree.transitions(nodes)).groupBy("model_id", "variant_id").agg(path.alias("p"))
+    return replayed.join(shown, ["model_id", "variant_id"]).select(
+        "model_id", "variant_id", _text("p.activity").alias("path"), *_long("n_skipped")
+    )
+
+
 # -- prediction ----------------------------------------------------------------------------------
 
 def _flower_model(spark, folder, log: str):
