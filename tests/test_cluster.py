@@ -77,6 +77,41 @@ def test_clusters_of_small_log(spark, small):
     assert all(0 < r.build_cases <= 6 and r.training_cases <= 20 for r in covered)
 
 
+def test_soft_membership_against_its_definition(spark, trace_frame):
+    rng = random.Random(6)
+    texts = ["-".join(rng.choice("abcd") for _ in range(rng.randint(1, 4))) for _ in range(150)]
+    by_variant = C.feature_points(trace_frame(";".join(texts)))
+    points = by_variant.groupBy("point").agg(F.sum("n_traces").alias("weight"), F.any_value("grams").alias("grams"), F.any_value("activities").alias("activities"))
+    hub_rows = C.hubs(points)
+    labels = C.select_clusters(C.hierarchy(points, hub_rows), [2, 5, 9])
+    label = {(r.candidate, r.point): r.cluster_id for r in labels.collect()}
+    weight = {r.point: r.weight for r in points.collect()}
+    members: dict = {}
+    for r in hub_rows.collect():
+        members.setdefault((r.level, r.hub), set()).add(r.point)
+    expected: dict = {}
+    for candidate in (2, 5, 9):
+        votes: dict = {}
+        for (level, _), inside in members.items():
+            held: dict = {}
+            for p in inside:
+                if (candidate, p) in label:
+                    held[label[candidate, p]] = held.get(label[candidate, p], 0) + weight[p]
+            if held:
+                winner = min(held, key=lambda c: (-held[c], c))
+                for p in inside:
+                    votes.setdefault(p, {}).setdefault(level, []).append(winner)
+        for p, levels in votes.items():
+            total = sum(C.LEVEL_DENSITY[level] for level in levels)
+            for level, cast in levels.items():
+                for c in cast:
+                    key = (candidate, p, c)
+                    expected[key] = expected.get(key, 0) + C.LEVEL_DENSITY[level] / len(cast) / total
+    found = {(r.candidate, r.point, r.cluster_id): r.prob for r in C.soft_membership(hub_rows, labels).collect()}
+    assert label and found.keys() == expected.keys()
+    assert all(abs(found[k] - expected[k]) < 1e-9 for k in found)
+
+
 def test_cluster_without_strong_member_takes_its_best(spark):
     rows = spark.createDataFrame(
         [(2, "c", 5, ["a"], 1, 0.1), (2, "c", 7, ["b"], 1, 0.15), (2, "d", 5, ["a"], 1, 0.9)],

@@ -1,10 +1,15 @@
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracecast.operators.discover import discover
+from tracecast.operators.replay import replay, visible_path
+from tracecast.operators.tree import transitions, tree_nodes
 from tracecast.settings import Settings
 from tracecast.sources.trees import models_from, read_models, tree_from_text, tree_to_text, write_models
+from tracecast.storage import materialize
 
 GOLDEN = {
     "3-4": "Seq(3, 4)",
@@ -67,3 +72,20 @@ def test_text_form_and_store(spark, tmp_path):
     write_models(models_from(spark, {"2_0": tree, "2_1": "a, (b)"}), str(tmp_path / "models"))
     back = {r.model_id: json.loads(r.tree) for r in read_models(spark, str(tmp_path / "models")).collect()}
     assert back == {"2_0": tree, "2_1": "a, (b)"}
+
+
+def test_trees_of_random_logs_replay_their_logs(spark):
+    """With no noise filter every tree must be able to play its whole log, and show it unchanged."""
+    rng, rows = random.Random(21), []
+    for m in range(80):
+        acts = "abcdef"[: rng.randint(2, 6)]
+        for v in {tuple(rng.choice(acts) for _ in range(rng.randint(0 if m % 3 == 0 else 1, 6))) for _ in range(rng.randint(1, 6))}:
+            rows.append((f"m{m}", len(rows), list(v), 1))
+    log = materialize(spark.createDataFrame(rows, "model_id string, variant_id bigint, acts array<string>, n_traces bigint"), "random")
+    models = materialize(discover(log), "models")
+    replayed = materialize(replay(log, models), "replayed")
+    assert replayed.agg(F.sum("n_skipped")).first()[0] == 0
+    shown: dict = {}
+    for r in visible_path(replayed, transitions(tree_nodes(models))).orderBy("pos").collect():
+        shown.setdefault(r.variant_id, []).append(r.activity)
+    assert {v: shown.get(v, []) for _, v, _, _ in rows} == {v: a for _, v, a, _ in rows}

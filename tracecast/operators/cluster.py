@@ -190,21 +190,38 @@ def select_clusters(tree: DataFrame, candidates: list[int]) -> DataFrame:
 
 
 def soft_membership(hub_rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(candidate, point, cluster_id, prob)``; every hub casts one vote, so nothing is paired."""
+    """``(candidate, point, cluster_id, prob)``; every hub casts one vote, so nothing is paired.
+
+    Most hubs hold a single point and vote for its own cluster: they are only counted.
+    """
+    meeting = (
+        hub_rows.groupBy("level", "hub").agg(F.min("point").alias("lo"), F.max("point").alias("hi")).where("lo < hi")
+    )
+    shared = materialize(hub_rows.join(meeting.select("level", "hub"), ["level", "hub"], "left_semi"), "shared-hubs")
+    n_shared = shared.groupBy("point", "level").agg(F.count(F.lit(1)).alias("n_shared"))
+    alone = (
+        hub_rows.groupBy("point", "level").agg(F.count(F.lit(1)).alias("n_all"))
+        .join(n_shared, ["point", "level"], "left")
+        .select("point", "level", (F.col("n_all") - F.coalesce("n_shared", F.lit(0))).alias("n"))
+        .where("n > 0")
+        .join(labels, "point")
+    )
     held = (
-        hub_rows.join(labels, "point")
+        shared.join(labels, "point")
         .groupBy("candidate", "level", "hub", "cluster_id")
         .agg(F.sum("weight").alias("held"))
     )
     votes = held.groupBy("candidate", "level", "hub").agg(
         F.min_by("cluster_id", F.struct(-F.col("held"), "cluster_id")).alias("cluster_id")
     )
+    columns = ["candidate", "point", "level", "cluster_id", "n"]
     # All further grouping is by point within a candidate: one shuffle serves it.
     cast = (
-        hub_rows.join(votes, ["level", "hub"])
+        shared.join(votes, ["level", "hub"]).withColumn("n", F.lit(1).cast("bigint")).select(*columns)
+        .unionByName(alone.select(*columns))
         .repartition("candidate", "point")
         .groupBy("candidate", "point", "level", "cluster_id")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
     density = F.element_at(F.array(*[F.lit(d) for d in LEVEL_DENSITY]), F.col("level") + 1)
     in_level = F.sum("n").over(Window.partitionBy("candidate", "point", "level"))
