@@ -60,8 +60,9 @@ def test_first_level_is_single_linkage_at_one_edit(spark, trace_frame):
 
 def test_clusters_of_small_log(spark, small):
     train = traces.trainable(split.train_test_split(small).where("is_train")).drop("is_train")
-    found = C.cluster_traces(train).memberships
-    chosen = C.representatives(found)
+    clustering = C.cluster_traces(train)
+    found = clustering.memberships
+    chosen = C.representatives(found).join(clustering.variants.select("variant_id", "acts"), "variant_id")
     groups = {}
     for r in chosen.where("is_build").collect():
         groups.setdefault(r.candidate, {}).setdefault(r.cluster_id, set()).add("-".join(r.acts))
@@ -114,8 +115,8 @@ def test_soft_membership_against_its_definition(spark, trace_frame):
 
 def test_cluster_without_strong_member_takes_its_best(spark):
     rows = spark.createDataFrame(
-        [(2, "c", 5, ["a"], 1, 0.1), (2, "c", 7, ["b"], 1, 0.15), (2, "d", 5, ["a"], 1, 0.9)],
-        "candidate int, cluster_id string, variant_id bigint, acts array<string>, n_traces bigint, prob double",
+        [(2, "c", 5, 1, 0.1), (2, "c", 7, 1, 0.15), (2, "d", 5, 1, 0.9)],
+        "candidate int, cluster_id string, variant_id bigint, n_traces bigint, prob double",
     )
     found = {(r.cluster_id, r.variant_id): (r.is_build, r.is_training) for r in C.representatives(rows).collect()}
     assert found == {("c", 7): (True, True), ("d", 5): (True, True)}

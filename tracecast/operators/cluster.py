@@ -31,7 +31,7 @@ LEVELS = range(len(LEVEL_DENSITY))
 
 @dataclass(frozen=True)
 class Clustering:
-    """``points``: variant to point; ``labels``: clusters; ``memberships``: per candidate and variant."""
+    """``variants``: (variant_id, acts, n_traces, point); ``memberships``: (candidate, cluster_id, variant_id, n_traces, prob)."""
 
     variants: DataFrame
     memberships: DataFrame
@@ -244,7 +244,8 @@ def cluster_traces(train: DataFrame, settings: Settings = Settings()) -> Cluster
     labels = labels.join(several.select("candidate"), "candidate", "left_semi")
     soft = soft_membership(hub_rows, labels)
     slim = by_variant.select("variant_id", "acts", "n_traces", "point")
-    memberships = slim.join(soft, "point").select("candidate", "cluster_id", "variant_id", "acts", "n_traces", "prob")
+    # Sequences stay out: they would repeat for every candidate and cluster.
+    memberships = slim.drop("acts").join(soft, "point").select("candidate", "cluster_id", "variant_id", "n_traces", "prob")
     return Clustering(slim, materialize(memberships, "memberships"))
 
 

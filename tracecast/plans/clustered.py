@@ -37,10 +37,8 @@ def fit_clustered(train: DataFrame, settings: Settings = Settings()) -> Clustere
     If no candidate has two clusters, one model of all training traces takes their place.
     """
     clustering = C.cluster_traces(train, settings)
-    chosen = materialize(
-        C.representatives(clustering.memberships, settings).withColumn("model_id", model_name("candidate", "cluster_id")),
-        "representatives",
-    )
+    chosen = C.representatives(clustering.memberships, settings).join(clustering.variants.select("variant_id", "acts"), "variant_id")
+    chosen = materialize(chosen.withColumn("model_id", model_name("candidate", "cluster_id")), "representatives")
     if chosen.isEmpty():
         whole = variants(train).withColumn("model_id", F.lit(MAIN))
         models = materialize(discover(whole.select("model_id", "acts", "n_traces"), settings), "models")
