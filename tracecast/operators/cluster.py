@@ -228,7 +228,8 @@ def soft_membership(hub_rows: DataFrame, labels: DataFrame) -> DataFrame:
     shares = cast.withColumn("s", F.col("n") / in_level * density)
     by_cluster = shares.groupBy("candidate", "point", "cluster_id").agg(F.sum("s").alias("s"))
     of_point = F.sum("s").over(Window.partitionBy("candidate", "point"))
-    return by_cluster.select("candidate", "point", "cluster_id", (F.col("s") / of_point).alias("prob"))
+    # Rounded, so that the order of the sums decides neither ties nor thresholds.
+    return by_cluster.select("candidate", "point", "cluster_id", F.round(F.col("s") / of_point, 12).alias("prob"))
 
 
 def cluster_traces(train: DataFrame, settings: Settings = Settings()) -> Clustering:

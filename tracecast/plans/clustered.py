@@ -81,7 +81,7 @@ def candidate_scores(validation: DataFrame, fitted: ClusteredModel) -> DataFrame
     """Mean similarity per candidate over the validation prefixes."""
     lines = routed_lines(distinct_sequences(validation), fitted)
     weighted = F.sum(F.col("damerau_similarity") * F.col("n_traces")) / F.sum("n_traces")
-    return lines.groupBy("candidate").agg(weighted.alias("score"), F.sum("n_traces").alias("n_prefixes"))
+    return lines.groupBy("candidate").agg(F.round(weighted, 12).alias("score"), F.sum("n_traces").alias("n_prefixes"))
 
 
 def best_candidate(scores: DataFrame) -> DataFrame:
