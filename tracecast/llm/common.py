@@ -52,3 +52,50 @@ def per_value(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def batch_of(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(columns)
+
+
+#: Odd multiplier of the polynomial hashes modulo 2**64, and its inverse.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_LETTERS = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, size: int) -> np.ndarray:
+    """``base**i`` for i up to ``size``, kept for the next call."""
+    known = _powers.get(base)
+    if known is None or len(known) <= size:
+        steps = np.full(max(size, SLICE_BYTES) + 1, base, np.uint64)
+        steps[0] = 1
+        _powers[base] = known = np.cumprod(steps, dtype=np.uint64)
+    return known
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Spreads the high bits of 64-bit hashes over all bits."""
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def prefix_hashes(data: np.ndarray) -> np.ndarray:
+    """Wrapping polynomial sums of the bytes before each place; see :func:`span_hashes`."""
+    terms = _LETTERS[data] * _power(_BASE, len(data))[: len(data)]
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
+
+
+def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each span, which depends on its bytes alone."""
+    return mixed((prefix[ends] - prefix[starts]) * _power(_INVERSE, len(prefix))[starts])
+
+
+def hashed_words(data: np.ndarray, starts: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each maximal run of word bytes and the value it stands in; runs end with their value."""
+    inside = np.concatenate([[False], is_word[data], [False]])
+    opens = inside[1:-1] & ~inside[:-2]
+    closes = inside[1:-1] & ~inside[2:]
+    edges = starts[1:-1]
+    edges = edges[(edges > 0) & (edges < len(data))]
+    opens[edges] = inside[1:-1][edges]
+    closes[edges - 1] = inside[1:-1][edges - 1]
+    begin, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    return span_hashes(prefix_hashes(data), begin, end), np.searchsorted(starts, begin, side="right") - 1

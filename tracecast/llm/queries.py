@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracecast.llm import quality
+from tracecast.llm import langid, pii, quality, toxicity
 from tracecast.llm.common import table
 from tracecast.ship import ship
 
 
+def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every document, and the terms that reveal it."""
+    found = pii.detect(table(spark, folder, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS[:4]]
+    return found.select("doc_id", *counts, F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Rule statistics and the verdict on every document."""
     judged = quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -19,7 +27,28 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *base, "base_failed", "kept", "score")
 
 
-_QUERIES = (op4_quality_rules,)
+def _remainder(divisor: int):
+    return F.crc32(F.col("doc_id").cast("string")) % divisor
+
+
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from three quarters of them."""
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(_remainder(4) == 2, F.lit(False))
+    model = langid.fit(docs.where(~held_out))
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from four fifths of the labels."""
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(_remainder(5) == 0, F.lit(False))
+    model = toxicity.fit(docs, table(spark, folder, "labels").where(~held_out))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+_QUERIES = (op2_pii, op4_quality_rules, op8_language_id, op9_toxicity)
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
