@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracecast.llm import langid, pii, quality, toxicity
+from tracecast.llm import fingerprints, langid, mixing, packing, pii, quality, toxicity
 from tracecast.llm.common import table
 from tracecast.ship import ship
 
@@ -31,6 +31,16 @@ def _remainder(divisor: int):
     return F.crc32(F.col("doc_id").cast("string")) % divisor
 
 
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return packing.packed(table(spark, folder, "documents"))
+
+
+def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.fingerprints(table(spark, folder, "documents"))
+
+
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learned from three quarters of them."""
     docs = table(spark, folder, "documents")
@@ -48,7 +58,16 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-_QUERIES = (op2_pii, op4_quality_rules, op8_language_id, op9_toxicity)
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every use of every document in the flattest mixture that repeats no source more than four times."""
+    mixed = mixing.mixture(table(spark, folder, "documents"))
+    return mixed.select(
+        "doc_id", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_weight").alias("weight"), F.col("mix_repeats").alias("repeats"),
+        F.col("mix_epoch").alias("epoch"), F.col("mix_block").alias("block"), F.col("mix_at").alias("at"),
+    )
+
+
+_QUERIES = (op2_pii, op4_quality_rules, op6_packing, op7_fingerprints, op8_language_id, op9_toxicity, op10_mixing)
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
