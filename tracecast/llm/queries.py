@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracecast.llm import fingerprints, langid, mixing, packing, pii, quality, toxicity
+from tracecast.llm import fingerprints, langid, mixing, ngram_join, packing, pii, quality, toxicity
 from tracecast.llm.common import table
 from tracecast.ship import ship
 
@@ -31,6 +31,11 @@ def _remainder(divisor: int):
     return F.crc32(F.col("doc_id").cast("string")) % divisor
 
 
+def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Class, links and copies of every document at a Jaccard similarity of 0.8 over five-word windows."""
+    return ngram_join.join(table(spark, folder, "documents"))
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     return packing.packed(table(spark, folder, "documents"))
@@ -67,7 +72,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_QUERIES = (op2_pii, op4_quality_rules, op6_packing, op7_fingerprints, op8_language_id, op9_toxicity, op10_mixing)
+_QUERIES = (op2_pii, op4_quality_rules, op5_ngram_join, op6_packing, op7_fingerprints, op8_language_id, op9_toxicity, op10_mixing)
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
