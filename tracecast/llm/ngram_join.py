@@ -27,6 +27,7 @@ from pyspark.sql.window import Window as W
 
 from tracecast.llm.common import hashed_words, id_and_text, mixed, raw_bytes, slices
 from tracecast.llm.components import components
+from tracecast.llm.groups import whole_groups
 from tracecast.storage import materialize
 
 _IS_WORD = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -135,32 +136,6 @@ def _signed(settings: JoinSettings):
     return run
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least_rows: int = 4096) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """From rows sorted by ``keys``: tables of whole groups, and where each group starts (one more for the end)."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-        if sum(b.num_rows for b in held) >= least_rows:
-            rows, starts = _grouped(held, keys)
-            if len(starts) > 2:
-                yield rows.slice(0, starts[-2]), starts[:-1]
-                held = rows.slice(starts[-2]).to_batches()
-    if held:
-        yield _grouped(held, keys)
-
-
-def _grouped(held: list[pa.RecordBatch], keys: list[str]) -> tuple[pa.Table, np.ndarray]:
-    rows = pa.Table.from_batches(held).combine_chunks()
-    new = np.zeros(rows.num_rows, bool)
-    new[0] = True
-    for key in keys:
-        value = rows.column(key).combine_chunks()
-        value = value.to_numpy(zero_copy_only=False)
-        new[1:] |= value[1:] != value[:-1]
-    return rows, np.append(np.flatnonzero(new), rows.num_rows)
-
-
 def _smallest_connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest index each of n rows is connected to through the links (a, b)."""
     label = np.arange(n)
@@ -178,7 +153,7 @@ def _agreeing(settings: JoinSettings):
     least = settings.agreement()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, starts in _whole_groups(batches, ["bucket", "block_a", "block_b"]):
+        for rows, starts in whole_groups(batches, ["bucket", "block_a", "block_b"]):
             sign = np.stack([np.frombuffer(s, np.uint32) for s in rows.column("sign").to_pylist()])
             cross = rows.column("block_a").to_numpy() != rows.column("block_b").to_numpy()
             block = rows.column("block").to_numpy()
@@ -253,7 +228,7 @@ def _verified(settings: JoinSettings):
     """Per row of a pair of blocks: its links there and the smallest row it is connected to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, starts in _whole_groups(batches, ["label", "block_a", "block_b"], 2 * settings.block_rows):
+        for rows, starts in whole_groups(batches, ["label", "block_a", "block_b"], 2 * settings.block_rows):
             block = rows.column("block").to_numpy()
             cross = rows.column("block_a").to_numpy() != rows.column("block_b").to_numpy()
             raw = rows.column("windows").to_pylist()

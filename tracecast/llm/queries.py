@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracecast.llm import fingerprints, langid, mixing, ngram_join, packing, pii, quality, toxicity
+from tracecast.llm import fingerprints, langid, mixing, ngram_join, packing, pii, quality, repeats, toxicity
 from tracecast.llm.common import table
 from tracecast.ship import ship
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without its repeats of 200 bytes."""
+    return repeats.without_repeats(table(spark, folder, "documents"))
+
+
 def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data of every document, and the terms that reveal it."""
     found = pii.detect(table(spark, folder, "documents"))
@@ -72,7 +77,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_QUERIES = (op2_pii, op4_quality_rules, op5_ngram_join, op6_packing, op7_fingerprints, op8_language_id, op9_toxicity, op10_mixing)
+_QUERIES = (op1_suffix_dedup, op2_pii, op4_quality_rules, op5_ngram_join, op6_packing, op7_fingerprints, op8_language_id, op9_toxicity, op10_mixing)
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
