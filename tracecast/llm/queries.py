@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracecast.llm import fingerprints, langid, mixing, ngram_join, packing, pii, quality, repeats, toxicity
+from tracecast.llm import fingerprints, langid, licences, mixing, ngram_join, packing, pii, quality, repeats, toxicity
 from tracecast.llm.common import table
 from tracecast.ship import ship
 
@@ -25,6 +25,12 @@ def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
 
 
+def op3_licences(spark: SparkSession, folder: str) -> DataFrame:
+    """Own or inherited licence of every document."""
+    docs = table(spark, folder, "documents")
+    return licences.scan(docs.select("doc_id", licences.document_path().alias("path"), "text"))
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Rule statistics and the verdict on every document."""
     judged = quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -77,7 +83,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_QUERIES = (op1_suffix_dedup, op2_pii, op4_quality_rules, op5_ngram_join, op6_packing, op7_fingerprints, op8_language_id, op9_toxicity, op10_mixing)
+_QUERIES = (op1_suffix_dedup, op2_pii, op3_licences, op4_quality_rules, op5_ngram_join, op6_packing, op7_fingerprints, op8_language_id, op9_toxicity, op10_mixing)
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -89,4 +95,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_licences": licences.oracle_sql()}
