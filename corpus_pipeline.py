@@ -1,13 +1,62 @@
-"""Documents to training sequences: stages over the operators of ``tracecast.llm``."""
+"""Documents to training sequences: five stages over the operators of ``tracecast.llm``.
+
+Each stage takes the documents its predecessor kept, written as Parquet and read back; all but the last
+return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracecast.llm import mixing, ngram_join, packing, pii, quality
+from tracecast.llm.common import table
+from tracecast.ship import ship
+from tracecast.storage import materialize
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules or the forest reject go."""
+    ship(spark)
+    return quality.filtered(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays."""
+    return ngram_join.one_of_each(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to its kind, terms that reveal it go."""
+    return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document once at least; those of small sources again, up to twice."""
+    return mixing.mixed_documents(docs, mixing.MixSettings(max_repeats=2.0))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 2048 tokens."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("PII", personal_data),
+    ("mixing sources to target weights", source_mixture),
+    ("best-fit packing", sequences),
+]
 
-STAGES: list = []
+#: MinHash groups, the forest and the tokenizer are not SQL; tests/llm checks the rows against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``."""
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs if i == 0 else materialize(docs, "stage"), sf_dir)
     return docs

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracecast.llm.common import batch_of, id_and_text, per_value, raw_bytes, slices
@@ -77,13 +77,17 @@ def count_rules(text: str) -> tuple[int, ...]:
     )
 
 
+def _columns(texts: pa.Array) -> dict[str, np.ndarray]:
+    """All statistics of each text."""
+    counts = np.array([count_rules(text or "") for text in texts.to_pylist()], np.int64).reshape(-1, len(COUNTED))
+    data, starts = raw_bytes(texts)
+    classes = {name: per_value(np.isin(np.arange(256), list(marks))[data], starts) for name, marks in CLASSES.items()}
+    return dict(zip(COUNTED, counts.T)) | classes
+
+
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    members = {name: np.isin(np.arange(256), list(marks)) for name, marks in CLASSES.items()}
     for part in slices(batches):
-        counts = zip(*(count_rules(text) for text in part.column("text").to_pylist()))
-        data, starts = raw_bytes(part.column("text"))
-        classes = {name: per_value(member[data], starts) for name, member in members.items()}
-        yield batch_of(doc_id=part.column("doc_id"), **dict(zip(COUNTED, counts)), **classes)
+        yield batch_of(doc_id=part.column("doc_id"), **_columns(part.column("text")))
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -202,29 +206,57 @@ def _threshold(scored_labels: DataFrame, rules: QualityRules, bins: int = 10_000
     return 0.0
 
 
-def judge(docs: DataFrame, labels: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """Statistics, ``base_failed``, anomaly ``score`` and ``kept`` of every document.
+@dataclass(frozen=True)
+class Verdict:
+    """A fitted forest (none without labelled rows) and the score above which it rejects."""
+
+    forest: Forest | None
+    limit: float
+    rules: QualityRules
+
+    def kept(self, stats: dict[str, np.ndarray]) -> np.ndarray:
+        words, repeated = (np.asarray(stats[n], np.int64) for n in ("n_words", "n_repeat_words"))
+        passed = (words >= self.rules.min_words) & (100 * repeated <= self.rules.max_repeat_percent * words)
+        return passed if self.forest is None else passed & (self.forest.scores(features(stats)) <= self.limit)
+
+
+def base_failed(rules: QualityRules) -> Column:
+    return (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_percent)
+
+
+def fit(stats: DataFrame, labels: DataFrame, rules: QualityRules = QualityRules()) -> Verdict:
+    """Grows the forest on a bounded sample of the labelled rows and calibrates it on all of them.
 
     ``labels`` has ``doc_id`` and ``quality`` (1 good, 0 bad, null unknown).
     """
-    base_failed = (F.col("n_words") < rules.min_words) | (
-        F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_percent
-    )
-    stats = materialize(statistics(docs), "rule-statistics").withColumn("base_failed", base_failed)
     known = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").cast("long").alias("quality"))
-    labelled = stats.where("not base_failed").join(known, "doc_id")
+    labelled = stats.where(~base_failed(rules)).join(known, "doc_id").select("doc_id", *STATISTICS, "quality")
     sample = (
-        labelled.orderBy(F.xxhash64("doc_id", F.lit(rules.seed)), "doc_id")
+        labelled.orderBy(F.xxhash64("doc_id", F.lit(rules.seed)), "doc_id", *STATISTICS)
         .limit(rules.trees * rules.tree_rows)
         .select(*STATISTICS)
         .toPandas()  # bounded by the two parameters above
     )
-    forest = grow(features({n: sample[n].to_numpy() for n in STATISTICS}), rules) if len(sample) else None
-    columns = SCHEMA + ", base_failed boolean"
-    if forest is None:
-        return stats.mapInArrow(_scored(None), f"{columns}, score double").withColumn("kept", ~F.col("base_failed"))
-    scored_labels = labelled.mapInArrow(_scored(forest), f"{columns}, quality long, score double")
-    limit = _threshold(scored_labels, rules)
-    return stats.mapInArrow(_scored(forest), f"{columns}, score double").withColumn(
-        "kept", ~F.col("base_failed") & (F.col("score") <= limit)
-    )
+    if not len(sample):
+        return Verdict(None, 1.0, rules)
+    forest = grow(features({n: sample[n].to_numpy() for n in STATISTICS}), rules)
+    return Verdict(forest, _threshold(labelled.mapInArrow(_scored(forest), f"{SCHEMA}, quality long, score double"), rules), rules)
+
+
+def judge(docs: DataFrame, labels: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """Statistics, anomaly ``score``, ``base_failed`` and ``kept`` of every document."""
+    stats = materialize(statistics(docs), "rule-statistics")
+    verdict = fit(stats, labels, rules)
+    scored = stats.mapInArrow(_scored(verdict.forest), f"{SCHEMA}, score double").withColumn("base_failed", base_failed(rules))
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score").isNull() | (F.col("score") <= verdict.limit)))
+
+
+def filtered(docs: DataFrame, labels: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """``docs`` without those that are rejected. The statistics are taken once more rather than the texts shuffled."""
+    verdict = fit(materialize(statistics(docs), "rule-statistics"), labels, rules)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            yield part.filter(pa.array(verdict.kept(_columns(part.column("text"))), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
