@@ -42,7 +42,8 @@ class JoinSettings:
     max_hashes: int = 128
     #: Standard errors below the threshold at which signatures still count as agreeing.
     slack: float = 4.5
-    #: Rows compared with one another at once.
+    #: Rows compared with one another at once: by their signatures, by their full sets.
+    bucket_rows: int = 4_096
     block_rows: int = 256
     seed: int = 5
 
@@ -148,41 +149,52 @@ def _smallest_connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
-def _agreeing(settings: JoinSettings):
+def _reached(sign: np.ndarray, least: float) -> np.ndarray:
+    """First row that each row is connected to by agreeing signatures: every row reached is compared with those not yet reached."""
+    label = np.arange(len(sign))
+    rest = np.arange(1, len(sign))
+    for first in range(len(sign)):
+        if label[first] != first:
+            continue
+        rest = rest[rest != first]
+        ahead = [first]
+        while ahead and len(rest):
+            near = (sign[rest] == sign[ahead.pop()]).mean(1) >= least
+            label[rest[near]] = first
+            ahead += rest[near].tolist()
+            rest = rest[~near]
+    return label
+
+
+def _agreeing(settings: JoinSettings, all_pairs_up_to: int = 16):
     """Edges from each row of a bucket (or pair of blocks of it) to the smallest one it is connected to."""
     least = settings.agreement()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in whole_groups(batches, ["bucket", "block_a", "block_b"]):
             sign = np.stack([np.frombuffer(s, np.uint32) for s in rows.column("sign").to_pylist()])
-            cross = rows.column("block_a").to_numpy() != rows.column("block_b").to_numpy()
-            block = rows.column("block").to_numpy()
-            sizes, found = np.diff(starts), []
+            label, sizes = np.arange(len(sign)), np.diff(starts)
             for size in np.unique(sizes[sizes > 1]).tolist():
-                i, j = np.triu_indices(size, 1)
                 firsts = starts[:-1][sizes == size]
-                step = max(1, 2_000_000 // (len(i) * sign.shape[1]))
-                for at in range(0, len(firsts), step):
-                    a, b = ((firsts[at : at + step, None] + k).ravel() for k in (i, j))
-                    apart = ~cross[a] | (block[a] != block[b])
-                    a, b = a[apart], b[apart]
-                    for cut in range(0, len(a), 50_000):
-                        x, y = a[cut : cut + 50_000], b[cut : cut + 50_000]
-                        near = (sign[x] == sign[y]).mean(1) >= least
-                        found.append((x[near], y[near]))
-            if found:
-                a, b = (np.concatenate(side) for side in zip(*found))
-                label = _smallest_connected(len(sign), a, b)
-                moved = np.flatnonzero(label != np.arange(len(label)))
-                node = rows.column("node").combine_chunks()
-                yield pa.RecordBatch.from_arrays([node.take(pa.array(moved)), node.take(pa.array(label[moved]))], ["a", "b"])
+                if size > all_pairs_up_to:
+                    for first in firsts.tolist():
+                        label[first : first + size] = first + _reached(sign[first : first + size], least)
+                    continue
+                i, j = np.triu_indices(size, 1)
+                a, b = ((firsts[:, None] + k).ravel() for k in (i, j))
+                near = np.concatenate([(sign[a[c : c + 50_000]] == sign[b[c : c + 50_000]]).mean(1) >= least for c in range(0, len(a), 50_000)])
+                small = _smallest_connected(len(sign), a[near], b[near])
+                label = np.where(small == np.arange(len(sign)), label, small)
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            node = rows.column("node").combine_chunks()
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(moved, pa.int64())), node.take(pa.array(label[moved]))], ["a", "b"])
 
     return run
 
 
-def _in_blocks(rows: DataFrame, group: str, size: str, settings: JoinSettings) -> DataFrame:
+def _in_blocks(rows: DataFrame, group: str, size: str, block_rows: int) -> DataFrame:
     """Deals each group out as pairs of blocks of bounded size; groups of one block stay whole."""
-    blocks = F.ceil(F.col(size) / settings.block_rows).cast("int")
+    blocks = F.ceil(F.col(size) / block_rows).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), blocks - 1),
@@ -262,7 +274,7 @@ def join(docs: DataFrame, settings: JoinSettings = JoinSettings()) -> DataFrame:
     banded = sets.select("node", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     met = banded.join(buckets, "bucket").join(sets.select("node", "sign"), "node")
-    near = materialize(_in_blocks(met, "bucket", "size", settings).mapInArrow(_agreeing(settings), "a binary, b binary"), "near-sets")
+    near = materialize(_in_blocks(met, "bucket", "size", settings.bucket_rows).mapInArrow(_agreeing(settings), "a binary, b binary"), "near-sets")
 
     groups = components(near)
     sizes = groups.groupBy("label").agg(F.count("*").alias("size"))
@@ -270,7 +282,7 @@ def join(docs: DataFrame, settings: JoinSettings = JoinSettings()) -> DataFrame:
     read = id_and_text(docs)
     texts = read.join(members, read["doc_id"].eqNullSafe(members["doc_id"])).select("node", "label", "size", "text")
     full = texts.mapInArrow(_with_sets(settings), "node binary, label binary, size long, windows binary").dropDuplicates(["node"])
-    checked = _in_blocks(full, "label", "size", settings).mapInArrow(_verified(settings), "a binary, b binary, links long")
+    checked = _in_blocks(full, "label", "size", settings.block_rows).mapInArrow(_verified(settings), "a binary, b binary, links long")
     checked = materialize(checked, "verified-links")
 
     links = checked.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
