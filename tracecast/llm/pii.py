@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracecast.llm.common import slices
+from tracecast.llm.common import batch_of, slices
 from tracecast.storage import materialize
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -142,6 +143,18 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield part.filter(pa.array([not own for own in _spans_of(part)], pa.bool_()))
 
 
+def _document_counts(batches: Iterator[pa.RecordBatch], most: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """In how many of the texts each word is, summed before it leaves the task; flushed at ``most`` words."""
+    counts: Counter[str] = Counter()
+    for part in slices(batches):
+        for text in part.column("text").to_pylist():
+            counts.update({w.lower() for w in _WORD.findall(text or "")})
+        if len(counts) >= most:
+            yield batch_of(term=list(counts), n=list(counts.values()))
+            counts.clear()
+    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+
+
 def disclosing_terms(found: DataFrame, docs: DataFrame, settings: PiiSettings) -> DataFrame:
     """``entity, term, removed`` of the pairs at or over the thresholds.
 
@@ -155,8 +168,8 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, settings: PiiSettings) -
     )
     pairs = materialize(pairs, "entity-terms")
     entities = places.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"))).alias("term"))
-    frequency = words.join(pairs.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    words = docs.select("text").mapInArrow(_document_counts, "term string, n long")
+    frequency = words.join(pairs.select("term").distinct(), "term").groupBy("term").agg(F.sum("n").alias("n_term"))
     total = docs.count()
     counted = pairs.join(entities, "entity").join(frequency, "term", "left")
     both = F.least("n_both", "n_entity")
