@@ -1,13 +1,14 @@
 """Language identification by the nearest of several centroids per language.
 
-Texts become normalised TF-IDF vectors of hashed byte n-grams of their lower-cased whole text.
+Texts become normalised TF-IDF vectors of hashed byte n-grams of their lower-cased whole text, in which
+each run of other characters than letters counts as one blank.
 Document frequencies come from all training documents; the centroids of a language come from
 spherical k-means over a bounded sample of its training documents. A text gets the language of
 the centroid with the greatest cosine; one that is farther from it than nearly all training
 samples are is marked ``rejected``.
 
 Null texts and texts without a letter get ``und`` and score 0, as do all texts when nothing could be
-learned. Rows with a null language are not learned from. Repeated rows are predicted alike, each
+learned. Such texts and rows with a null language are not learned from. Repeated rows are predicted alike, each
 on its own; further columns are ignored. Of equally near centroids the first language by name wins.
 """
 
@@ -41,9 +42,24 @@ class LanguageSettings:
     reject_share: float = 0.005
 
 
+_IS_LETTER = np.array([chr(b).isalpha() or b >= 0x80 for b in range(256)])
+
+
+def _letters(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with one blank for each run of bytes that are no letters: marks tell styles apart, not languages."""
+    letter = _IS_LETTER[data]
+    after = np.concatenate([[False], letter[:-1]])
+    after[starts[:-1][starts[:-1] < len(data)]] = False
+    kept = letter | after
+    places = np.concatenate([[0], np.cumsum(kept)])
+    return np.where(letter, data, np.uint8(0x20))[kept], places[starts]
+
+
 def ngram_counts(column: pa.Array, settings: LanguageSettings) -> np.ndarray:
     """Documents x buckets; n-grams do not cross documents."""
     data, starts = raw_bytes(column)
+    if len(data):
+        data, starts = _letters(data, starts)
     n, dims = len(column), 1 << settings.bits
     doc = np.repeat(np.arange(n) * dims, np.diff(starts))
     left = np.repeat(starts[1:], np.diff(starts)) - np.arange(len(data))
@@ -146,7 +162,7 @@ class LanguageModel:
 
 def fit(docs: DataFrame, settings: LanguageSettings = LanguageSettings()) -> LanguageModel:
     """Learns from ``text`` and ``lang`` of all given rows; ``doc_id`` only draws the sample."""
-    docs = docs.where("lang is not null and text is not null")
+    docs = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}  # one row per language
     share = F.lit(0.0)
     for lang, size in sizes.items():
