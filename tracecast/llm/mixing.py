@@ -81,9 +81,9 @@ def source_key(column: str = "source") -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(column)), F.lit(""))
 
 
-def _draw(epoch: Column | int, settings: MixSettings) -> Column:
+def _draw(epoch: Column, settings: MixSettings) -> Column:
     """Place of a row in an epoch's permutation: the high bits are its block."""
-    return F.xxhash64(F.col("doc_id"), F.col("mix_tokens"), F.lit(settings.seed), F.lit(epoch) if isinstance(epoch, int) else epoch).bitwiseAND(F.lit((1 << 62) - 1))
+    return F.xxhash64(F.col("doc_id"), F.col("mix_tokens"), F.lit(settings.seed), epoch.cast("int")).bitwiseAND(F.lit((1 << 62) - 1))
 
 
 @dataclass(frozen=True)
@@ -155,10 +155,12 @@ def realise(counted_docs: DataFrame, mix: Plan) -> DataFrame:
     every = counted_docs.join(_local(spark, rows, names), "mix_source").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.col("mix_epochs"), F.lit(1)) - 1).cast("array<int>")))
     every = every.withColumn("mix_draw", _draw(F.col("mix_epoch"), mix.settings))
     full = F.col("mix_epoch") < F.floor(F.col("mix_repeats") + 1e-9)
+    partial = F.when(F.col("mix_last") < F.lit(1 << 62), F.greatest(F.col("mix_last"), F.lit(0)) / F.lit(float(1 << 62))).otherwise(0.0)
+    drawn = F.floor(F.col("mix_repeats") + 1e-9) + partial  # epochs, the last one as far as it goes
     kept = every.where(full | (F.col("mix_draw") <= F.col("mix_last")))
     return (
         kept.withColumn("mix_block", _block(F.col("mix_draw"), F.col("mix_blocks")).cast("long"))
-        .withColumn("mix_at", (F.col("mix_epoch") + F.col("mix_draw") / F.lit(float(1 << 62))) / F.col("mix_repeats"))
+        .withColumn("mix_at", (F.col("mix_epoch") + F.col("mix_draw") / F.lit(float(1 << 62))) / drawn)
         .drop("mix_draw", "mix_last", "mix_blocks", "mix_epochs")
     )
 
