@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracecast.llm.common import id_and_text, mixed, prefix_hashes, raw_bytes, slices, span_hashes
+from tracecast.llm.common import SLICE_BYTES, id_and_text, mixed, prefix_hashes, raw_bytes, slices, span_hashes
 from tracecast.llm.groups import whole_groups
 from tracecast.storage import materialize
 
@@ -134,6 +134,18 @@ def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches):
+        names = np.array([_name((t or "").encode()) for t in part.column("text").to_pylist()], np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names[:, 0]), pa.array(names[:, 1])], ["doc_id", "text_a", "text_b"])
+
+
+def named_texts(docs: DataFrame) -> DataFrame:
+    """Each distinct text with the smallest ``doc_id`` that has it and the number of rows that do."""
+    names = id_and_text(docs).mapInArrow(_named, "doc_id long, text_a long, text_b long")
+    return names.groupBy("text_a", "text_b").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+
+
 def packed_texts(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).mapInArrow(_packed_texts, "doc_id long, text_a long, text_b long, packed binary")
 
@@ -147,7 +159,7 @@ def _surroundings(settings: RepeatSettings):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in slices(batches, SLICE_BYTES // 4, "packed"):
             out: dict[str, list] = {n: [] for n in ("bucket", "low", "high", "text_a", "text_b", "place", "done", "left", "right")}
             for a, b, packed, wanted in zip(*(batch.column(n).to_pylist() for n in ("text_a", "text_b", "packed", "wanted"))):
                 text = expand(packed) if packed else b""
@@ -200,7 +212,7 @@ def _common(rows: list[bytes]) -> np.ndarray:
 
 def _intervals(common: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """Common-prefix intervals ``(length, first, last)`` of two rows or more, inner ones first, by a stack scan."""
-    stack = [(0, 0)]
+    stack: list[tuple[int, int]] = []
     for i, length in enumerate([*common[1:].tolist(), -1], 1):
         first = i - 1
         while stack and stack[-1][0] > length:
@@ -229,6 +241,33 @@ def maximal_repeats(left: list[bytes], right: list[bytes], least: int) -> Iterat
                 yield extent, deep, [order[i] for i in rows]
 
 
+def _best_neighbour(bucket: np.ndarray, values: list[bytes]) -> np.ndarray:
+    """Longest prefix each value shares with another of its bucket."""
+    order = sorted(range(len(values)), key=lambda i: (bucket[i], values[i]))
+    common = _common([values[i] for i in order])
+    common[1:][bucket[order][1:] != bucket[order][:-1]] = 0
+    out = np.zeros(len(values), np.int64)
+    out[order] = np.maximum(common, np.append(common[1:], 0))
+    return out
+
+
+def _hopeful(left: list[bytes], right: list[bytes], occurrence: list[tuple], starts: np.ndarray, least: int) -> tuple[list[int], list[int]]:
+    """Rows that can be in a group, without rows given twice, and where their buckets start.
+
+    A row is in none if the most it shares to the left with one row and to the right with another is too short.
+    """
+    bucket = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    seen: set[tuple] = set()
+    rows = np.array([i for i, o in enumerate(zip(bucket.tolist(), occurrence)) if not (o in seen or seen.add(o))], np.int64)
+    while len(rows):
+        reach = _best_neighbour(bucket[rows], [right[i] for i in rows]) + _best_neighbour(bucket[rows], [left[i][::-1] for i in rows])
+        if (reach >= least).all():
+            break
+        rows = rows[reach >= least]
+    cuts = np.flatnonzero(np.diff(bucket[rows])) + 1
+    return rows.tolist(), [0, *cuts.tolist(), len(rows)] if len(rows) else [0]
+
+
 FOUND = "text_a long, text_b long, start int, end int, group_a long, group_b long"
 
 
@@ -239,9 +278,9 @@ def _scanned(settings: RepeatSettings):
         for rows, starts in whole_groups(batches, ["bucket", "low", "high"]):
             left, right, place, a, b = (rows.column(n).to_pylist() for n in ("left", "right", "place", "text_a", "text_b"))
             out = []
-            for start, end in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                if end - start < 2:
-                    continue
+            kept, starts = _hopeful(left, right, list(zip(a, b, place)), starts, settings.least)
+            left, right, place, a, b = ([values[i] for i in kept] for values in (left, right, place, a, b))
+            for start, end in zip(starts[:-1], starts[1:]):
                 for extent, deep, found in maximal_repeats(left[start:end], right[start:end], settings.least):
                     i = start + found[0]
                     group = _name(left[i][len(left[i]) - extent :] + right[i][:deep])
@@ -266,10 +305,10 @@ def _occurrence() -> F.Column:
     return F.struct("text_a", "text_b", "place")
 
 
-def repeats(docs: DataFrame, settings: RepeatSettings = RepeatSettings()) -> DataFrame:
+def repeats(docs: DataFrame, names: DataFrame, settings: RepeatSettings = RepeatSettings()) -> DataFrame:
     """Spans ``start`` to ``end`` (bytes) of the texts ``text_a, text_b`` (see :func:`packed_texts`) that occur elsewhere, too.
 
-    One row per occurrence and group ``group_a, group_b``. ``end`` may be beyond the text's end, ``start`` before it.
+    ``names`` is :func:`named_texts` of ``docs``. One row per occurrence and group ``group_a, group_b``. ``end`` may be beyond the text's end, ``start`` before it.
     """
     found = id_and_text(docs).mapInArrow(_anchored(settings), ANCHORS)
     shared = found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
@@ -285,8 +324,11 @@ def repeats(docs: DataFrame, settings: RepeatSettings = RepeatSettings()) -> Dat
         places.join(several, "core").select("core", "first.*", (F.col("first") != F.col("last")).alias("done"))
         .groupBy("text_a", "text_b").agg(F.collect_list(F.struct("core", "place", "done")).alias("wanted"))  # of one text
     )
-    texts = packed_texts(docs).join(wanted, ["text_a", "text_b"])
-    rows = materialize(texts.mapInArrow(_surroundings(settings), SUFFIXES).dropDuplicates(["bucket", "text_a", "text_b", "place"]), "suffixes")
+    wanted = wanted.join(names.select("text_a", "text_b", "first_id"), ["text_a", "text_b"])
+    texts = packed_texts(docs).alias("t").join(wanted.alias("w"), [
+        F.col("t.text_a") == F.col("w.text_a"), F.col("t.text_b") == F.col("w.text_b"), F.col("t.doc_id").eqNullSafe(F.col("w.first_id")),
+    ])
+    rows = materialize(texts.select("t.text_a", "t.text_b", "packed", "wanted").mapInArrow(_surroundings(settings), SUFFIXES), "suffixes")
     while True:
         sizes = rows.groupBy("bucket", "low", "high").agg(F.count("*").alias("n"))
         large = materialize(sizes.where(F.col("n") > settings.bucket_rows).select("bucket", "low", "high"), "large-buckets")
@@ -315,7 +357,7 @@ def _removed(settings: RepeatSettings):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in slices(batches, SLICE_BYTES // 4, "packed"):
             rows = []
             for doc_id, packed, copies, spans in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "packed", "copies", "spans"))):
                 text = expand(packed)
@@ -342,10 +384,10 @@ def _removed(settings: RepeatSettings):
 
 def without_repeats(docs: DataFrame, settings: RepeatSettings = RepeatSettings()) -> DataFrame:
     """What is left of each document when every byte of a repeat of ``least`` bytes is removed: counts and a hash."""
-    texts = packed_texts(docs)
-    copies = texts.groupBy("text_a", "text_b").agg(F.count("*").alias("n")).where("n > 1").select("text_a", "text_b", F.lit(True).alias("copies"))
+    texts, names = packed_texts(docs), materialize(named_texts(docs), "texts")
+    copies = names.where("n > 1").select("text_a", "text_b", F.lit(True).alias("copies"))
     spans = (
-        repeats(docs, settings).select("text_a", "text_b", "start", "end").distinct()
+        repeats(docs, names, settings).select("text_a", "text_b", "start", "end").distinct()
         .groupBy("text_a", "text_b").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # of one text
     )
     key = ["text_a", "text_b"]
