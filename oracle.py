@@ -139,9 +139,9 @@ def _scored_lines(log: str) -> str:
 
 _GRAMS = """,
     grams as (
-        select case_id, activity as ngram, pos as last from {ev}
+        select case_id, [activity] as gram, pos as last from {ev}
         union all
-        select case_id, activity || ' ' || nxt, pos + 1 from (
+        select case_id, [activity, nxt], pos + 1 from (
             select case_id, activity, pos, lead(activity) over (partition by case_id order by pos) as nxt from {ev})
         where nxt is not null)
 """
@@ -177,15 +177,23 @@ def queries() -> dict[str, str]:
             select 'concept:name' as trace_key, cast(rn - 1 as varchar) as trace_name, {_text('acts')} as names, n as n_events
             from ranked""",
         "xes_roundtrip": lines + f"select cast(rn - 1 as varchar) as trace_name, {_text('acts')} as trace from ranked",
+        "xes_attributes": """
+            select cast(o_custkey as varchar) as trace_name, string_agg(o_orderpriority, ',' order by o_orderdate, o_orderkey) as trace,
+                   string_agg(o_orderstatus, ',' order by o_orderdate, o_orderkey) as statuses, count(*) as n_times
+            from orders where o_custkey is not null group by o_custkey""",
+        "csv_roundtrip": events + f"select 'u' || case_id as case_id, {_text('acts')} as trace from tr",
         "levenshtein_similarity": halves + f"select case_id, k as length, {_LEVENSHTEIN} as similarity from spelled",
         "damerau_similarity": halves + f"select case_id, k as length, {_DAMERAU} as similarity from spelled",
-        "activity_ngrams": lines + _GRAMS.format(ev="ev") + "select case_id, ngram, count(*) as n from grams group by 1, 2",
+        "activity_ngrams": lines + _GRAMS.format(ev="ev") + "select case_id, array_to_string(gram, ' ') as ngram, count(*) as n from grams group by case_id, gram",
+        "orders_ngrams": orders + _GRAMS.format(ev="ev") + "select case_id, array_to_string(gram, ' ') as ngram, len(gram) as size, count(*) as n from grams group by case_id, gram",
+        "orders_ngram_features": orders + _TRAIN_EVENTS + _GRAMS.format(ev="tev") + """
+            select case_id, array_to_string(gram, ' ') as ngram, len(gram) as size from grams group by case_id, gram""",
         "ngram_vocabulary": train_grams + """
-            select ngram, count(distinct case_id) as n_traces from grams group by 1 order by 2 desc, 1 limit 100000""",
-        "ngram_features": train_grams + "select distinct case_id, ngram from grams",
+            select array_to_string(gram, ' ') as ngram, count(distinct case_id) as n_traces from grams group by gram""",
+        "ngram_features": train_grams + "select case_id, array_to_string(gram, ' ') as ngram from grams group by case_id, gram",
         "prefix_features": talks + _TRAIN_EVENTS + _GRAMS.format(ev="tev") + """
-            select case_id, unnest(range(greatest(2, first_len), longest + 1)) as length, ngram
-            from (select case_id, ngram, min(last) as first_len from grams group by 1, 2)
+            select case_id, unnest(range(greatest(2, first_len), longest + 1)) as length, array_to_string(gram, ' ') as ngram
+            from (select case_id, gram, min(last) as first_len from grams group by 1, 2)
             cross join (select max(n) as longest from train)""",
         "tree_table": lines + _NODES + f"select model_id, type, shortname, {_long('node_id', 'parent_id', 'child_ix', 'depth')} from nodes",
         "tree_memberships": lines + _NODES + """

@@ -1,13 +1,11 @@
 import json
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from tracecast.operators.discover import discover
 from tracecast.operators.replay import replay, visible_path
 from tracecast.operators.tree import transitions, tree_nodes
-from tracecast.settings import Settings
 from tracecast.sources.trees import models_from, read_models, tree_from_text, tree_to_text, write_models
 from tracecast.storage import materialize
 
@@ -59,10 +57,10 @@ def test_counts_and_partitions_do_not_matter(spark):
     assert discover(log).first().tree == discover(log.repartition(5)).first().tree
 
 
-def test_alphabet_bound_is_an_error(spark):
-    log = spark.createDataFrame([("m", ["a", "b", "c"], 1)], "model_id string, acts array<string>, n_traces bigint")
-    with pytest.raises(Exception, match="max_alphabet"):
-        discover(log, Settings(max_alphabet=2)).collect()
+def test_a_large_alphabet_is_no_error(spark):
+    acts = [f"a{i:04d}" for i in range(2_500)]
+    log = spark.createDataFrame([("m", acts, 1)], "model_id string, acts array<string>, n_traces bigint")
+    assert json.loads(discover(log).first().tree) == ["Seq", *acts]
 
 
 def test_text_form_and_store(spark, tmp_path):

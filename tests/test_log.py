@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracecast.functions.sequences import cut, from_text, ngrams, to_text
@@ -23,6 +24,42 @@ def test_csv_source(spark, tmp_path):
     assert found == {10: ["0", "1"], 2: ["7"]}
 
 
+def logs_of(spark, path, **options):
+    return {r.case_id: r.acts for r in traces.traces(read_csv_log(spark, str(path), **options)).collect()}
+
+
+def test_csv_without_a_time_keeps_the_order_of_the_file(spark, tmp_path):
+    path = tmp_path / "log.csv"
+    path.write_text("CaseID,ActivityID\n" + "".join(f"{i % 3},{a}\n" for i, a in enumerate("766767767")))
+    assert logs_of(spark, path) == {0: ["7", "7", "7"], 1: ["6", "6", "6"], 2: ["6", "7", "7"]}
+
+
+def test_csv_columns_in_any_order_and_text_cases(spark, tmp_path):
+    (tmp_path / "b.csv").write_text("ActivityID,CaseID,More\nx,A1,1\ny,01,2\nz,A1,3\n")
+    assert logs_of(spark, tmp_path / "b.csv") == {"A1": ["x", "z"], "01": ["y"]}
+    with pytest.raises(Exception, match="CaseID"):
+        logs_of(spark, tmp_path / "b.csv", case_type="bigint")
+    with pytest.raises(ValueError, match="Nope"):
+        logs_of(spark, tmp_path / "b.csv", activity="Nope")
+    (tmp_path / "c.csv").write_text("CaseID,ActivityID,CompleteTimestamp\n1,a,yesterday\n")
+    with pytest.raises(Exception, match="yesterday"):
+        logs_of(spark, tmp_path / "c.csv")
+
+
+def test_csv_files_of_a_folder_follow_one_another(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    for name, acts in (("1.csv", "ab"), ("2.csv", "c" * 40), ("3.csv", "da")):
+        (folder / name).write_text("CaseID,ActivityID\n" + "".join(f"5,{a}\n" for a in acts))
+    assert logs_of(spark, folder) == {5: list("ab" + "c" * 40 + "da")}
+
+
+def test_labels_with_blanks_are_not_taken_for_pairs(spark):
+    rows = spark.createDataFrame([(1, ["a b", "c"]), (2, ["a", "b c"]), (3, ["a", "b"])], "case_id bigint, acts array<string>")
+    grams = N.first_lengths(rows)
+    assert N.vocabulary(grams).count() == len({("a b",), ("c",), ("a b", "c"), ("a",), ("b c",), ("a", "b c"), ("b",), ("a", "b")})
+
+
 def test_split_sizes_of_small_log(small):
     parts = split.train_test_split(small)
     train, test = parts.where("is_train"), parts.where("not is_train")

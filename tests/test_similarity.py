@@ -64,3 +64,18 @@ def test_many_labels_and_symmetry(spark):
 def test_score_pairs_keeps_every_line(spark):
     rows = spark.createDataFrame([(i, ["a"], ["a", "b"]) for i in range(5)], "i int, suffix_guessed array<string>, suffix array<string>")
     assert [r.damerau_similarity for r in score_pairs(rows).collect()] == [0.5] * 5
+
+
+def test_long_sequences_take_little_memory():
+    import tracemalloc
+
+    import pandas as pd
+
+    from tracecast.functions import similarity
+
+    rng = random.Random(1)
+    left, right = ([[rng.choice("abcd") for _ in range(150)] for _ in range(400)] for _ in range(2))
+    tracemalloc.start()
+    similarity._damerau_batch(pd.Series(left), pd.Series(right))
+    assert tracemalloc.get_traced_memory()[1] < 60_000_000
+    tracemalloc.stop()

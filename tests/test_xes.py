@@ -18,6 +18,32 @@ def test_reads_a_log_file(spark, tmp_path):
     assert [(r.trace_name, r.acts) for r in read_xes(spark, str(path)).collect()] == [("0", ["1", "01"])]
 
 
+MANY = """<log>
+  <trace>
+    <string key="source" value="bob"/>
+    <string key="concept:name" value="c1"/>
+    <string key="last" value="z"/>
+    <event>
+      <string key="org:resource" value="r1"/>
+      <date key="time:timestamp" value="2020-01-01T00:00:00Z"/>
+      <string key="concept:name" value="A"/>
+      <int key="cost" value="3"/>
+      <string key="lifecycle:transition" value="complete"/>
+    </event>
+    <event><string key="concept:name" value="B"/></event>
+  </trace>
+</log>
+"""
+
+
+def test_attributes_are_picked_by_key(spark, tmp_path):
+    path = tmp_path / "log.xes"
+    path.write_text(MANY)
+    row = read_xes(spark, str(path), who="org:resource", when="time:timestamp").first()
+    assert (row.trace_name, row.acts, row.who) == ("c1", ["A", "B"], ["r1", None])
+    assert row.when == ["2020-01-01T00:00:00Z", None]
+
+
 def test_roundtrip(spark, small, tmp_path):
     write_xes(small, str(tmp_path / "xes"))
     back = {int(r.trace_name): r.acts for r in read_xes(spark, str(tmp_path / "xes")).collect()}

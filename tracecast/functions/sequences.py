@@ -38,5 +38,10 @@ def ngram_positions(acts: Column, low: int = 1, high: int = 2) -> Column:
 
 
 def ngrams(acts: Column, low: int = 1, high: int = 2) -> Column:
-    """Every n-gram of the sequence, with repeats, as space-joined text."""
+    """Every n-gram of the sequence, with repeats, as space-joined text: for display, as labels may hold blanks."""
     return F.transform(ngram_positions(acts, low, high), lambda g: F.array_join(g["ngram"], " "))
+
+
+def ngram_arrays(acts: Column, low: int = 1, high: int = 2) -> Column:
+    """Every n-gram of the sequence, with repeats, as an array of labels."""
+    return F.transform(ngram_positions(acts, low, high), lambda g: g["ngram"])

@@ -12,8 +12,9 @@ from pyspark.sql.functions import pandas_udf
 #: First code of the per-pair alphabet and number of codes below the surrogate range.
 _FIRST_CODE = 0x100
 _CODES = 0xD800 - _FIRST_CODE
-#: Pairs compared in one vectorised pass.
+#: Pairs compared in one vectorised pass, at most, and numbers such a pass may hold.
 _CHUNK = 1024
+_NUMBERS = 1 << 23
 
 
 def _or_blank(acts: Column) -> Column:
@@ -52,27 +53,37 @@ def _padded(codes: list[np.ndarray], fill: int) -> np.ndarray:
 
 
 def _damerau_distances(left: list[np.ndarray], right: list[np.ndarray], n_labels: int) -> np.ndarray:
-    """Unrestricted Damerau-Levenshtein distance of many pairs, one table cell at a time."""
+    """Unrestricted Damerau-Levenshtein distance of many pairs, one table cell at a time.
+
+    Of the rows above, a swap needs the one before the last row of each label: one row per label is kept.
+    """
     a, b = _padded(left, -1), _padded(right, -2)
     len_a, len_b = np.array([len(x) for x in left]), np.array([len(x) for x in right])
     pairs, (n, m) = np.arange(len(left)), (a.shape[1], b.shape[1])
     far = n + m + 1
-    # d[i + 1, j + 1] is the distance of the first i and j labels; row and column 0 are sentinels.
-    d = np.full((n + 2, m + 2, len(left)), far, dtype=np.int32)
-    d[1:, 1, :] = np.arange(n + 1)[:, None]
-    d[1, 1:, :] = np.arange(m + 1)[:, None]
+    # Column j + 1 is the distance to the first j labels; column 0 is a sentinel.
+    above = np.vstack([np.full(len(left), far), np.arange(m + 1)[:, None].repeat(len(left), 1)]).astype(np.int32)
+    kept = np.full((n_labels, m + 2, len(left)), far, dtype=np.int32)
     row_of_label = np.zeros((len(left), n_labels), dtype=np.int32)
+    out = np.where(len_a == 0, len_b, 0).astype(np.int32)
     for i in range(1, n + 1):
         last_match = np.zeros(len(left), dtype=np.int32)
+        row = np.empty_like(above)
+        row[0], row[1] = far, i
         for j in range(1, m + 1):
-            seen_row = row_of_label[pairs, b[:, j - 1]]
-            same = a[:, i - 1] == b[:, j - 1]
-            swap = d[seen_row, last_match, pairs] + (i - seen_row - 1) + 1 + (j - last_match - 1)
-            edit = np.minimum(d[i, j] + ~same, np.minimum(d[i + 1, j], d[i, j + 1]) + 1)
-            d[i + 1, j + 1] = np.minimum(edit, swap)
+            label = b[:, j - 1]
+            seen_row = row_of_label[pairs, label]
+            same = a[:, i - 1] == label
+            swap = kept[label, last_match, pairs] + (i - seen_row - 1) + 1 + (j - last_match - 1)
+            edit = np.minimum(above[j] + ~same, np.minimum(row[j], above[j + 1]) + 1)
+            row[j + 1] = np.minimum(edit, swap)
             last_match[same] = j
+        kept[a[:, i - 1], :, pairs] = above.T
         row_of_label[pairs, a[:, i - 1]] = i
-    return d[len_a + 1, len_b + 1, pairs]
+        done = len_a == i
+        out[done] = row[len_b[done] + 1, pairs[done]]
+        above = row
+    return out
 
 
 def _damerau_batch(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -84,13 +95,16 @@ def _damerau_batch(a: pd.Series, b: pd.Series) -> pd.Series:
     longest = np.array([max(len(x), len(y)) for x, y in zip(left, right)])
     result = np.zeros(len(left))
     by_size = np.lexsort(([len(y) for y in right], [len(x) for x in left]))
-    for start in range(0, len(left), _CHUNK):
+    start = 0
+    while start < len(left):
         rows = by_size[start : start + _CHUNK]
-        chunk_a, chunk_b = [left[r] for r in rows], [right[r] for r in rows]
-        n_labels = max(max(x.max(), y.max()) for x, y in zip(chunk_a, chunk_b)) + 1
         # Two spare labels take the padding codes -1 and -2.
-        found = _damerau_distances(chunk_a, chunk_b, n_labels + 2)
+        labels = np.array([max(left[r].max(), right[r].max()) + 3 for r in rows])
+        held = np.maximum.accumulate(labels) * np.maximum.accumulate([len(right[r]) + 2 for r in rows]) * np.arange(1, len(rows) + 1)
+        rows = rows[: max(1, int(np.searchsorted(held, _NUMBERS, side="right")))]
+        found = _damerau_distances([left[r] for r in rows], [right[r] for r in rows], int(labels[: len(rows)].max()))
         result[rows] = 1.0 - found / longest[rows]
+        start += len(rows)
     return pd.Series(result)
 
 

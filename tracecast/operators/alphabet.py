@@ -3,17 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tracecast.settings import Settings
 
-
-def labels(log: DataFrame, settings: Settings = Settings()) -> list[str]:
-    """Sorted distinct activities; refuses more than a process model may hold."""
-    found = log.select("activity").distinct().limit(settings.max_alphabet + 1).collect()
-    if len(found) > settings.max_alphabet:
-        raise ValueError(f"more than max_alphabet={settings.max_alphabet} activities")
-    return sorted(r["activity"] for r in found)
+def labels(log: DataFrame) -> list[str]:
+    """Sorted distinct activities."""
+    return sorted(r["activity"] for r in log.select("activity").distinct().collect())
 
 
 def flower(acts: list[str]) -> list:

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracecast.functions.sequences import ngrams
+from tracecast.functions.sequences import ngram_arrays
 from tracecast.operators.traces import variants
 from tracecast.settings import Settings
 from tracecast.storage import materialize
@@ -40,7 +40,7 @@ class Clustering:
 def feature_points(train: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Variants with their point: ``(variant_id, acts, n_traces, point, grams, activities)``."""
     distinct = variants(train).select("variant_id", "acts", "n_traces")
-    grams = F.array_distinct(ngrams(F.col("acts"), settings.ngram_min, settings.ngram_max))
+    grams = F.transform(F.array_distinct(ngram_arrays(F.col("acts"), settings.ngram_min, settings.ngram_max)), lambda g: F.to_json(g))
     return distinct.withColumns({"grams": grams, "activities": F.array_distinct("acts")}).withColumn(
         "point", _set_key(_set_hash(F.col("grams")))
     )

@@ -6,11 +6,6 @@ tasks, so one that holds a large share of the log costs no more than others.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,31 +43,6 @@ def start_end_activities(variant_rows: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-_LOCAL_SCHEMA = (
-    "part int, a string, b string, cnt bigint, first_case string, first_act string, last_case string, last_act string"
-)
-
-
-def _pairs_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pair counts of one sorted range, and the range's first and last event."""
-    part, found, first, last = TaskContext.get().partitionId(), Counter(), None, None
-    for batch in batches:
-        if batch.empty:
-            continue
-        first = first or tuple(batch.iloc[0])
-        if last is not None:
-            batch = pd.concat([pd.DataFrame([last], columns=batch.columns), batch])
-        case, act = batch["case_id"].to_numpy(), batch["activity"].to_numpy()
-        same = case[1:] == case[:-1]
-        pairs = pd.DataFrame({"a": act[:-1][same], "b": act[1:][same]})
-        found.update(pairs.value_counts().to_dict())
-        last = tuple(batch.iloc[-1])
-    rows = [(part, a, b, n, None, None, None, None) for (a, b), n in found.items()]
-    if first is not None:
-        rows.append((part, None, None, None, *first, *last))
-    yield pd.DataFrame(rows, columns=[c.split()[0] for c in _LOCAL_SCHEMA.split(", ")])
-
-
 def directly_follows_of_events(log: DataFrame) -> DataFrame:
     """``(a, b, cnt)`` of a ``(case_id, activity, ord)`` log.
 
@@ -81,19 +51,16 @@ def directly_follows_of_events(log: DataFrame) -> DataFrame:
     """
     parts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["case_id", "ord", "activity"]
-    ranges = log.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    # Written once: both uses below must see the same ranges.
-    counted = materialize(
-        ranges.select(F.col("case_id").cast("string").alias("case_id"), "activity").mapInPandas(_pairs_in_order, _LOCAL_SCHEMA),
-        "range-pairs",
-    )
-    along = Window.orderBy("part")
-    ends = counted.where("first_case is not null").select(
-        F.lag("last_case").over(along).alias("case_before"), F.lag("last_act").over(along).alias("a"), "first_case",
-        F.col("first_act").alias("b"),
-    )
-    across = ends.where("case_before = first_case").select("a", "b", F.lit(1).cast("bigint").alias("cnt"))
-    inside = counted.where("first_case is null").select("a", "b", "cnt")
+    ranges = log.select(*order).repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
+    # Written once: all uses below must see the same ranges.
+    ranges = materialize(ranges, "ranges")
+    within = Window.partitionBy("part").orderBy(*order)
+    before = ranges.select("case_id", "activity", F.lag(F.struct("case_id", "activity")).over(within).alias("before"))
+    inside = before.where("before.case_id = case_id").groupBy(F.col("before.activity").alias("a"), F.col("activity").alias("b")).agg(F.count("*").alias("cnt"))
+    at = F.struct(*order)
+    ends = ranges.groupBy("part").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    seam = ends.select("first", F.lag("last").over(Window.orderBy("part")).alias("last"))  # one row per range
+    across = seam.where("last.case_id = first.case_id").select(F.col("last.activity").alias("a"), F.col("first.activity").alias("b"), F.lit(1).cast("bigint").alias("cnt"))
     return inside.unionByName(across).groupBy("a", "b").agg(F.sum("cnt").alias("cnt"))
 
 

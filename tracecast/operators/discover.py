@@ -8,6 +8,7 @@ the executors, and identical sub-traces are merged after every split.
 
 from __future__ import annotations
 
+import itertools
 import json
 
 import numpy as np
@@ -81,7 +82,7 @@ def _without(a: str, acts: list[str], runs: list[tuple], repeats: dict) -> Graph
     return _graph([x for x in acts if x != a], pairs, starts, ends)
 
 
-def _choose(node: str, sums: pd.DataFrame, max_alphabet: int) -> dict:
+def _choose(node: str, sums: pd.DataFrame) -> dict:
     """Cut or fall-through of one sublog, as the instruction that splits it."""
     by_kind = {kind: rows for kind, rows in sums.groupby("kind")}
     none = sums.iloc[:0]
@@ -90,8 +91,6 @@ def _choose(node: str, sums: pd.DataFrame, max_alphabet: int) -> dict:
     run_rows = by_kind.get("run", none)
     runs = list(zip(run_rows["before"], run_rows["a"], run_rows["after"]))
     acts = sorted(set(run_rows["a"]))
-    if len(acts) > max_alphabet:
-        raise ValueError(f"sublog {node} has {len(acts)} activities, more than max_alphabet={max_alphabet}")
 
     def split(rule: str, kind: str, parts: list[list[str]], children=None, rows=(), starts=(), ends=()) -> dict:
         return {
@@ -136,7 +135,8 @@ def _choose(node: str, sums: pd.DataFrame, max_alphabet: int) -> dict:
     present = dict(zip(by_kind["in"]["a"], by_kind["in"]["w"]))
     if len(acts) > 1:
         once = [a for a in acts if occurrences[a] == n_traces and present[a] == n_traces]
-        freed = once[-1:] or [a for a in acts if find_cut(_without(a, acts, runs, repeats))][:1]
+        opens = (a for a in acts if find_cut(_without(a, acts, runs, repeats)))
+        freed = once[-1:] or list(itertools.islice(opens, 1))  # no further than the first that opens a cut
         if freed:
             return split("And", "And", [freed, [a for a in acts if a != freed[0]]])
     for rule, before_start in (("strict tau loop", ends), ("tau loop", set(acts))):
@@ -148,10 +148,10 @@ def _choose(node: str, sums: pd.DataFrame, max_alphabet: int) -> dict:
     return flower
 
 
-def _choose_cuts(patterns: DataFrame, max_alphabet: int) -> DataFrame:
+def _choose_cuts(patterns: DataFrame) -> DataFrame:
     def decide(key: tuple, sums: pd.DataFrame) -> pd.DataFrame:
         sums = sums.astype(object).where(sums.notna(), None)
-        return pd.DataFrame([{"model_id": key[0], "node": key[1], **_choose(key[1], sums, max_alphabet)}])
+        return pd.DataFrame([{"model_id": key[0], "node": key[1], **_choose(key[1], sums)}])
 
     return patterns.groupBy("model_id", "node").applyInPandas(decide, _CUT_SCHEMA)
 
@@ -231,7 +231,7 @@ def discover(log: DataFrame, settings: Settings = Settings()) -> DataFrame:
     )
     levels: list[DataFrame] = []
     while True:
-        cuts = materialize(_choose_cuts(_local_patterns(log), settings.max_alphabet), "discover-cuts")
+        cuts = materialize(_choose_cuts(_local_patterns(log)), "discover-cuts")
         levels.append(cuts.select("model_id", F.explode("rows").alias("r")).select("model_id", "r.*"))
         if cuts.where("rule <> 'leaf'").isEmpty():
             break

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracecast.operators.net import START, net
+from tracecast.storage import materialize
 
 _FIRED = "fired array<int>, n_skipped int"
 
@@ -41,7 +42,8 @@ def replay(variant_rows: DataFrame, models: DataFrame) -> DataFrame:
     transitions, silent and unobserved ones included; an activity the model cannot
     play is skipped whole and counted.
     """
-    rows = variant_rows.join(models.select("model_id", "tree"), "model_id")
+    # Written first: a model id that is one literal would make this a join without a key.
+    rows = materialize(variant_rows, "variants").join(models.select("model_id", "tree"), "model_id")
     schema = _fields("model_id variant_id n_traces", variant_rows) + ", " + _FIRED
     return rows.select("model_id", "variant_id", "n_traces", "acts", "tree").mapInPandas(_replay_complete, schema)
 
@@ -78,7 +80,7 @@ def prefix_states(sequences: DataFrame, models: DataFrame) -> DataFrame:
     prefix of a sequence, so the cost is linear in its length. ``state`` is the marking
     and the operator counters; equal states have equal continuations.
     """
-    rows = sequences.join(models.select("model_id", "tree"), "model_id")
+    rows = materialize(sequences, "sequences").join(models.select("model_id", "tree"), "model_id")
     schema = _fields("model_id variant_id", sequences) + ", states array<struct<length: int, state: string>>"
     return (
         rows.select("model_id", "variant_id", "acts", "lengths", "tree")

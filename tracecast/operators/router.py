@@ -16,7 +16,7 @@ from tracecast.storage import materialize
 
 
 class Router:
-    """``weights``: (candidate, length, ngram, cluster_id, weight above the unseen one);
+    """``weights``: (candidate, length, gram, cluster_id, weight above the unseen one);
     ``bases``: (candidate, length, cluster_id, bias, unseen)."""
 
     def __init__(self, weights: DataFrame, bases: DataFrame, vocab: DataFrame, max_len: int):
@@ -27,7 +27,7 @@ def train_router(labelled: DataFrame, max_len: int, settings: Settings = Setting
     """``labelled``: ``(candidate, cluster_id, variant_id, acts, n_traces)``, noise left out."""
     sequences = labelled.select("variant_id", "acts").distinct()
     grams = first_lengths(sequences, "variant_id", settings)
-    vocab = grams.select("ngram").distinct()
+    vocab = grams.select("gram").distinct()
     members = labelled.select("candidate", "cluster_id", "variant_id", "n_traces")
     sizes = members.groupBy("candidate", "cluster_id").agg(F.sum("n_traces").alias("size"))
     totals = sizes.groupBy("candidate").agg(F.sum("size").alias("all"))
@@ -35,23 +35,23 @@ def train_router(labelled: DataFrame, max_len: int, settings: Settings = Setting
     seen_at = (
         grams.withColumn("first_len", F.greatest(F.lit(2), "first_len"))
         .join(members, "variant_id")
-        .groupBy("candidate", "cluster_id", "ngram", "first_len")
+        .groupBy("candidate", "cluster_id", "gram", "first_len")
         .agg(F.sum("n_traces").alias("n"))
     )
-    along = Window.partitionBy("candidate", "cluster_id", "ngram").orderBy("first_len")
+    along = Window.partitionBy("candidate", "cluster_id", "gram").orderBy("first_len")
     stepped = seen_at.select(
-        "candidate", "cluster_id", "ngram", "first_len",
+        "candidate", "cluster_id", "gram", "first_len",
         F.sum("n").over(along).alias("n"),
         (F.coalesce(F.lead("first_len").over(along), F.lit(max_len + 1)) - 1).alias("until"),
     )
     by_length = stepped.where("first_len <= until").select(
-        "candidate", "cluster_id", "ngram", "n", F.explode(F.sequence("first_len", "until")).alias("length")
+        "candidate", "cluster_id", "gram", "n", F.explode(F.sequence("first_len", "until")).alias("length")
     )
     share = (F.col("n") + 1) / (F.col("size") + 2)
     rare = 1 / (F.col("size") + 2)
     log_odds = lambda p: F.log(p) - F.log(1 - p)
     seen = by_length.join(sizes, ["candidate", "cluster_id"]).select(
-        "candidate", "length", "ngram", "cluster_id",
+        "candidate", "length", "gram", "cluster_id",
         (log_odds(share) - log_odds(rare)).alias("weight"),
         (F.log(1 - share) - F.log(1 - rare)).alias("absent"),
     )
@@ -76,13 +76,13 @@ def route(sequences: DataFrame, router: Router, settings: Settings = Settings())
     Lengths beyond the longest trained one use its classifier. Prefixes of one
     classifier with equal n-gram sets are scored once.
     """
-    grams = first_lengths(sequences, "variant_id", settings).join(router.vocab, "ngram", "left_semi")
+    grams = first_lengths(sequences, "variant_id", settings).join(router.vocab, "gram", "left_semi")
     lengths = F.explode(F.sequence(F.lit(2), F.size("acts") - 1)).alias("length")
     prefixes = sequences.where(F.size("acts") >= 3).select("variant_id", lengths)
-    held = prefixes.join(grams.select("variant_id", "ngram", "first_len"), "variant_id").where("first_len <= length")
+    held = prefixes.join(grams.select("variant_id", "gram", "first_len"), "variant_id").where("first_len <= length")
     # Order-free hash of the n-gram set.
     sets = held.groupBy("variant_id", "length").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("ngram")).alias("x"), F.bit_xor(F.xxhash64("ngram", F.lit(1))).alias("y")
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("gram")).alias("x"), F.bit_xor(F.xxhash64("gram", F.lit(1))).alias("y")
     )
     key = ["classifier", "n", "x", "y"]
     keyed = materialize(
@@ -94,7 +94,7 @@ def route(sequences: DataFrame, router: Router, settings: Settings = Settings())
     )
     first = keyed.groupBy(*key).agg(F.min(F.struct("variant_id", "length")).alias("p"))
     asked = first.select(*key, "p.variant_id", "p.length")
-    best = _best_cluster(asked.select(*key), asked.join(held, ["variant_id", "length"]).select(*key, "ngram"), router)
+    best = _best_cluster(asked.select(*key), asked.join(held, ["variant_id", "length"]).select(*key, "gram"), router)
     return keyed.join(best, key).select("candidate", "variant_id", "length", "cluster_id")
 
 
@@ -108,7 +108,7 @@ def _best_cluster(asked: DataFrame, held: DataFrame, router: Router) -> DataFram
     bases = router.bases.withColumnRenamed("length", "classifier")
     bare_score = F.col("bias") + F.col("n") * F.col("unseen")
     overlapping = (
-        held.join(router.weights.withColumnRenamed("length", "classifier"), ["classifier", "ngram"])
+        held.join(router.weights.withColumnRenamed("length", "classifier"), ["classifier", "gram"])
         .groupBy("candidate", "cluster_id", *key)
         .agg(F.sum("weight").alias("gain"))
         .join(bases, ["candidate", "classifier", "cluster_id"])

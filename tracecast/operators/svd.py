@@ -17,22 +17,21 @@ from tracecast.settings import Settings
 from tracecast.storage import materialize
 
 
-def svd_basis(features: DataFrame, key: str = "case_id", settings: Settings = Settings()) -> DataFrame | None:
-    """``(ngram, axis)``: right singular vectors; None when the projection cannot fit and raw vectors stay.
+def svd_basis(features: DataFrame, key: str = "case_id", settings: Settings = Settings()) -> DataFrame:
+    """``(name, axis)``: right singular vectors, as many as ``svd_components`` or as the n-grams allow.
 
-    The basis has at most ``max_features`` rows of ``svd_components`` numbers.
+    The basis has one row per n-gram of the vocabulary; ``name`` is the n-gram's array as JSON.
     """
-    rows = features.groupBy(key).agg(F.collect_set("ngram").alias("grams"))
-    model = CountVectorizer(inputCol="grams", outputCol="x", binary=True, vocabSize=settings.max_features).fit(rows)
-    names, k = model.vocabulary, settings.svd_components
-    if k >= len(names):
-        return None
+    rows = features.groupBy(key).agg(F.collect_set(F.to_json("gram")).alias("grams"))
+    model = CountVectorizer(inputCol="grams", outputCol="x", binary=True, vocabSize=settings.max_features or (1 << 31) - 1).fit(rows)
+    names = model.vocabulary
+    k = min(settings.svd_components, len(names))
     # The solver passes over the rows many times.
     vectors = materialize(model.transform(rows).select("x"), "vectors")
     matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "x"), numCols=len(names))
     v = matrix.computeSVD(k).V.toArray()
     v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])  # one sign per axis
-    schema = T.StructType([T.StructField("ngram", T.StringType()), T.StructField("axis", VectorUDT())])
+    schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("axis", VectorUDT())])
     spark = features.sparkSession
     return spark.createDataFrame([(name, DenseVector(axis)) for name, axis in zip(names, v)], schema)
 
@@ -40,7 +39,7 @@ def svd_basis(features: DataFrame, key: str = "case_id", settings: Settings = Se
 def svd_features(features: DataFrame, basis: DataFrame, key: str = "case_id") -> DataFrame:
     """``(key, projection)``: sum of the axes of the n-grams a row holds."""
     return (
-        features.join(basis, "ngram")
+        features.withColumn("name", F.to_json("gram")).join(basis, "name")
         .groupBy(key)
         .agg(Summarizer.sum(F.col("axis")).alias("x"))
         .select(key, vector_to_array("x").alias("projection"))

@@ -23,7 +23,7 @@ from tracecast.plans.suffix_model import MAIN
 from tracecast.settings import Settings
 from tracecast.ship import ship
 from tracecast.sources import trees, xes
-from tracecast.sources.eventlog import event_log
+from tracecast.sources.eventlog import event_log, read_csv_log
 from tracecast.storage import materialize, new_path
 
 COMMA = ","
@@ -162,6 +162,24 @@ def xes_roundtrip_query(spark, folder):
     return xes.read_xes(spark, path).select("trace_name", _text("acts").alias("trace"))
 
 
+def xes_attributes_query(spark, folder):
+    """Events with several attributes each, of which the name is neither the first nor the last."""
+    path = new_path(spark, "xes")
+    rows = _table(spark, folder, "orders")
+    log = event_log(rows, "o_custkey", "o_orderpriority", ["o_orderdate", "o_orderkey", "o_orderstatus"])
+    xes.write_xes_events(log.withColumns({"time": F.col("ord.k0").cast("timestamp"), "status": F.col("ord.k2")}), path, org__resource="status", time__timestamp="time")
+    found = xes.read_xes(spark, path, statuses="org:resource", times=xes.TIME)
+    return found.select("trace_name", _text("acts").alias("trace"), _text("statuses").alias("statuses"), F.size("times").cast("bigint").alias("n_times"))
+
+
+def csv_roundtrip_query(spark, folder):
+    """Events written as CSV with permuted columns, text case ids and no time: the order is that of the files."""
+    path = new_path(spark, "csv")
+    rows = _table(spark, folder, "events").orderBy("ts", "event_id")
+    rows.select(F.col("event_type").alias("ActivityID"), F.lit("x").alias("Other"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("CaseID")).write.csv(path, header=True)
+    return traces.traces(read_csv_log(spark, path)).select("case_id", _text("acts").alias("trace"))
+
+
 # -- similarity ----------------------------------------------------------------------------------
 
 def _halves(spark, folder):
@@ -188,12 +206,22 @@ def activity_ngrams_query(spark, folder):
 
 
 def ngram_vocabulary_query(spark, folder):
-    return ngrams.vocabulary(ngrams.first_lengths(_parts("lineitem", spark, folder)[0]))
+    return ngrams.vocabulary(ngrams.first_lengths(_parts("lineitem", spark, folder)[0])).select("ngram", "n_traces")
 
 
 def ngram_features_query(spark, folder):
     grams = ngrams.first_lengths(_parts("lineitem", spark, folder)[0])
-    return ngrams.binary_features(grams, ngrams.vocabulary(grams))
+    return ngrams.binary_features(grams, ngrams.vocabulary(grams)).select("case_id", "ngram")
+
+
+def orders_ngrams_query(spark, folder):
+    """Over labels that hold blanks."""
+    return ngrams.first_lengths(_traces("orders", spark, folder)).select("case_id", "ngram", F.size("gram").cast("bigint").alias("size"), "n")
+
+
+def orders_ngram_features_query(spark, folder):
+    grams = ngrams.first_lengths(_parts("orders", spark, folder)[0])
+    return ngrams.binary_features(grams, ngrams.vocabulary(grams)).select("case_id", "ngram", F.size("gram").cast("bigint").alias("size"))
 
 
 def prefix_features_query(spark, folder):
@@ -469,7 +497,7 @@ def cluster_coverage_query(spark, folder):
 
 def prefix_router_query(spark, folder):
     router = _fitted(spark, folder)[0].router
-    return router.weights.select("candidate", "length", "ngram", "cluster_id", F.round("weight", 9).alias("weight"))
+    return router.weights.select("candidate", "length", F.array_join("gram", " ").alias("ngram"), "cluster_id", F.round("weight", 9).alias("weight"))
 
 
 def routed_prefixes_query(spark, folder):

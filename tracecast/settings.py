@@ -10,7 +10,8 @@ class Settings:
     dataset: str = ""
     ngram_min: int = 1
     ngram_max: int = 2
-    max_features: int = 100_000
+    #: Keep only the n-grams found in most traces; all of them by default.
+    max_features: int | None = None
     svd_components: int = 200
     prob_building: float = 0.8
     prob_training: float = 0.2
@@ -18,8 +19,6 @@ class Settings:
     min_cluster_size_end: int = 11
     end_inclusive: bool = False
     seed: int = 1
-    #: Largest activity alphabet one process model may have (a model is metadata, one row).
-    max_alphabet: int = 2_000
     #: States handed to one Python group of the predictor; larger models are split over groups.
     states_per_group: int = 2_000
 
