@@ -256,10 +256,10 @@ def queries() -> dict[str, str]:
             select 0 as operator, source, med - 1 as median, (select count(*) from train) as n
             from usual cross join (select unnest(['pf+', 'pf']) as source))""",
         "and_decisions": lines + _BAG + f"""
-            select ranked, {_long('operator', 'step', 'n')} from (
-            select 0 as operator, step, string_agg(branch, ',' order by score desc, branch) as ranked, sum(cnt) as n
+            select ranked, source, {_long('operator', 'step', 'n')} from (
+            select 0 as operator, step, source, string_agg(branch, ',' order by score desc, branch) as ranked, sum(cnt) as n
             from (select step, branch, sum(n_traces) as cnt, sum(n_traces) / case when branch = 0 then 3.0 else 1.0 end as score
-                  from played group by step, branch) group by step)""",
+                  from played group by step, branch) cross join (select unnest(['pf+', 'pf']) as source) group by step, source)""",
         "decision_lookup": lines + _FLOWER + """
             select case_id, case when m.i is not null then 'pf+' else 'pf' end as source, coalesce(m.activity, o.activity) as value
             from test t left join modes m on m.i = t.n
@@ -287,6 +287,11 @@ def queries() -> dict[str, str]:
                    round(avg(power(dam - mu, 4)) / power(avg(power(dam - mu, 2)), 2) - 3, 6) as kurtosis
             from scored cross join m""",
         "run_report": _scored_lines("lineitem") + """
+            , m as (select avg(dam) as mu from scored)
             select 'lineitem' as dataset, 1 as ngram_min, 2 as ngram_max, (select count(*) from train) as n_train,
-                   count(*) as n_test, round(avg(dam), 6) as mean from scored""",
+                   count(*) as n_test, count(*) as nobs, round(min(dam), 6) as min, round(max(dam), 6) as max, round(avg(dam), 6) as mean,
+                   round(var_samp(dam), 6) as variance,
+                   round(avg(power(dam - mu, 3)) / power(avg(power(dam - mu, 2)), 1.5), 6) as skewness,
+                   round(avg(power(dam - mu, 4)) / power(avg(power(dam - mu, 2)), 2) - 3, 6) as kurtosis
+            from scored cross join m""",
     }

@@ -347,8 +347,8 @@ def loop_decisions_query(spark, folder):
 
 def and_decisions_query(spark, folder):
     counts, nodes = _counts(spark, folder, "bag")
-    rows = D.and_decisions(counts, nodes).where("source = 'pf+'")
-    return rows.select(*_long("operator", "step"), F.array_join(F.col("ranked").cast("array<string>"), COMMA).alias("ranked"), "n")
+    rows = D.and_decisions(counts, nodes)
+    return rows.select(*_long("operator", "step"), "source", F.array_join(F.col("ranked").cast("array<string>"), COMMA).alias("ranked"), "n")
 
 
 def decision_lookup_query(spark, folder):
@@ -434,7 +434,8 @@ def describe_similarity_query(spark, folder):
 def run_report_query(spark, folder):
     lines, train = _lines(spark, folder, "lineitem")
     rows = report.run_report(lines, train.agg(F.count(F.lit(1)).alias("n_train")), Settings(dataset="lineitem"))
-    return rows.select("dataset", "ngram_min", "ngram_max", "n_train", "n_test", F.round("mean", 6).alias("mean"))
+    stats = [F.round(c, 6).alias(c) for c in ("min", "max", "mean", "variance", "skewness", "kurtosis")]
+    return rows.select("dataset", "ngram_min", "ngram_max", "n_train", "n_test", "nobs", *stats)
 
 
 def discovered_lines(spark, folder, log: str = "conversations") -> DataFrame:
