@@ -34,6 +34,8 @@ def test_single_run_gives_the_stored_results(spark, csv_log, tmp_path):
     assert (row.n_train, row.n_test, row["mean"], row.variance, row.skewness, row.kurtosis) == (20, 5, 1.0, 0.0, 0.0, -3.0)
     run.write(str(tmp_path))
     assert spark.read.parquet(f"{tmp_path}/report").count() == 1 and spark.read.parquet(f"{tmp_path}/lines").count() == 5
+    run.write(str(tmp_path / "text"), "csv")
+    assert spark.read.csv(f"{tmp_path}/text/lines", header=True).count() == 5
 
 
 def test_clustered_run(csv_log):

@@ -44,7 +44,7 @@ def run_report(lines: DataFrame, n_train: DataFrame, settings: Settings, **extra
         n_train.select("n_train", F.lit(1).alias("run"))
         .join(stats, "run")
         .drop("run")
-        .select(*[F.lit(v).alias(k) for k, v in columns.items()], "*")
+        .select(*[(F.lit(None).cast("int") if v is None else F.lit(v)).alias(k) for k, v in columns.items()], "*")
     )
 
 

@@ -30,11 +30,11 @@ class Run:
     lines: DataFrame
     report: DataFrame
 
-    def write(self, folder: str) -> None:
+    def write(self, folder: str, fmt: str = "parquet") -> None:
         """Trees, lines and report under one folder; the report table grows by one row."""
         write_models(self.models, f"{folder}/models")
-        write_lines(self.lines, f"{folder}/lines")
-        append_report(self.report, f"{folder}/report")
+        write_lines(self.lines, f"{folder}/lines", fmt)
+        append_report(self.report, f"{folder}/report", fmt)
 
 
 def _split(log: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -75,14 +75,16 @@ def main() -> None:
     parser.add_argument("log")
     parser.add_argument("results")
     parser.add_argument("--clustered", action="store_true")
+    parser.add_argument("--format", choices=("parquet", "csv"), default="parquet", help="of the lines and the report")
     for field in dataclasses.fields(Settings):
-        if field.type in ("int", "float"):
-            parser.add_argument("--" + field.name.replace("_", "-"), type={"int": int, "float": float}[field.type], default=field.default)
+        if kind := {"int": int, "int | None": int, "float": float}.get(field.type):
+            parser.add_argument("--" + field.name.replace("_", "-"), type=kind, default=field.default)
     args = vars(parser.parse_args())
     path, results, clustered = args.pop("log"), args.pop("results"), args.pop("clustered")
+    fmt = args.pop("format")
     spark = ship(SparkSession.builder.appName("tracecast").getOrCreate())
     run = (run_clustered if clustered else run_single)(read_csv_log(spark, path), Settings(dataset=path, **args))
-    run.write(results)
+    run.write(results, fmt)
     run.report.show(truncate=False, vertical=True)
     release(spark)
 
