@@ -43,6 +43,24 @@ def test_every_repeated_byte_is_removed_and_no_other(spark, bucket_rows):
     assert sorted((tuple(x) for x in got), key=repr) == brute(rows, 20)
 
 
+def test_named_groups_have_the_same_bytes_and_cover_the_same(spark):
+    rows = corpus(7)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    names = r.named_texts(docs)
+    texts = {r._name((t or "").encode()): (t or "").encode() for _, t in rows}
+    groups, covered = collections.defaultdict(list), collections.defaultdict(set)
+    for x in r.repeats(docs, names, SMALL, named=True).collect():
+        text = texts[x.text_a, x.text_b]
+        groups[x.group_a, x.group_b].append((x.text_a, x.start, text[max(x.start, 0) : x.end]))
+        covered[x.text_a].update(range(max(x.start, 0), min(x.end, len(text))))
+    for found in groups.values():
+        assert len(set(found)) > 1 and len({piece for _, _, piece in found}) == 1
+    plain = collections.defaultdict(set)
+    for x in r.repeats(docs, names, SMALL).collect():
+        plain[x.text_a].update(range(max(x.start, 0), min(x.end, len(texts[x.text_a, x.text_b]))))
+    assert plain == covered
+
+
 def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert r.without_repeats(docs, SMALL).collect() == []

@@ -268,47 +268,63 @@ def _hopeful(left: list[bytes], right: list[bytes], occurrence: list[tuple], sta
     return rows.tolist(), [0, *cuts.tolist(), len(rows)] if len(rows) else [0]
 
 
-FOUND = "text_a long, text_b long, start int, end int, group_a long, group_b long"
+SPANS = "text_a long, text_b long, start int, end int"
+FOUND = SPANS + ", group_a long, group_b long"
+_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
 
 
-def _scanned(settings: RepeatSettings):
-    """Occurrences of the maximal repeat groups of each bucket."""
+def _batch(rows: list[tuple], names: str) -> pa.RecordBatch:
+    columns = [c.split()[0] for c in names.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), _TYPES)], columns)
+
+
+def _scanned(settings: RepeatSettings, named: bool, most: int = 50_000):
+    """Occurrences of the maximal repeat groups of each bucket; unless they are ``named``, one span per suffix for all its groups.
+
+    The spans of a suffix all hold its core, so that together they are one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in whole_groups(batches, ["bucket", "low", "high"]):
             left, right, place, a, b = (rows.column(n).to_pylist() for n in ("left", "right", "place", "text_a", "text_b"))
-            out = []
             kept, starts = _hopeful(left, right, list(zip(a, b, place)), starts, settings.least)
             left, right, place, a, b = ([values[i] for i in kept] for values in (left, right, place, a, b))
+            reach, out = np.zeros((2, len(kept)), np.int64), []
             for start, end in zip(starts[:-1], starts[1:]):
                 for extent, deep, found in maximal_repeats(left[start:end], right[start:end], settings.least):
-                    i = start + found[0]
-                    group = _name(left[i][len(left[i]) - extent :] + right[i][:deep])
-                    out += [(a[j], b[j], place[j] - extent, place[j] + deep, *group) for j in (start + k for k in found)]
+                    at = start + np.array(found)
+                    if not named:
+                        reach[0][at] = np.maximum(reach[0][at], extent)
+                        reach[1][at] = np.maximum(reach[1][at], deep)
+                        continue
+                    group = _name(left[at[0]][len(left[at[0]]) - extent :] + right[at[0]][:deep])
+                    out += [(a[j], b[j], place[j] - extent, place[j] + deep, *group) for j in at.tolist()]
+                    if len(out) >= most:
+                        yield _batch(out, FOUND)
+                        out = []
+            if not named:
+                out = [(a[j], b[j], place[j] - int(reach[0][j]), place[j] + int(reach[1][j])) for j in np.flatnonzero(reach[1]).tolist()]
             if out:
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), types)], ["text_a", "text_b", "start", "end", "group_a", "group_b"])
+                yield _batch(out, FOUND if named else SPANS)
 
     return run
 
 
-def _whole(rows: DataFrame, settings: RepeatSettings) -> DataFrame:
-    """Rows whose surroundings occur elsewhere: spans clipped to the text later, of no named group."""
-    return rows.select(
-        "text_a", "text_b",
-        (F.col("place") + F.col("low")).cast("int").alias("start"), (F.col("place") + F.col("high") + settings.least).cast("int").alias("end"),
-        F.col("bucket").alias("group_a"), F.col("around").alias("group_b"),
-    )
+def _whole(rows: DataFrame, settings: RepeatSettings, named: bool) -> DataFrame:
+    """Rows whose surroundings occur elsewhere: spans that may go beyond the text, named by bucket and surroundings."""
+    start, end = F.col("place") + F.col("low"), F.col("place") + F.col("high") + settings.least
+    names = [F.col("bucket").alias("group_a"), F.col("around").alias("group_b")] if named else []
+    return rows.select("text_a", "text_b", start.cast("int").alias("start"), end.cast("int").alias("end"), *names)
 
 
 def _occurrence() -> F.Column:
     return F.struct("text_a", "text_b", "place")
 
 
-def repeats(docs: DataFrame, names: DataFrame, settings: RepeatSettings = RepeatSettings()) -> DataFrame:
+def repeats(docs: DataFrame, names: DataFrame, settings: RepeatSettings = RepeatSettings(), named: bool = False) -> DataFrame:
     """Spans ``start`` to ``end`` (bytes) of the texts ``text_a, text_b`` (see :func:`packed_texts`) that occur elsewhere, too.
 
-    ``names`` is :func:`named_texts` of ``docs``. One row per occurrence and group ``group_a, group_b``. ``end`` may be beyond the text's end, ``start`` before it.
+    ``names`` is :func:`named_texts` of ``docs``. With ``named``, one row per occurrence and group ``group_a, group_b``. ``end`` may be beyond the text's end, ``start`` before it.
     """
     found = id_and_text(docs).mapInArrow(_anchored(settings), ANCHORS)
     shared = found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
@@ -317,7 +333,7 @@ def repeats(docs: DataFrame, names: DataFrame, settings: RepeatSettings = Repeat
     places = met.groupBy("core", "around").agg(F.min(_occurrence()).alias("first"), F.max(_occurrence()).alias("last"))
     places = materialize(places, "surroundings")
     whole = met.join(places.where("first <> last").select("core", "around"), ["core", "around"])
-    spans = [_whole(whole.withColumnRenamed("core", "bucket").withColumn("low", F.lit(1 - settings.window)).withColumn("high", F.lit(0)), settings)]
+    spans = [_whole(whole.withColumnRenamed("core", "bucket").withColumn("low", F.lit(1 - settings.window)).withColumn("high", F.lit(0)), settings, named)]
 
     several = places.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
     wanted = (
@@ -334,13 +350,13 @@ def repeats(docs: DataFrame, names: DataFrame, settings: RepeatSettings = Repeat
         large = materialize(sizes.where(F.col("n") > settings.bucket_rows).select("bucket", "low", "high"), "large-buckets")
         key = ["bucket", "low", "high"]
         small = rows.join(large, key, "left_anti")
-        spans.append(small.repartition(*key).sortWithinPartitions(*key).mapInArrow(_scanned(settings), FOUND))
+        spans.append(small.repartition(*key).sortWithinPartitions(*key).mapInArrow(_scanned(settings, named), FOUND if named else SPANS))
         if large.isEmpty():
             break
         halves = materialize(rows.join(large, key).select(*rows.columns).mapInArrow(_narrowed(settings), f"{SUFFIXES}, around long"), "halves")
         places = halves.groupBy(*key, "around").agg(F.min(_occurrence()).alias("first"), F.max(_occurrence()).alias("last"), F.max("done").alias("some_done"))
         places = materialize(places, "surroundings")
-        spans.append(_whole(halves.join(places.where("first <> last").select(*key, "around"), [*key, "around"]).where("not done"), settings))
+        spans.append(_whole(halves.join(places.where("first <> last").select(*key, "around"), [*key, "around"]).where("not done"), settings, named))
         ahead = places.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
         kept = places.join(ahead, key).select(*key, "around", "first.*", (F.col("some_done") | (F.col("first") != F.col("last"))).alias("one_done"))
         rows = materialize(
@@ -387,7 +403,7 @@ def without_repeats(docs: DataFrame, settings: RepeatSettings = RepeatSettings()
     texts, names = packed_texts(docs), materialize(named_texts(docs), "texts")
     copies = names.where("n > 1").select("text_a", "text_b", F.lit(True).alias("copies"))
     spans = (
-        repeats(docs, names, settings).select("text_a", "text_b", "start", "end").distinct()
+        repeats(docs, names, settings)
         .groupBy("text_a", "text_b").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # of one text
     )
     key = ["text_a", "text_b"]
