@@ -278,9 +278,9 @@ def join(docs: DataFrame, settings: JoinSettings = JoinSettings()) -> DataFrame:
 
     groups = components(near)
     sizes = groups.groupBy("label").agg(F.count("*").alias("size"))
-    members = groups.join(sizes, "label").join(sets.select("node", "doc_id"), "node")
-    read = id_and_text(docs)
-    texts = read.join(members, read["doc_id"].eqNullSafe(members["doc_id"])).select("node", "label", "size", "text")
+    members = materialize(groups.join(sizes, "label").join(sets.select("node", F.col("doc_id").alias("of")), "node"), "members")
+    grouped = id_and_text(docs).join(members.select("of"), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
+    texts = grouped.join(members, F.col("doc_id").eqNullSafe(F.col("of"))).select("node", "label", "size", "text")
     full = texts.mapInArrow(_with_sets(settings), "node binary, label binary, size long, windows binary").dropDuplicates(["node"])
     checked = _in_blocks(full, "label", "size", settings.block_rows).mapInArrow(_verified(settings), "a binary, b binary, links long")
     checked = materialize(checked, "verified-links")
@@ -307,7 +307,12 @@ def one_of_each(docs: DataFrame, settings: JoinSettings = JoinSettings()) -> Dat
     classes = materialize(join(docs, settings), "classes")
     # a row without words has no other class than its own, and goes with its document if that goes
     stays = F.min(F.col("class_id").eqNullSafe(F.col("doc_id")))
-    decided = classes.groupBy(F.col("doc_id").alias("class_doc_id")).agg(stays.alias("stays")).where("stays")
-    kept = docs.join(decided, docs["doc_id"].eqNullSafe(decided["class_doc_id"]), "left_semi")
+    decided = classes.groupBy(F.col("doc_id").alias("class_doc_id")).agg(stays.alias("stays"), F.count("*").alias("rows"))
+    # few documents go or have several rows, so these ids are the ones to join with
+    special = materialize(decided.where("not stays or rows > 1"), "special-documents")
+    same = docs["doc_id"].eqNullSafe(F.col("class_doc_id"))
+    once = docs.join(special.select("class_doc_id"), same, "left_anti")
+    several = docs.join(special.where("stays").select("class_doc_id"), same, "left_semi")
     first = W.partitionBy("doc_id").orderBy("text")
-    return kept.withColumn("class_row", F.row_number().over(first)).where("class_row = 1").drop("class_row")
+    one = several.withColumn("class_row", F.row_number().over(first)).where("class_row = 1").drop("class_row")
+    return once.unionByName(one)
