@@ -101,7 +101,7 @@ ANCHORS = "text_a long, text_b long, place int, core long, around long"
 
 def _anchored(settings: RepeatSettings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, SLICE_BYTES // 4):
             names = np.array([_name((t or "").encode()) for t in part.column("text").to_pylist()], np.int64).reshape(-1, 2)
             length = np.diff(raw_bytes(part.column("text"))[1])
             for data, starts, value, at in _parts(part.column("text"), settings):
