@@ -150,6 +150,13 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).mapInArrow(_packed_texts, "doc_id long, text_a long, text_b long, packed binary")
 
 
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 32) -> Iterator[pa.RecordBatch]:
+    """Small slices: a text of few packed bytes may have thousands of anchors and spans."""
+    for part in slices(batches, SLICE_BYTES // 4, "packed"):
+        for start in range(0, part.num_rows, rows):
+            yield part.slice(start, rows)
+
+
 #: A row of the suffix array: where strings begin is counted from the anchor, ``low`` to ``high``.
 SUFFIXES = "bucket long, low int, high int, text_a long, text_b long, place int, done boolean, left binary, right binary"
 
@@ -159,7 +166,7 @@ def _surroundings(settings: RepeatSettings):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
-        for batch in slices(batches, SLICE_BYTES // 4, "packed"):
+        for batch in _few(batches):
             out: dict[str, list] = {n: [] for n in ("bucket", "low", "high", "text_a", "text_b", "place", "done", "left", "right")}
             for a, b, packed, wanted in zip(*(batch.column(n).to_pylist() for n in ("text_a", "text_b", "packed", "wanted"))):
                 text = expand(packed) if packed else b""
@@ -373,7 +380,7 @@ def _removed(settings: RepeatSettings):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
-        for batch in slices(batches, SLICE_BYTES // 4, "packed"):
+        for batch in _few(batches):
             rows = []
             for doc_id, packed, copies, spans in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "packed", "copies", "spans"))):
                 text = expand(packed)
