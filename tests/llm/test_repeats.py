@@ -98,6 +98,20 @@ def test_long_texts_in_parts_have_the_same_anchors():
     assert places(1 << 20) == places(300) == places(1000)
 
 
+@pytest.mark.parametrize("others", [0, 1])
+def test_a_text_of_any_length_has_the_anchors_of_the_whole(others):
+    rng = random.Random(3)
+    settings = r.RepeatSettings(least=40, core=10, part_bytes=300)
+    text = "".join(rng.choice("abcdef") for _ in range(1100))
+    for length in range(250, 1100):
+        chosen, _, core, around = r.anchors(np.frombuffer(text[:length].encode(), np.uint8), np.array([0, length]), settings)
+        whole = set(zip(chosen.tolist(), core.view(np.int64).tolist(), around.view(np.int64).tolist()))
+        batch = pa.RecordBatch.from_pydict({"doc_id": [1] + [2] * others, "text": [text[:length]] + ["x" * 700] * others})
+        name = r._name(text[:length].encode())[0]
+        rows = [row for b in r._anchored(settings)(iter([batch])) for row in b.to_pylist()]
+        assert {(x["place"], x["core"], x["around"]) for x in rows if x["text_a"] == name} == whole
+
+
 def test_any_repeated_string_has_an_anchor():
     rng = random.Random(9)
     text = "".join(rng.choice("abc") for _ in range(3000)).encode()

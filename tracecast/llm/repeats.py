@@ -83,17 +83,18 @@ def _name(text: bytes) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def _parts(column: pa.Array, settings: RepeatSettings) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Bytes, starts, the value of each part and its place there: long values in parts that overlap by all an anchor sees."""
+def _parts(column: pa.Array, settings: RepeatSettings) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """Bytes, starts, the value of each part and its place there, whether the values end here: long ones in parts that overlap by all an anchor sees."""
     data, starts = raw_bytes(column)
     if len(data) <= 2 * settings.part_bytes:
-        yield data, starts, np.arange(len(column)), np.zeros(len(column), np.int64)
+        yield data, starts, np.arange(len(column)), np.zeros(len(column), np.int64), True
         return
     overlap = settings.least + settings.window
     for i in range(len(column)):
         for at in range(0, max(1, int(starts[i + 1] - starts[i]) - 2 * overlap), settings.part_bytes):
-            own = data[starts[i] + at : min(starts[i + 1], starts[i] + at + settings.part_bytes + 2 * overlap)]
-            yield own, np.array([0, len(own)]), np.array([i]), np.array([at])
+            end = min(starts[i + 1], starts[i] + at + settings.part_bytes + 2 * overlap)
+            own = data[starts[i] + at : end]
+            yield own, np.array([0, len(own)]), np.array([i]), np.array([at]), bool(end == starts[i + 1])
 
 
 ANCHORS = "text_a long, text_b long, place int, core long, around long"
@@ -103,14 +104,13 @@ def _anchored(settings: RepeatSettings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, SLICE_BYTES // 4):
             names = np.array([_name((t or "").encode()) for t in part.column("text").to_pylist()], np.int64).reshape(-1, 2)
-            length = np.diff(raw_bytes(part.column("text"))[1])
-            for data, starts, value, at in _parts(part.column("text"), settings):
+            for data, starts, value, at, last in _parts(part.column("text"), settings):
                 chosen, owner, core, around = anchors(data, starts, settings)
                 place = chosen - starts[owner] + at[owner]
                 owner = value[owner]
-                # an anchor near the end of a part is seen whole in the next one
-                seen = (place - at[0] + 2 * settings.least <= settings.part_bytes + 2 * (settings.least + settings.window)) if len(value) == 1 else np.ones(len(place), bool)
-                seen |= place + settings.least >= length[owner]
+                seen = np.ones(len(place), bool)
+                if not last:  # an anchor near the end of a part is seen whole in the next one
+                    seen &= place - at[0] + 2 * settings.least <= settings.part_bytes + 2 * (settings.least + settings.window)
                 if len(value) == 1 and at[0]:
                     seen &= place - at[0] >= settings.window - 1
                 place, owner, core, around = (x[seen] for x in (place, owner, core, around))
