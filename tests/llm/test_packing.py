@@ -17,6 +17,16 @@ def test_ids_are_the_tokenizers(spark):
         assert np.frombuffer(encode(text), "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_added_tokens_have_the_tokenizers_ids():
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng, encode = random.Random(4), p.Encoder("byte_bpe_50k.tiktoken")
+    parts = [*"ab1 .'<|>\n\x1c", "'s", "  ", "<|endoftext|>", "<|endoftext", "endoftext|>", "<|ENDOFTEXT|>"]
+    texts = ["<|endoftext|>", "one<|endoftext|>two", " <|endoftext|> <|endoftext|><|endoftext|>\n"]
+    for text in texts + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 20))) for _ in range(4000)]:
+        assert np.frombuffer(encode(text), "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids, repr(text)
+    assert encode("<|endoftext|>") == (50256).to_bytes(4, "little")
+
+
 def test_all_pieces_but_the_first_are_full():
     assert p.cut(1, 10) == [(0, 1)] and p.cut(10, 10) == [(0, 10)]
     assert p.cut(25, 10) == [(0, 5), (5, 10), (15, 10)] and p.cut(20, 10) == [(0, 10), (10, 10)]

@@ -13,6 +13,7 @@ columns are ignored. No documents give no rows.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections import defaultdict
@@ -39,6 +40,8 @@ class PackSettings:
     capacity: int = 2048
     #: Vocabulary whose ids are those of ``byte_bpe_50k.json``.
     vocabulary: str = "byte_bpe_50k.tiktoken"
+    #: Tokenizer file whose added tokens have ids of their own wherever a text holds them.
+    tokenizer: str = "byte_bpe_50k.json"
     end_id: int = 0
     #: Pieces packed together in one task.
     shard_rows: int = 50_000
@@ -54,6 +57,17 @@ def _encoding(vocabulary: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@cache
+def _added(tokenizer: str) -> tuple[re.Pattern | None, dict[str, bytes]]:
+    """Pattern that finds the added tokens of a tokenizer file, longest first, and the id of each."""
+    with open(public_tokenizers.path(tokenizer), encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
+        raise ValueError("added tokens that take their surroundings are not supported")
+    ids = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in tokens}
+    return re.compile("|".join(map(re.escape, sorted(ids, key=len, reverse=True)))) if ids else None, ids
+
+
 #: A word with the blank before it, or white space: no token crosses these bounds.
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Characters that Python takes for white space and the vocabulary's pattern does not.
@@ -62,10 +76,14 @@ _CACHED = 300_000
 
 
 class Encoder:
-    """Token ids of texts, as little-endian unsigned 32-bit bytes; chunks seen before are looked up."""
+    """Token ids of texts, as little-endian unsigned 32-bit bytes; chunks seen before are looked up.
 
-    def __init__(self, vocabulary: str):
+    Added tokens part a text: what stands between them is encoded on its own.
+    """
+
+    def __init__(self, vocabulary: str, tokenizer: str = PackSettings.tokenizer):
         self.encode = _encoding(vocabulary).encode_ordinary
+        self.added, self.added_ids = _added(tokenizer)
         self.known: dict[str, bytes] = {}
 
     def _new(self, chunk: str) -> bytes:
@@ -75,6 +93,13 @@ class Encoder:
         return ids
 
     def __call__(self, text: str) -> bytes:
+        out, done = [], 0
+        for m in self.added.finditer(text) if self.added else ():
+            out += [self._ordinary(text[done : m.start()]), self.added_ids[m[0]]]
+            done = m.end()
+        return b"".join([*out, self._ordinary(text[done:])]) if done else self._ordinary(text)
+
+    def _ordinary(self, text: str) -> bytes:
         if _ODD.search(text):
             return np.array(self.encode(text), "<u4").tobytes()
         known = self.known.get
@@ -89,7 +114,7 @@ def cut(ids: int, capacity: int) -> list[tuple[int, int]]:
 
 def _pieces(settings: PackSettings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder(settings.vocabulary), np.array([settings.end_id], "<u4").tobytes()
+        encode, end = Encoder(settings.vocabulary, settings.tokenizer), np.array([settings.end_id], "<u4").tobytes()
         for part in slices(batches):
             rows = []
             for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
