@@ -72,3 +72,20 @@ def test_path_lengths_against_a_walk():
 
     want = [2 ** (-np.mean([walk(t, row) for t in range(5)]) / forest.norm) for row in x]
     assert np.allclose(forest.scores(x), want)
+
+
+def test_long_clean_texts_stay_and_unusual_ones_inside_the_old_ranges_go(spark):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghij"), rng.integers(3, 9))) for _ in range(60_000)]
+    share = 1 / np.arange(3, len(words) + 3) ** 1.1  # a vocabulary that grows as that of natural language
+    clean = lambda n: " ".join(words[i] for i in rng.choice(len(words), n, p=share / share.sum()))
+    rows = [(i, clean(int(rng.integers(60, 400)))) for i in range(300)]
+    rows += [(1000 + k, clean(n)) for k, n in enumerate((100_000, 400_000))]
+    rows += [(2000, " ".join(w.ljust(9, "k") for w in rows[0][1].split())), (2001, " ".join(f"{w};" for w in rows[1][1].split()))]
+    rows += [(2002, " ".join(w.title() if k % 2 else w for k, w in enumerate(rows[2][1].split())))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    judged = {r.doc_id: r for r in q.judge(docs, spark.createDataFrame([(i, 1) for i in range(300)], "doc_id long, quality int")).collect()}
+    assert [judged[i].kept for i in (1000, 1001)] == [True, True]
+    assert [judged[i].kept for i in (2000, 2001, 2002)] == [False] * 3
+    assert [judged[i].base_failed for i in (2000, 2001, 2002)] == [False] * 3
+    assert sum(judged[i].kept for i in range(300)) >= 299

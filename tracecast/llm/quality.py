@@ -3,8 +3,10 @@
 A document is first judged by fixed rules (too few words, too many repeated words). The others
 get an anomaly score from the mean path length over random splits; the score above which they
 are rejected is calibrated on labelled rows, so that at most a stated share of the good ones goes.
+The forest is grown on good rows and splits the space around them, too, or the unusual documents, which
+resemble each other, would count as a cluster of usual ones. The statistics reach it whole, scaled by the good rows.
 
-Null and empty texts have no words and fail the rules. Without labelled rows there is no
+Null and empty texts have no words and fail the rules. Without good labelled rows there is no
 forest, every score is null and the rules alone decide. Repeated rows are judged alike, each on
 its own; further columns are ignored. A label given twice counts as the worse one.
 """
@@ -32,7 +34,9 @@ SYMBOLS = "#*$%&|<>"
 CLASSES = {"n_upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "n_digits": b"0123456789", "n_marks": b"!?.,;:"}
 
 COUNTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct")
-STATISTICS = (*COUNTED, *CLASSES)
+#: Words in equal windows and the distinct ones of each, summed: a share that does not depend on the length of the text.
+WINDOWED = ("n_window_words", "n_window_distinct")
+STATISTICS = (*COUNTED, *CLASSES, *WINDOWED)
 SCHEMA = "doc_id long, " + ", ".join(f"{name} long" for name in STATISTICS)
 
 
@@ -42,8 +46,12 @@ class QualityRules:
     #: Repeated words in a hundred beyond which a text fails.
     max_repeat_percent: int = 20
     trees: int = 200
-    #: Rows each tree is grown on: few, or the bad rows hide each other. The forest sees at most ``trees * tree_rows`` labelled rows.
+    #: Rows each tree is grown on. The forest sees at most ``trees * tree_rows`` labelled rows.
     tree_rows: int = 64
+    #: Levels of a tree beyond those that would part its rows: many splits meet none.
+    more_depth: int = 2
+    #: Splits are drawn up to so many units (see :class:`Scale`) to both sides of the median; beyond, all is as far.
+    reach: float = 4.0
     #: Share of the good labelled rows that the calibrated threshold may reject.
     good_loss: float = 0.003
     seed: int = 7
@@ -77,12 +85,22 @@ def count_rules(text: str) -> tuple[int, ...]:
     )
 
 
+def windowed(words: list[str], window: int = 50) -> tuple[int, int]:
+    """The statistics of ``WINDOWED``; a shorter text is one window, else the words after the last whole one are left out."""
+    if len(words) < window:
+        return len(words), len(set(words))
+    starts = range(0, len(words) - window + 1, window)
+    return len(starts) * window, sum(len(set(words[i : i + window])) for i in starts)
+
+
 def _columns(texts: pa.Array) -> dict[str, np.ndarray]:
     """All statistics of each text."""
-    counts = np.array([count_rules(text or "") for text in texts.to_pylist()], np.int64).reshape(-1, len(COUNTED))
+    values = [text or "" for text in texts.to_pylist()]
+    counts = np.array([count_rules(text) for text in values], np.int64).reshape(-1, len(COUNTED))
+    windows = np.array([windowed(WORD.findall(text)) for text in values], np.int64).reshape(-1, len(WINDOWED))
     data, starts = raw_bytes(texts)
     classes = {name: per_value(np.isin(np.arange(256), list(marks))[data], starts) for name, marks in CLASSES.items()}
-    return dict(zip(COUNTED, counts.T)) | classes
+    return dict(zip(COUNTED, counts.T)) | classes | dict(zip(WINDOWED, windows.T))
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,35 +113,37 @@ def statistics(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).mapInArrow(_statistics, SCHEMA)
 
 
-#: Usual range of each share; what goes beyond it is what the forest splits on.
-USUAL = {
-    "chars per word": (3.0, 10.0),
-    "symbols per word": (0.0, 0.1),
-    "duplicate lines": (0.0, 0.3),
-    "repeated words": (0.0, 0.1),
-    "distinct words": (0.4, 9.0),
-    "capitals": (0.0, 0.3),
-    "digits": (0.0, 0.15),
-    "marks per word": (0.0, 0.5),
-}
-
-
 def features(stats: dict[str, np.ndarray]) -> np.ndarray:
-    """How far the shares of ``USUAL`` lie outside their ranges; a plain document is near the origin."""
+    """Shares that do not depend on the length of a text, one row per document."""
     s = {name: np.asarray(stats[name], float) for name in STATISTICS}
     words, chars = np.maximum(s["n_words"], 1), np.maximum(s["word_chars"], 1)
-    shares = np.column_stack([
+    return np.column_stack([
         s["word_chars"] / words,
         s["n_symbols"] / words,
         s["n_dup_lines"] / np.maximum(s["n_lines"], 1),
         s["n_repeat_words"] / words,
-        s["n_distinct"] / words**0.9,
+        s["n_window_distinct"] / np.maximum(s["n_window_words"], 1),
         s["n_upper"] / chars,
         s["n_digits"] / chars,
         s["n_marks"] / words,
     ])
-    low, high = np.array(list(USUAL.values())).T
-    return np.maximum(shares - high, 0) + np.maximum(low - shares, 0)
+
+
+@dataclass(frozen=True)
+class Scale:
+    """Median and spread of each share of the good rows; in units of the spread, shares are log-scaled to both sides."""
+
+    centre: np.ndarray
+    spread: np.ndarray
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Scale:
+        low, centre, high = np.quantile(x, [0.01, 0.5, 0.99], axis=0)
+        return cls(centre, np.maximum(high - low, 0.01))
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        units = (x - self.centre) / self.spread
+        return np.sign(units) * np.log1p(np.abs(units))
 
 
 def _average_path(rows: np.ndarray | float) -> np.ndarray:
@@ -157,37 +177,39 @@ class Forest:
 
 
 def grow(x: np.ndarray, rules: QualityRules) -> Forest:
-    """Isolation trees, each on ``tree_rows`` rows of ``x``, split at random values of random features."""
+    """Isolation trees, each on ``tree_rows`` rows of ``x``, split at random values of random features within a node's bounds."""
     random = np.random.default_rng(rules.seed)
     rows = min(rules.tree_rows, len(x))
-    depth = max(1, int(np.ceil(np.log2(max(rows, 2)))))
+    depth = max(1, int(np.ceil(np.log2(max(rows, 2)))) + rules.more_depth)
+    n = x.shape[1]
     shape = (rules.trees, 2 ** (depth + 1) - 1)
     forest = Forest(np.full(shape, -1), np.zeros(shape), np.zeros(shape), depth, float(_average_path(rows)))
     for tree in range(rules.trees):
-        open_nodes = [(0, 0, x[random.choice(len(x), rows, replace=False)])]
+        open_nodes = [(0, 0, x[random.choice(len(x), rows, replace=False)], np.full(n, -rules.reach), np.full(n, rules.reach))]
         while open_nodes:
-            node, level, own = open_nodes.pop()
-            low, high = (own.min(0), own.max(0)) if len(own) else (np.zeros(x.shape[1]),) * 2
-            spread = np.flatnonzero(high > low)
-            if level == depth or not len(spread):
+            node, level, own, low, high = open_nodes.pop()
+            if level == depth or len(own) <= 1:
                 forest.length[tree, node] = level + _average_path(len(own))
                 continue
-            f = random.choice(spread)
+            f = random.integers(n)
             at = random.uniform(low[f], high[f])
             forest.feature[tree, node], forest.split[tree, node] = f, at
-            right = own[:, f] >= at
-            open_nodes += [(2 * node + 1, level + 1, own[~right]), (2 * node + 2, level + 1, own[right])]
+            right, bound = own[:, f] >= at, np.arange(n) == f
+            open_nodes += [
+                (2 * node + 1, level + 1, own[~right], low, np.where(bound, at, high)),
+                (2 * node + 2, level + 1, own[right], np.where(bound, at, low), high),
+            ]
     return forest
 
 
-def _scored(forest: Forest | None):
+def _scored(forest: Forest | None, scale: Scale | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = {name: batch.column(name) for name in batch.schema.names}
             if forest is None:
                 columns["score"] = pa.nulls(batch.num_rows, pa.float64())
             else:
-                columns["score"] = forest.scores(features({n: columns[n].to_numpy(zero_copy_only=False) for n in STATISTICS}))
+                columns["score"] = forest.scores(scale(features({n: columns[n].to_numpy(zero_copy_only=False) for n in STATISTICS})))
             yield batch_of(**columns)
 
     return run
@@ -208,16 +230,17 @@ def _threshold(scored_labels: DataFrame, rules: QualityRules, bins: int = 10_000
 
 @dataclass(frozen=True)
 class Verdict:
-    """A fitted forest (none without labelled rows) and the score above which it rejects."""
+    """A fitted forest (none without good labelled rows), the scale of its input and the score above which it rejects."""
 
     forest: Forest | None
+    scale: Scale | None
     limit: float
     rules: QualityRules
 
     def kept(self, stats: dict[str, np.ndarray]) -> np.ndarray:
         words, repeated = (np.asarray(stats[n], np.int64) for n in ("n_words", "n_repeat_words"))
         passed = (words >= self.rules.min_words) & (100 * repeated <= self.rules.max_repeat_percent * words)
-        return passed if self.forest is None else passed & (self.forest.scores(features(stats)) <= self.limit)
+        return passed if self.forest is None else passed & (self.forest.scores(self.scale(features(stats))) <= self.limit)
 
 
 def base_failed(rules: QualityRules) -> Column:
@@ -225,29 +248,32 @@ def base_failed(rules: QualityRules) -> Column:
 
 
 def fit(stats: DataFrame, labels: DataFrame, rules: QualityRules = QualityRules()) -> Verdict:
-    """Grows the forest on a bounded sample of the labelled rows and calibrates it on all of them.
+    """Grows the forest on a bounded sample of the good labelled rows and calibrates it on all of them.
 
     ``labels`` has ``doc_id`` and ``quality`` (1 good, 0 bad, null unknown).
     """
     known = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").cast("long").alias("quality"))
     labelled = stats.where(~base_failed(rules)).join(known, "doc_id").select("doc_id", *STATISTICS, "quality")
     sample = (
-        labelled.orderBy(F.xxhash64("doc_id", F.lit(rules.seed)), "doc_id", *STATISTICS)
+        labelled.where("quality = 1").orderBy(F.xxhash64("doc_id", F.lit(rules.seed)), "doc_id", *STATISTICS)
         .limit(rules.trees * rules.tree_rows)
         .select(*STATISTICS)
         .toPandas()  # bounded by the two parameters above
     )
     if not len(sample):
-        return Verdict(None, 1.0, rules)
-    forest = grow(features({n: sample[n].to_numpy() for n in STATISTICS}), rules)
-    return Verdict(forest, _threshold(labelled.mapInArrow(_scored(forest), f"{SCHEMA}, quality long, score double"), rules), rules)
+        return Verdict(None, None, 1.0, rules)
+    shares = features({n: sample[n].to_numpy() for n in STATISTICS})
+    scale = Scale.of(shares)
+    forest = grow(scale(shares), rules)
+    scored = labelled.mapInArrow(_scored(forest, scale), f"{SCHEMA}, quality long, score double")
+    return Verdict(forest, scale, _threshold(scored, rules), rules)
 
 
 def judge(docs: DataFrame, labels: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """Statistics, anomaly ``score``, ``base_failed`` and ``kept`` of every document."""
     stats = materialize(statistics(docs), "rule-statistics")
     verdict = fit(stats, labels, rules)
-    scored = stats.mapInArrow(_scored(verdict.forest), f"{SCHEMA}, score double").withColumn("base_failed", base_failed(rules))
+    scored = stats.mapInArrow(_scored(verdict.forest, verdict.scale), f"{SCHEMA}, score double").withColumn("base_failed", base_failed(rules))
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score").isNull() | (F.col("score") <= verdict.limit)))
 
 
