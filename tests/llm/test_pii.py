@@ -58,6 +58,22 @@ def test_terms_that_reveal_an_entity(spark):
     assert dict(clean)[110] == rows[22][1] and dict(clean)[200] is None and dict(clean)[201] == ""
 
 
+def test_terms_anywhere_in_the_documents_of_an_entity(spark):
+    filler = lambda i: " ".join(f"w{(i * 37 + k * 11) % 500}x" for k in range(60))
+    rows = [(i, f"Zorblax {filler(i)}\n{filler(i + 900)} jo@x.org\n{filler(i + 300)} zorblax once more") for i in range(4)]
+    rows += [(100 + i, f"{filler(i)}\n{filler(i + 7)} zebra") for i in range(400)]
+    rows += [(600, f"{filler(5)} single@x.org quux")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.detect(docs).collect()}
+    for i in range(4):
+        marked = {rows[i][1][s.start : s.end].lower() for s in spans[i] if s.kind == "term"}
+        assert "zorblax" in marked and sum(s.kind == "term" and rows[i][1][s.start : s.end].lower() == "zorblax" for s in spans[i]) == 2
+        assert not any(w.startswith("w") for w in marked)
+    assert [s.kind for s in spans[600]] == ["email"] and not spans[100]
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert len(clean) == len(rows) and not any("zorblax" in clean[i].lower() for i in range(4)) and clean[100] == rows[4][1]
+
+
 def test_copies_of_one_text_reveal_nothing(spark):
     docs = spark.createDataFrame([(i, "the odd quux wrote jo@x.org once") for i in range(30)] + [(99, "other text")], "doc_id long, text string")
     assert not [r for r in pii.detect(docs).collect() if any(s.kind == "term" for s in r.spans)]

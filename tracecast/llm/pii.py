@@ -1,11 +1,12 @@
-"""Personal data: patterns, and the terms around them that give them away.
+"""Personal data: patterns, and the terms that give them away.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. Their values are the protected
-entities. For the terms that stand close to an entity, the corpus tells how strongly they reveal it:
+entities. For all terms of the documents that hold an entity, the corpus tells how strongly they reveal it:
 ``PMI(entity; term) / IC(entity)``, from document counts over all documents, is 1 when every document
-with the term also has the entity beside it. Pairs seen in fewer than ``min_places`` different
-surroundings tell nothing (copies of one document are one surrounding). At ``generalise_at`` a term is
-replaced by its shape, at ``remove_at`` it is removed, in the documents that hold the entity.
+with the term also has the entity. A pair counts only if its documents are more than ``chance`` explains:
+Chernoff's bound for so many of the entity's distinct texts (copies of one document are one text), times the number
+of pairs. An entity of a single text meets every word of it once, which tells nothing. At ``generalise_at`` a term
+is replaced by its shape, at ``remove_at`` it is removed, wherever it stands in the documents that hold the entity.
 
 Null and empty texts have no spans. Repeated rows are treated alike, each on its own, and count as
 documents. Further columns pass through :func:`sanitise` unchanged.
@@ -14,6 +15,7 @@ documents. Further columns pass through :func:`sanitise` unchanged.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -36,15 +38,13 @@ _WORD = re.compile(r"\w+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 SPANS = "array<struct<start: int, rank: int, kind: string, end: int>>"
-PLACES = "array<struct<entity: long, term: string, place: long, start: int, end: int>>"
+FOUND = f"base {SPANS}, entities array<long>, candidates array<string>, same long"
 
 
 @dataclass(frozen=True)
 class PiiSettings:
-    #: Words and characters on either side of an entity in which its terms stand.
-    near_words: int = 4
-    near_chars: int = 80
-    min_places: int = 5
+    #: Pairs expected over the whole corpus that chance alone lets pass the bound.
+    chance: float = 0.01
     generalise_at: float = 0.8
     remove_at: float = 0.95
 
@@ -91,36 +91,26 @@ def _entity(kind: str, value: str) -> int:
     return _hash(f"{kind}:{value.lower() if kind in ('email', 'ip') else re.sub('[^0-9]', '', value)}")
 
 
-def nearby_terms(text: str, spans: list[tuple[int, int, str, int]], settings: PiiSettings) -> list[dict]:
-    """Words close to each span, on its line and outside of all spans."""
-    found = []
-    for start, _, kind, end in spans:
-        low = max(text.rfind("\n", 0, start) + 1, start - settings.near_chars, 0)
-        high = text.find("\n", end)
-        high = min(high if high >= 0 else len(text), end + settings.near_chars)
-        # a word that the window cuts is none of its words
-        before = [m for m in _WORD.finditer(text, low, start) if m.start() > low or low == 0 or not (text[low - 1].isalnum() or text[low - 1] == "_")]
-        after = [m for m in _WORD.finditer(text, end, high) if m.end() < high or high == len(text) or not (text[high].isalnum() or text[high] == "_")]
-        entity, place = _entity(kind, text[start:end]), _hash(text[low:high].lower())
-        for m in before[-settings.near_words :] + after[: settings.near_words]:
-            free = all(m.end() <= s or m.start() >= e for s, _, _, e in spans)
-            if free and len(m[0]) >= 3 and not m[0].isdigit():
-                found.append({"entity": entity, "term": m[0].lower(), "place": place, "start": m.start(), "end": m.end()})
-    return found
+def terms_outside(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
+    """Terms of a text that touch none of ``spans`` (start and end, by start), with their places."""
+    i, reach = 0, 0
+    for m in _WORD.finditer(text):
+        while i < len(spans) and spans[i][0] < m.end():
+            reach, i = max(reach, spans[i][1]), i + 1
+        if reach <= m.start() and len(m[0]) >= 3 and not m[0].isdigit():
+            yield m[0].lower(), m.start(), m.end()
 
 
 _SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
-_PLACE_TYPE = pa.list_(pa.struct([
-    ("entity", pa.int64()), ("term", pa.string()), ("place", pa.int64()), ("start", pa.int32()), ("end", pa.int32()),
-]))
+_TERM_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("removed", pa.bool_())]))
 
 
 def _spans_of(part: pa.RecordBatch) -> list[list[tuple]]:
     return [base_spans(text or "") for text in part.column("text").to_pylist()]
 
 
-def _found(settings: PiiSettings, only_hits: bool):
-    """Adds ``base`` and ``places`` to the rows (to those with spans, if ``only_hits``)."""
+def _found(only_hits: bool):
+    """Adds the columns of ``FOUND`` to the rows (to those with spans, if ``only_hits``); without spans there is no text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -128,11 +118,17 @@ def _found(settings: PiiSettings, only_hits: bool):
             if only_hits:
                 hit = [i for i, own in enumerate(spans) if own]
                 part, spans = part.take(pa.array(hit, pa.int64())), [spans[i] for i in hit]
-            texts = part.column("text").to_pylist()
-            base = pa.array([[dict(zip(("start", "rank", "kind", "end"), s)) for s in own] for own in spans], _SPAN_TYPE)
-            places = pa.array([nearby_terms(t or "", own, settings) if own else [] for t, own in zip(texts, spans)], _PLACE_TYPE)
-            kept = [n for n in part.schema.names if only_hits or n != "text"]
-            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), base, places], [*kept, "base", "places"])
+            columns = dict(zip(part.schema.names, part.columns))
+            texts = [(text or "") if own else None for text, own in zip(columns["text"].to_pylist(), spans)]
+            columns["text"] = pa.array(texts, pa.string())
+            columns["base"] = pa.array([[dict(zip(("start", "rank", "kind", "end"), s)) for s in own] for own in spans], _SPAN_TYPE)
+            columns["entities"] = pa.array([sorted({_entity(kind, t[s:e]) for s, _, kind, e in own}) for t, own in zip(texts, spans)], pa.list_(pa.int64()))
+            columns["candidates"] = pa.array(
+                [sorted({term for term, _, _ in terms_outside(t, [(s[0], s[3]) for s in own])}) if own else [] for t, own in zip(texts, spans)],
+                pa.list_(pa.string()),
+            )
+            columns["same"] = pa.array([None if t is None else _hash(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
@@ -158,38 +154,64 @@ def _document_counts(batches: Iterator[pa.RecordBatch], most: int = 500_000) ->
 def disclosing_terms(found: DataFrame, docs: DataFrame, settings: PiiSettings) -> DataFrame:
     """``entity, term, removed`` of the pairs at or over the thresholds.
 
-    ``found`` has ``row`` and ``places``; document counts of the candidate terms come from all of ``docs``.
+    ``found`` has ``row`` and the columns of ``FOUND``; document counts of the candidate terms come from all of ``docs``.
     """
-    places = found.select("row", F.explode("places").alias("p")).select("row", "p.*")
+    held = found.select("row", "same", F.explode("entities").alias("entity"))
+    entities = held.groupBy("entity").agg(F.count("*").alias("n_entity"), F.count_distinct("same").alias("texts_entity"))
+    entities = materialize(entities.where("texts_entity > 1"), "entities")
+    # each distinct text once, with the number of its documents
+    owners = held.join(entities.select("entity"), "entity").groupBy("same", "entity").agg(F.min("row").alias("row"), F.count("*").alias("n"))
+    owners = owners.groupBy("row").agg(F.collect_list(F.struct("entity", "n")).alias("owned"))  # of one document
     pairs = (
-        places.groupBy("entity", "term", "place").agg(F.count_distinct("row").alias("docs"))
-        .groupBy("entity", "term").agg(F.count("*").alias("n_places"), F.sum("docs").alias("n_both"))
-        .where(F.col("n_places") >= settings.min_places)
+        found.select("row", "candidates").join(owners, "row")
+        .select("candidates", F.explode("owned").alias("o")).select("o.*", F.explode("candidates").alias("term"))
+        .groupBy("entity", "term").agg(F.count("*").alias("texts_both"), F.sum("n").alias("n_both"))
     )
     pairs = materialize(pairs, "entity-terms")
-    entities = places.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    tests, total = pairs.count(), docs.count()
     words = docs.select("text").mapInArrow(_document_counts, "term string, n long")
-    frequency = words.join(pairs.select("term").distinct(), "term").groupBy("term").agg(F.sum("n").alias("n_term"))
-    total = docs.count()
+    frequency = words.groupBy("term").agg(F.sum("n").alias("n_term")).join(pairs.select("term").distinct(), "term")
     counted = pairs.join(entities, "entity").join(frequency, "term", "left")
-    both = F.least("n_both", "n_entity")
-    term = F.greatest(F.coalesce("n_term", F.lit(0)), both)
+    term = F.greatest(F.coalesce("n_term", F.lit(0)), "n_both")
     information = F.log(F.lit(total) / F.col("n_entity"))
-    share = F.when(information > 0, F.log(F.lit(total) * both / (F.col("n_entity") * term)) / information)
-    return counted.withColumn("share", share).where(F.col("share") >= settings.generalise_at).select(
+    share = F.when(information > 0, F.log(F.lit(total) * F.col("n_both") / (F.col("n_entity") * term)) / information)
+    rate, usual = F.col("texts_both") / F.col("texts_entity"), term / F.lit(total)
+    apart = F.when(rate < 1, (1 - rate) * F.log((1 - rate) / (1 - usual))).otherwise(0.0)
+    evidence = F.when(rate > usual, F.col("texts_entity") * (rate * F.log(rate / usual) + apart))
+    told = evidence > math.log(max(tests, 1) / settings.chance)
+    return counted.where(told).withColumn("share", share).where(F.col("share") >= settings.generalise_at).select(
         "entity", "term", (F.col("share") >= settings.remove_at).alias("removed")
     )
 
 
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``terms`` for ``disclosing``: every place where one of these stands."""
+    for part in slices(batches):
+        columns = dict(zip(part.schema.names, part.columns))
+        marks = []
+        for text, base, told in zip(*(columns[n].to_pylist() for n in ("text", "base", "disclosing"))):
+            removed: dict[str, bool] = {}
+            for t in told or ():
+                removed[t["term"]] = t["removed"] or removed.get(t["term"], False)
+            places = terms_outside(text or "", [(s["start"], s["end"]) for s in base]) if removed else ()
+            marks.append([{"start": s, "end": e, "removed": removed[term]} for term, s, e in places if term in removed])
+        del columns["disclosing"]
+        columns["terms"] = pa.array(marks, _TERM_TYPE)
+        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
 def _with_terms(found: DataFrame, rules: DataFrame) -> DataFrame:
     """``found`` and the spans of its disclosing terms."""
-    spans = (
-        found.select("row", F.explode("places").alias("p")).select("row", "p.entity", "p.term", "p.start", "p.end")
-        .join(rules, ["entity", "term"])
-        .groupBy("row", "start", "end").agg(F.max("removed").alias("removed"))
-        .groupBy("row").agg(F.collect_list(F.struct("start", "end", "removed")).alias("terms"))  # within a document
+    told = rules.groupBy("entity").agg(F.collect_list(F.struct("term", "removed")).alias("told"))  # of one entity
+    rows = (
+        found.select("row", F.explode("entities").alias("entity")).join(told, "entity")
+        .groupBy("row").agg(F.flatten(F.collect_list("told")).alias("disclosing"))  # of one document
+    )
+    found = found.drop("entities", "candidates", "same")
+    fields = ", ".join(f"`{n}` {t}" for n, t in found.dtypes)
+    return found.join(rows, "row", "left").select(*found.columns, "disclosing").mapInArrow(
+        _marked, f"{fields}, terms array<struct<start: int, end: int, removed: boolean>>"
     )
-    return found.join(spans, "row", "left")
 
 
 def digest(spans: Column) -> Column:
@@ -199,7 +221,7 @@ def digest(spans: Column) -> Column:
 def detect(docs: DataFrame, settings: PiiSettings = PiiSettings()) -> DataFrame:
     """Per document: ``doc_id``, ``base`` spans, all ``spans`` with those of terms, by start, then kind."""
     read = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    found = materialize(read.mapInArrow(_found(settings, False), f"row long, doc_id long, base {SPANS}, places {PLACES}"), "personal-data")
+    found = materialize(read.mapInArrow(_found(False), f"row long, doc_id long, text string, {FOUND}"), "personal-data")
     rules = materialize(disclosing_terms(found, docs, settings), "disclosing-terms")
     terms = F.transform(
         F.coalesce("terms", F.array()),
@@ -232,7 +254,7 @@ def sanitise(docs: DataFrame, settings: PiiSettings = PiiSettings()) -> DataFram
     columns = docs.columns
     fields = [f"`{n}` {t}" for n, t in docs.dtypes]
     keyed = docs.withColumn("row", F.monotonically_increasing_id())
-    found = materialize(keyed.mapInArrow(_found(settings, True), ", ".join([*fields, "row long", f"base {SPANS}", f"places {PLACES}"])), "personal-texts")
+    found = materialize(keyed.mapInArrow(_found(True), ", ".join([*fields, "row long", FOUND])), "personal-texts")
     rules = materialize(disclosing_terms(found, docs, settings), "disclosing-terms")
     terms = _with_terms(found, rules).select(*columns, "base", "terms")
     clean = docs.mapInArrow(_clean, ", ".join(fields))
