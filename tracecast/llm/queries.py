@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracecast.llm import fingerprints, langid, licences, mixing, ngram_join, packing, pii, quality, repeats, toxicity
+from tracecast.llm import codes, fingerprints, langid, licences, mixing, ngram_join, packing, pii, quality, repeats, toxicity
 from tracecast.llm.common import table
 from tracecast.ship import ship
 
@@ -83,7 +83,12 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_QUERIES = (op1_suffix_dedup, op2_pii, op3_licences, op4_quality_rules, op5_ngram_join, op6_packing, op7_fingerprints, op8_language_id, op9_toxicity, op10_mixing)
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Product code of every usable vector, four parts of 256 entries after four rounds."""
+    return codes.encode(table(spark, folder, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+_QUERIES = (op1_suffix_dedup, op2_pii, op3_licences, op4_quality_rules, op5_ngram_join, op6_packing, op7_fingerprints, op8_language_id, op9_toxicity, op10_mixing, op13_vector_codes)
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
