@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracecast.llm import codes, fingerprints, langid, licences, mixing, ngram_join, packing, pii, quality, repeats, toxicity
+from tracecast.llm import codes, fingerprints, langid, licences, mixing, ngram_join, packing, periodic, pii, quality, repeats, toxicity
 from tracecast.llm.common import table
 from tracecast.ship import ship
 
@@ -83,12 +83,24 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of words of every document, a tenth of which get a repeating tail."""
+    docs = table(spark, folder, "documents")
+    text = periodic.repeating_tail(F.col("text"), F.crc32(F.col("doc_id").cast("string")))
+    found = periodic.runs(docs.select("doc_id", text.alias("text"))).withColumn("best", periodic.longest_exponent(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     """Product code of every usable vector, four parts of 256 entries after four rounds."""
     return codes.encode(table(spark, folder, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
-_QUERIES = (op1_suffix_dedup, op2_pii, op3_licences, op4_quality_rules, op5_ngram_join, op6_packing, op7_fingerprints, op8_language_id, op9_toxicity, op10_mixing, op13_vector_codes)
+_QUERIES = (op1_suffix_dedup, op2_pii, op3_licences, op4_quality_rules, op5_ngram_join, op6_packing, op7_fingerprints, op8_language_id, op9_toxicity, op10_mixing, op11_periodic_runs, op13_vector_codes)
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
