@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracecast.llm import codes, fingerprints, langid, licences, mixing, ngram_join, packing, periodic, pii, quality, repeats, toxicity
+from tracecast.llm import classes, codes, fingerprints, langid, licences, mixing, ngram_join, packing, periodic, pii, quality, repeats, toxicity
 from tracecast.llm.common import table
 from tracecast.ship import ship
 
@@ -95,12 +95,21 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_class_bigrams(spark: SparkSession, folder: str) -> DataFrame:
+    """Class-bigram and unigram scores of every document, learned from nine tenths of them."""
+    held_out = F.coalesce(_remainder(10) == 0, F.lit(False))
+    model = classes.fit(table(spark, folder, "documents"), ~held_out)
+    return classes.score(model).select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(int(model.bigrams.sum())).cast("long").alias("train_tokens"), "base_score", "score", "perplexity"
+    )
+
+
 def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     """Product code of every usable vector, four parts of 256 entries after four rounds."""
     return codes.encode(table(spark, folder, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
-_QUERIES = (op1_suffix_dedup, op2_pii, op3_licences, op4_quality_rules, op5_ngram_join, op6_packing, op7_fingerprints, op8_language_id, op9_toxicity, op10_mixing, op11_periodic_runs, op13_vector_codes)
+_QUERIES = (op1_suffix_dedup, op2_pii, op3_licences, op4_quality_rules, op5_ngram_join, op6_packing, op7_fingerprints, op8_language_id, op9_toxicity, op10_mixing, op11_periodic_runs, op12_class_bigrams, op13_vector_codes)
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
