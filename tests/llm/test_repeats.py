@@ -118,3 +118,27 @@ def test_any_repeated_string_has_an_anchor():
     chosen, *_ = r.anchors(np.frombuffer(text, np.uint8), np.array([0, len(text)]), SMALL)
     for i in range(len(text) - SMALL.least + 1):
         assert ((chosen >= i) & (chosen < i + SMALL.window)).any()
+
+
+def test_millions_of_equal_characters_and_thousands_of_copies(spark):
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    alone = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    rows = [(i, long) for i in range(2000)] + [(5000, "x" * 5_000_000), (5001, alone), (5002, alone[:1000] + "#" + long[500:900] + "!"), (5003, "xy" * 500_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {x.doc_id: tuple(x)[1:4] for x in r.without_repeats(docs).collect()}
+    assert all(got[i] == (3000, 3000, 1) for i in range(2000))
+    assert got[5000] == (5_000_000, 5_000_000, 1) and got[5003] == (1_000_000, 1_000_000, 1)
+    assert got[5001] == (3000, 1000, 1) and got[5002] == (1402, 1400, 2)
+
+
+def test_thinned_anchors_cover_the_same():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        place = np.cumsum(rng.integers(1, 30, 200))
+        around = np.repeat(rng.integers(0, 4, 20), 10).astype(np.uint64)
+        owner = np.zeros(200, np.int64)
+        kept = r._thinned(place, owner, around, 100)
+        for value in np.unique(around):
+            whole, left = ({x for p in places for x in range(p - 136, p + 200)} for places in (place[around == value], place[kept & (around == value)]))
+            assert whole == left and (kept & (around == value)).sum() >= min(2, (around == value).sum())

@@ -100,11 +100,32 @@ def _parts(column: pa.Array, settings: RepeatSettings) -> Iterator[tuple[np.ndar
 ANCHORS = "text_a long, text_b long, place int, core long, around long"
 
 
+def _thinned(place: np.ndarray, owner: np.ndarray, around: np.ndarray, step: int) -> np.ndarray:
+    """Anchors that are needed: of a stretch with equal surroundings the first, the last, and one in each ``step`` bytes.
+
+    The strings around those left cover the same bytes, and what they can be equal to is the same.
+    """
+    same = np.zeros(len(place) + 1, bool)
+    same[1:-1] = (around[1:] == around[:-1]) & (owner[1:] == owner[:-1])
+    near = np.zeros(len(place), bool)
+    near[1:] = place[1:] // step == place[:-1] // step
+    return ~(same[:-1] & same[1:] & near)
+
+
+def _named_bytes(part: pa.RecordBatch) -> tuple[np.ndarray, pa.Array]:
+    """Names and bytes of the texts of a batch, packed or plain."""
+    if "packed" not in part.schema.names:
+        return np.array([_name((t or "").encode()) for t in part.column("text").to_pylist()], np.int64).reshape(-1, 2), part.column("text")
+    expand = zstandard.ZstdDecompressor().decompress
+    names = np.stack([part.column(n).to_numpy() for n in ("text_a", "text_b")], 1)
+    return names, pa.array([expand(p) for p in part.column("packed").to_pylist()], pa.binary())
+
+
 def _anchored(settings: RepeatSettings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, SLICE_BYTES // 4):
-            names = np.array([_name((t or "").encode()) for t in part.column("text").to_pylist()], np.int64).reshape(-1, 2)
-            for data, starts, value, at, last in _parts(part.column("text"), settings):
+        for part in _small(batches, SLICE_BYTES // 4):
+            names, texts = _named_bytes(part)
+            for data, starts, value, at, last in _parts(texts, settings):
                 chosen, owner, core, around = anchors(data, starts, settings)
                 place = chosen - starts[owner] + at[owner]
                 owner = value[owner]
@@ -114,6 +135,9 @@ def _anchored(settings: RepeatSettings):
                 if len(value) == 1 and at[0]:
                     seen &= place - at[0] >= settings.window - 1
                 place, owner, core, around = (x[seen] for x in (place, owner, core, around))
+                if len(place):
+                    needed = _thinned(place, owner, around, settings.least // 2)
+                    place, owner, core, around = (x[needed] for x in (place, owner, core, around))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x) for x in (names[owner, 0], names[owner, 1], place.astype(np.int32), core.view(np.int64), around.view(np.int64))],
                     ["text_a", "text_b", "place", "core", "around"],
@@ -122,61 +146,76 @@ def _anchored(settings: RepeatSettings):
     return run
 
 
+def _small(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with about ``limit`` bytes of text, unpacked."""
+    for batch in batches:
+        if "packed" not in batch.schema.names:
+            yield from slices([batch], limit)
+            continue
+        size = batch.column("n_bytes").to_numpy()
+        cuts = np.flatnonzero(np.diff((np.cumsum(size) - size) // limit)) + 1
+        bounds = [0, *cuts.tolist(), batch.num_rows]
+        for start, end in zip(bounds, bounds[1:]):
+            if end > start:
+                yield batch.slice(start, end - start)
+
+
+PACKED = "text_a long, text_b long, n_bytes long, sha256 string, packed binary"
+
+
 def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts by name, compressed for the shuffle."""
     squeeze = zstandard.ZstdCompressor(level=1).compress
     for part in slices(batches):
         texts = [(t or "").encode() for t in part.column("text").to_pylist()]
         names = np.array([_name(t) for t in texts], np.int64).reshape(-1, 2)
+        sizes, digests = pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([squeeze(t) for t in texts], pa.binary())],
-            ["doc_id", "text_a", "text_b", "packed"],
+            [part.column("doc_id"), pa.array(names[:, 0]), pa.array(names[:, 1]), sizes, digests, pa.array([squeeze(t) for t in texts], pa.binary())],
+            ["doc_id", "text_a", "text_b", "n_bytes", "sha256", "packed"],
         )
 
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches):
-        names = np.array([_name((t or "").encode()) for t in part.column("text").to_pylist()], np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names[:, 0]), pa.array(names[:, 1])], ["doc_id", "text_a", "text_b"])
-
-
-def named_texts(docs: DataFrame) -> DataFrame:
-    """Each distinct text with the smallest ``doc_id`` that has it and the number of rows that do."""
-    names = id_and_text(docs).mapInArrow(_named, "doc_id long, text_a long, text_b long")
-    return names.groupBy("text_a", "text_b").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
-
-
 def packed_texts(docs: DataFrame) -> DataFrame:
-    return id_and_text(docs).mapInArrow(_packed_texts, "doc_id long, text_a long, text_b long, packed binary")
+    """Each row's text with its name, size and hash, compressed."""
+    return id_and_text(docs).mapInArrow(_packed_texts, f"doc_id long, {PACKED}")
 
 
-def _few(batches: Iterator[pa.RecordBatch], rows: int = 32) -> Iterator[pa.RecordBatch]:
-    """Small slices: a text of few packed bytes may have thousands of anchors and spans."""
-    for part in slices(batches, SLICE_BYTES // 4, "packed"):
-        for start in range(0, part.num_rows, rows):
-            yield part.slice(start, rows)
+def named_texts(docs: DataFrame) -> DataFrame:
+    """Each distinct text (of documents or of :func:`packed_texts`) with the smallest ``doc_id`` that has it and the number of rows that do."""
+    texts = docs if "packed" in docs.columns else packed_texts(docs)
+    return texts.groupBy("text_a", "text_b").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
 
 
 #: A row of the suffix array: where strings begin is counted from the anchor, ``low`` to ``high``.
 SUFFIXES = "bucket long, low int, high int, text_a long, text_b long, place int, done boolean, left binary, right binary"
 
 
-def _surroundings(settings: RepeatSettings):
+def _surroundings(settings: RepeatSettings, most: int = 8_192):
     """Bytes to the left of each wanted anchor, and from it on."""
+    names = ("bucket", "low", "high", "text_a", "text_b", "place", "done", "left", "right")
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
-        for batch in _few(batches):
-            out: dict[str, list] = {n: [] for n in ("bucket", "low", "high", "text_a", "text_b", "place", "done", "left", "right")}
-            for a, b, packed, wanted in zip(*(batch.column(n).to_pylist() for n in ("text_a", "text_b", "packed", "wanted"))):
-                text = expand(packed) if packed else b""
+        rows: list[tuple] = []
+
+        def batch_of_rows() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), types)], list(names))
+            rows.clear()
+            return out
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b, packed, wanted = (batch.column(n)[i].as_py() for n in ("text_a", "text_b", "packed", "wanted"))
+                text = expand(packed)
                 for w in wanted:
                     at = w["place"]
-                    row = (w["core"], 1 - settings.window, 0, a, b, at, w["done"], text[max(0, at - settings.window + 1) : at], text[at : at + settings.least])
-                    for values, value in zip(out.values(), row):
-                        values.append(value)
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], list(out))
+                    rows.append((w["core"], 1 - settings.window, 0, a, b, at, w["done"], text[max(0, at - settings.window + 1) : at], text[at : at + settings.least]))
+                    if len(rows) >= most:
+                        yield batch_of_rows()
+        if rows:
+            yield batch_of_rows()
 
     return run
 
@@ -248,31 +287,70 @@ def maximal_repeats(left: list[bytes], right: list[bytes], least: int) -> Iterat
                 yield extent, deep, [order[i] for i in rows]
 
 
-def _best_neighbour(bucket: np.ndarray, values: list[bytes]) -> np.ndarray:
-    """Longest prefix each value shares with another of its bucket."""
-    order = sorted(range(len(values)), key=lambda i: (bucket[i], values[i]))
-    common = _common([values[i] for i in order])
-    common[1:][bucket[order][1:] != bucket[order][:-1]] = 0
-    out = np.zeros(len(values), np.int64)
-    out[order] = np.maximum(common, np.append(common[1:], 0))
-    return out
+class _LeastBetween:
+    """Minimum of any stretch of an array, by a table of dyadic stretches."""
 
+    def __init__(self, values: np.ndarray):
+        self.rows = [values]
+        while len(self.rows[-1]) > 1 << (len(self.rows) - 1):
+            half = 1 << (len(self.rows) - 1)
+            self.rows.append(np.minimum(self.rows[-1][:-half], self.rows[-1][half:]))
 
-def _hopeful(left: list[bytes], right: list[bytes], occurrence: list[tuple], starts: np.ndarray, least: int) -> tuple[list[int], list[int]]:
-    """Rows that can be in a group, without rows given twice, and where their buckets start.
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of ``start`` to ``end``, the end exclusive; no stretch is empty."""
+        level = np.frexp((end - start).astype(float))[1] - 1
+        out = np.zeros(len(start), np.int64)
+        for k in np.unique(level):
+            at = level == k
+            out[at] = np.minimum(self.rows[k][start[at]], self.rows[k][end[at] - (1 << int(k))])
+        return out
 
-    A row is in none if the most it shares to the left with one row and to the right with another is too short.
+
+def _reach(left: list[bytes], right: list[bytes], bucket: np.ndarray, least: int, most: int = 1 << 20) -> np.ndarray:
+    """How far each row is in a maximal repeat group, to the left of its anchor and from it on (0, 0: in none).
+
+    The common-prefix intervals of all buckets come from one stack scan. In each interval the rows stand in the order of
+    their left contexts; the longest context a row shares there is that with one of its neighbours, and the row is in a
+    group if it is long enough together with the interval's prefix. The intervals are taken many at a time.
     """
-    bucket = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    n = len(right)
+    numbers = bucket.tolist()
+    order = np.array(sorted(range(n), key=lambda i: (numbers[i], right[i])), np.int64)
+    common = _common([right[i] for i in order.tolist()])
+    common[1:][bucket[order][1:] != bucket[order][:-1]] = 0
+    back = [x[::-1] for x in left]
+    by_left = np.array(sorted(range(n), key=lambda i: (numbers[i], back[i])), np.int64)
+    shared = _common([back[i] for i in by_left.tolist()])
+    shared[1:][bucket[by_left][1:] != bucket[by_left][:-1]] = 0
+    rank = np.empty(n, np.int64)
+    rank[by_left] = np.arange(n)
+    rank = rank[order]  # by the order of the suffix array
+    between = _LeastBetween(shared)
+    reach = np.zeros((2, n), np.int64)
+    found = [x for x in _intervals(common) if x[0]]
+    deep, first, last = np.array(found, np.int64).reshape(-1, 3).T
+    size = last - first + 1
+    chunk = (np.cumsum(size) - size) // most
+    for part in np.split(np.arange(len(deep)), np.flatnonzero(np.diff(chunk)) + 1) if len(deep) else ():
+        of = np.repeat(np.arange(len(part)), size[part])
+        row = np.arange(len(of)) - np.repeat(np.cumsum(size[part]) - size[part], size[part]) + first[part][of]
+        ordered = np.argsort(of * n + rank[row], kind="stable")
+        of, row = of[ordered], row[ordered]
+        beside = np.flatnonzero(of[1:] == of[:-1])
+        best = np.zeros(len(of), np.int64)
+        length = between(rank[row[beside]] + 1, rank[row[beside + 1]] + 1)
+        best[beside] = length
+        best[beside + 1] = np.maximum(best[beside + 1], length)
+        met = best + deep[part][of] >= least
+        np.maximum.at(reach[0], order[row[met]], best[met])
+        np.maximum.at(reach[1], order[row[met]], deep[part][of[met]])
+    return reach
+
+
+def _distinct(bucket: np.ndarray, occurrence: list[tuple]) -> list[int]:
+    """Rows without those given twice."""
     seen: set[tuple] = set()
-    rows = np.array([i for i, o in enumerate(zip(bucket.tolist(), occurrence)) if not (o in seen or seen.add(o))], np.int64)
-    while len(rows):
-        reach = _best_neighbour(bucket[rows], [right[i] for i in rows]) + _best_neighbour(bucket[rows], [left[i][::-1] for i in rows])
-        if (reach >= least).all():
-            break
-        rows = rows[reach >= least]
-    cuts = np.flatnonzero(np.diff(bucket[rows])) + 1
-    return rows.tolist(), [0, *cuts.tolist(), len(rows)] if len(rows) else [0]
+    return [i for i, o in enumerate(zip(bucket.tolist(), occurrence)) if not (o in seen or seen.add(o))]
 
 
 SPANS = "text_a long, text_b long, start int, end int"
@@ -294,25 +372,27 @@ def _scanned(settings: RepeatSettings, named: bool, most: int = 50_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in whole_groups(batches, ["bucket", "low", "high"]):
             left, right, place, a, b = (rows.column(n).to_pylist() for n in ("left", "right", "place", "text_a", "text_b"))
-            kept, starts = _hopeful(left, right, list(zip(a, b, place)), starts, settings.least)
+            bucket = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            kept = _distinct(bucket, list(zip(a, b, place)))
             left, right, place, a, b = ([values[i] for i in kept] for values in (left, right, place, a, b))
-            reach, out = np.zeros((2, len(kept)), np.int64), []
-            for start, end in zip(starts[:-1], starts[1:]):
+            bucket, out = bucket[kept], []
+            if not named:
+                reach = _reach(left, right, bucket, settings.least)
+                out = [(a[j], b[j], place[j] - int(reach[0][j]), place[j] + int(reach[1][j])) for j in np.flatnonzero(reach[1]).tolist()]
+                if out:
+                    yield _batch(out, SPANS)
+                continue
+            bounds = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(kept)]
+            for start, end in zip(bounds, bounds[1:]):
                 for extent, deep, found in maximal_repeats(left[start:end], right[start:end], settings.least):
                     at = start + np.array(found)
-                    if not named:
-                        reach[0][at] = np.maximum(reach[0][at], extent)
-                        reach[1][at] = np.maximum(reach[1][at], deep)
-                        continue
                     group = _name(left[at[0]][len(left[at[0]]) - extent :] + right[at[0]][:deep])
                     out += [(a[j], b[j], place[j] - extent, place[j] + deep, *group) for j in at.tolist()]
                     if len(out) >= most:
                         yield _batch(out, FOUND)
                         out = []
-            if not named:
-                out = [(a[j], b[j], place[j] - int(reach[0][j]), place[j] + int(reach[1][j])) for j in np.flatnonzero(reach[1]).tolist()]
             if out:
-                yield _batch(out, FOUND if named else SPANS)
+                yield _batch(out, FOUND)
 
     return run
 
@@ -333,7 +413,8 @@ def repeats(docs: DataFrame, names: DataFrame, settings: RepeatSettings = Repeat
 
     ``names`` is :func:`named_texts` of ``docs``. With ``named``, one row per occurrence and group ``group_a, group_b``. ``end`` may be beyond the text's end, ``start`` before it.
     """
-    found = id_and_text(docs).mapInArrow(_anchored(settings), ANCHORS)
+    texts = docs if "packed" in docs.columns else packed_texts(docs)
+    found = materialize(texts.select("text_a", "text_b", "n_bytes", "packed").mapInArrow(_anchored(settings), ANCHORS), "places")
     shared = found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
     met = materialize(found.join(shared, "core"), "anchors")
 
@@ -348,7 +429,7 @@ def repeats(docs: DataFrame, names: DataFrame, settings: RepeatSettings = Repeat
         .groupBy("text_a", "text_b").agg(F.collect_list(F.struct("core", "place", "done")).alias("wanted"))  # of one text
     )
     wanted = wanted.join(names.select("text_a", "text_b", "first_id"), ["text_a", "text_b"])
-    texts = packed_texts(docs).alias("t").join(wanted.alias("w"), [
+    texts = texts.alias("t").join(wanted.alias("w"), [
         F.col("t.text_a") == F.col("w.text_a"), F.col("t.text_b") == F.col("w.text_b"), F.col("t.doc_id").eqNullSafe(F.col("w.first_id")),
     ])
     rows = materialize(texts.select("t.text_a", "t.text_b", "packed", "wanted").mapInArrow(_surroundings(settings), SUFFIXES), "suffixes")
@@ -375,44 +456,78 @@ def repeats(docs: DataFrame, names: DataFrame, settings: RepeatSettings = Repeat
     return out
 
 
-def _removed(settings: RepeatSettings):
-    """Per document: the bytes that the spans cover, in maximal runs, and the hash of the others."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor().decompress
-        for batch in _few(batches):
-            rows = []
-            for doc_id, packed, copies, spans in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "packed", "copies", "spans"))):
-                text = expand(packed)
-                runs = [[0, len(text)]] if copies and len(text) >= settings.least else []
-                for s in () if runs else sorted((max(0, s["start"]), min(len(text), s["end"])) for s in spans or ()):
-                    if runs and s[0] <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], s[1])
-                    else:
-                        runs.append(list(s))
-                digest, done = hashlib.sha256(), 0
-                for start, end in runs:
-                    digest.update(text[done:start])
-                    done = end
-                digest.update(text[done:])
-                rows.append((doc_id, len(text), sum(e - s for s, e in runs), len(runs), digest.hexdigest()))
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, t) for v, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))],
-                    ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-                )
-
-    return run
+RUNS = "text_a long, text_b long, runs array<struct<start: int, end: int>>"
+_RUN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Maximal runs of each text, from spans by text and start; only the runs of one text are held."""
+    text, runs, out = None, [], []
+
+    def batch_of_texts() -> pa.RecordBatch:
+        a, b, spans = zip(*out)
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(spans, pa.list_(_RUN))], ["text_a", "text_b", "runs"])
+
+    for batch in batches:
+        for a, b, start, end in zip(*(batch.column(n).to_pylist() for n in ("text_a", "text_b", "start", "end"))):
+            if (a, b) != text:
+                if runs:
+                    out.append((*text, [{"start": s, "end": e} for s, e in runs]))
+                text, runs = (a, b), []
+            if runs and start <= runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], end)
+            else:
+                runs.append([max(0, start), end])
+        if len(out) >= 1024:
+            yield batch_of_texts()
+    if runs:
+        out.append((*text, [{"start": s, "end": e} for s, e in runs]))
+    if out:
+        yield batch_of_texts()
+
+
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
+def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document: the bytes that its runs cover, and the hash of the others."""
+    expand = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        rows = []
+        for i in range(batch.num_rows):
+            doc_id, packed, runs = (batch.column(n)[i].as_py() for n in ("doc_id", "packed", "runs"))
+            text = expand(packed)
+            digest, done, gone = hashlib.sha256(), 0, 0
+            for run in runs:
+                end = min(len(text), run["end"])
+                digest.update(text[done : run["start"]])
+                gone += end - run["start"]
+                done = end
+            digest.update(text[done:])
+            rows.append((doc_id, len(text), gone, len(runs), digest.hexdigest()))
+        if rows:
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), types)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def without_repeats(docs: DataFrame, settings: RepeatSettings = RepeatSettings()) -> DataFrame:
-    """What is left of each document when every byte of a repeat of ``least`` bytes is removed: counts and a hash."""
-    texts, names = packed_texts(docs), materialize(named_texts(docs), "texts")
-    copies = names.where("n > 1").select("text_a", "text_b", F.lit(True).alias("copies"))
-    spans = (
-        repeats(docs, names, settings)
-        .groupBy("text_a", "text_b").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # of one text
-    )
+    """What is left of each document when every byte of a repeat of ``least`` bytes is removed: counts and a hash.
+
+    A text that several rows have is a repeat as a whole, so its rows need neither their spans nor their bytes, and only
+    texts of one row that do have spans are read again.
+    """
     key = ["text_a", "text_b"]
-    marked = texts.join(spans, key, "left").join(copies, key, "left").select("doc_id", "packed", F.coalesce("copies", F.lit(False)).alias("copies"), "spans")
-    return marked.mapInArrow(_removed(settings), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    texts = materialize(packed_texts(docs), "packed-texts")
+    names = materialize(named_texts(texts), "texts")
+    copied = names.where("n > 1").select(*key)
+    spans = repeats(texts, names, settings).join(copied, key, "left_anti")
+    runs = materialize(spans.repartition(*key).sortWithinPartitions(*key, "start").mapInArrow(_merged, RUNS), "runs")
+    known = copied.withColumn("copied", F.lit(True)).unionByName(runs.select(*key, F.lit(False).alias("copied")))
+    plain = texts.select("doc_id", *key, "n_bytes", "sha256").join(known, key, "left")
+    gone = F.coalesce("copied", F.lit(False)) & (F.col("n_bytes") >= settings.least)
+    nothing = hashlib.sha256(b"").hexdigest()
+    whole = plain.where("copied is null or copied").select(
+        "doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(0).alias("n_removed"), gone.cast("long").alias("n_spans"), F.when(gone, nothing).otherwise(F.col("sha256")).alias("kept_sha256")
+    )
+    return whole.unionByName(texts.select("doc_id", *key, "packed").join(runs, key).select("doc_id", "packed", "runs").mapInArrow(_removed, RESULT))
