@@ -33,8 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracecast.llm.common import SLICE_BYTES, slices
-from tracecast.storage import materialize
+from tracecast.llm.common import SLICE_BYTES, raw_bytes, slices
+from tracecast.storage import materialize, passing_shuffles
 
 END = 0
 
@@ -48,8 +48,9 @@ class ClassSettings:
     #: Counts that the class unigrams are worth as a prior of the class bigrams.
     prior: float = 20.0
     block_bytes: int = 16 << 20
-    #: Words that are moved together.
+    #: Words that are moved together, and the counts of their profiles.
     group: int = 1024
+    group_counts: int = 1 << 15
 
 
 def _binary(values: np.ndarray) -> bytes:
@@ -108,13 +109,13 @@ class _Pairs:
     classes: np.ndarray
 
     @staticmethod
-    def of(row: dict, settings: ClassSettings) -> _Pairs:
+    def of(row: dict, settings: ClassSettings, words: pa.Array | None) -> _Pairs:
         tokens = _numbers(row["tokens"], np.int32).astype(np.int64)
         ends = np.array(row["ends"], np.int64)
         taught = np.repeat(np.array(row["train"], bool), np.diff(np.concatenate([[0], ends])))
         before = np.concatenate([[END], tokens[:-1]])
         if row.get("packed") is None:
-            classes = np.array([first_class(w, settings.classes) for w in row["words"]], np.int64)
+            classes = np.array([first_class(w, settings.classes) for w in words.to_pylist()], np.int64)
         else:
             classes = _unpacked(row["packed"], "class", np.int8)
         return _Pairs(before[taught], tokens[taught], classes)
@@ -136,7 +137,8 @@ def _bigrams(settings: ClassSettings):
         total = np.zeros(k * k, np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
-                pairs = _Pairs.of(batch.slice(i, 1).to_pylist()[0], settings)
+                words = batch.column("words")[i].values if "words" in batch.schema.names else None
+                pairs = _Pairs.of(batch.select([n for n in batch.schema.names if n != "words"]).slice(i, 1).to_pylist()[0], settings, words)
                 total += np.bincount(pairs.classes[pairs.before] * k + pairs.classes[pairs.after], minlength=k * k)
         met = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array((met // k).astype(np.int32)), pa.array((met % k).astype(np.int32)), pa.array(total[met])], ["a", "b", "n"])
@@ -153,8 +155,8 @@ def _profiles(settings: ClassSettings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                pairs, words = _Pairs.of(row, settings), pa.array(row["words"], pa.string())
+                words, row = batch.column("words")[i].values, batch.select([n for n in batch.schema.names if n != "words"]).slice(i, 1).to_pylist()[0]
+                pairs = _Pairs.of(row, settings, words)
                 key, count = np.unique(np.concatenate([pairs.before * 128 + pairs.classes[pairs.after], pairs.after * 128 + 64 + pairs.classes[pairs.before]]), return_counts=True)
                 owner, piece = [], []
                 for place in range(8):
@@ -183,29 +185,25 @@ def _log(x: np.ndarray) -> np.ndarray:
 def exchanged(profile: np.ndarray, own: np.ndarray, bigrams: np.ndarray) -> np.ndarray:
     """Best class of each word by its ``profile`` (classes after it, then before it), the class bigrams and its own class."""
     k = len(bigrams)
-    best = np.full(len(own), 0)
     count = profile[:, :k].sum(1)
+    cell = np.concatenate([bigrams.T, bigrams])  # of each feature in each class
+    log_cell, once = _log(cell), profile == 1
+    gain = once.astype(float) @ (_log(cell + 1) - log_cell)
     word, feature = np.nonzero(profile)
-    value, late = profile[word, feature], feature >= k
-    cells = np.where(late[:, None], bigrams[feature % k], bigrams[:, feature % k].T)  # of each entry in each class
-    gain = np.zeros((len(own), k))
+    value = profile[word, feature]
+    mine = cell[feature, own[word]]
+    stay = np.bincount(word, _log(mine) - _log(np.maximum(mine - value, 0)), len(own))
+    often = value > 1
+    word, feature, value = word[often], feature[often], value[often]
     if len(word):
         starts = np.flatnonzero(np.concatenate([[True], np.diff(word) > 0]))
-        change = _log(cells + value[:, None]) - _log(cells)
-        gain[word[starts]] = np.add.reduceat(change, starts, axis=0)
-        at = np.arange(len(word))
-        mine = cells[at, own[word]]
-        change = _log(mine) - _log(np.maximum(mine - value, 0))
-        stay = np.zeros(len(own))
-        stay[word[starts]] = np.add.reduceat(change, starts)
-    else:
-        stay = np.zeros(len(own))
+        gain[word[starts]] += np.add.reduceat(_log(cell[feature] + value[:, None]) - log_cell[feature], starts, axis=0)
     size = bigrams.sum(1)
     gain -= 2 * (_log(size + count[:, None]) - _log(size))
     stay -= 2 * (_log(size[own]) - _log(np.maximum(size[own] - count, 0)))
     rows = np.arange(len(own))
     gain[rows, own] = stay
-    gain[:, END] = -np.inf
+    gain[:, END] = -np.inf  # kept for the end token
     best = gain.argmax(1)
     return np.where(gain[rows, best] > stay + 1e-9, best, own)
 
@@ -224,10 +222,10 @@ def _exchange(bigrams: np.ndarray, settings: ClassSettings, held_rows: int = 200
         def moved(profile: np.ndarray, own: np.ndarray, is_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             count = profile[:, :k].sum(1)
             new = own.copy()
-            for low in range(0, len(own), settings.group):
-                part = np.flatnonzero((count[low : low + settings.group] > 0) & ~is_end[low : low + settings.group]) + low
-                if not len(part):
-                    continue
+            movable = np.flatnonzero((count > 0) & ~is_end)
+            filled = np.cumsum((profile[movable] > 0).sum(1))
+            cuts = np.flatnonzero(np.diff(np.arange(len(movable)) // settings.group + filled // settings.group_counts)) + 1
+            for part in np.split(movable, cuts) if len(movable) else ():
                 new[part] = exchanged(profile[part], own[part], local)
                 went = part[new[part] != own[part]]
                 shift = np.zeros((k, len(went)))
@@ -261,8 +259,8 @@ def _exchange(bigrams: np.ndarray, settings: ClassSettings, held_rows: int = 200
             new_word = np.concatenate([[True], pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)])
             starts, group = np.flatnonzero(new_word), np.cumsum(new_word) - 1
             block, pos, own = (batch.column(n).to_numpy() for n in ("block", "pos", "class"))
-            length = pc.binary_length(batch.column("profile")).to_numpy() // 2
-            pieces = np.frombuffer(b"".join(batch.column("profile").to_pylist()), np.uint16).astype(np.int64)
+            packed_profiles, bounds = raw_bytes(batch.column("profile"))
+            length, pieces = np.diff(bounds) // 2, np.frombuffer(packed_profiles.tobytes(), np.uint16).astype(np.int64)
             feature, value = pieces & 127, (pieces >> 10) << (6 * ((pieces >> 7) & 7))
             feature = np.where(feature >= 64, feature - 64 + k, feature)
             profile = np.bincount(np.repeat(group, length) * 2 * k + feature, value, len(starts) * 2 * k).reshape(-1, 2 * k)
@@ -340,7 +338,9 @@ def _with_classes(blocks: DataFrame, moves: DataFrame | None) -> DataFrame:
 def _counted(blocks: DataFrame, moves: DataFrame | None, settings: ClassSettings) -> np.ndarray:
     read = _with_classes(blocks.select("block", "train", "ends", "tokens", *([] if moves is not None else ["words"])), moves)
     out = np.zeros((settings.classes, settings.classes), np.int64)
-    for a, b, n in read.mapInArrow(_bigrams(settings), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n")).collect():
+    with passing_shuffles(blocks.sparkSession):
+        counts = read.mapInArrow(_bigrams(settings), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n")).collect()
+    for a, b, n in counts:
         out[a, b] = n
     return out
 
