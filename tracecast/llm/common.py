@@ -23,6 +23,11 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def set_aside(docs: DataFrame, *used: str) -> DataFrame:
+    """``docs`` with the columns not ``used`` named by their place, so that no name an operator gives can be theirs; ``toDF`` with the old names undoes it."""
+    return docs.toDF(*(n if n in used else f"aside_{i}" for i, n in enumerate(docs.columns)))
+
+
 def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Parts of the batches in which ``column`` holds about ``limit`` bytes."""
     for batch in batches:

@@ -102,7 +102,7 @@ def _corpus(settings: LanguageSettings):
                     bucket=pa.nulls(len(chosen), pa.int32()),
                     n=pa.nulls(len(chosen), pa.int64()),
                     lang=part.column("lang").take(pa.array(chosen)),
-                    counts=pa.array([np.minimum(counts[i], 65535).astype(np.uint16).tobytes() for i in chosen], pa.binary()),
+                    counts=pa.array([counts[i].astype(np.uint32).tobytes() for i in chosen], pa.binary()),
                 )
         used = np.flatnonzero(frequency)
         yield batch_of(
@@ -120,7 +120,7 @@ def _cluster(idf: np.ndarray, settings: LanguageSettings):
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("counts")  # the start must not depend on the order of arrival
-        x = vectors(np.stack([np.frombuffer(c, np.uint16) for c in rows["counts"]]), idf)
+        x = vectors(np.stack([np.frombuffer(c, np.uint32) for c in rows["counts"]]), idf)
         centre = x.mean(0)
         chosen = [int(np.argmax(x @ centre))]
         while len(chosen) < min(settings.clusters, len(x)):  # farthest first

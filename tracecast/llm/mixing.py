@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tracecast.llm.common import set_aside
 from tracecast.storage import materialize
 
 
@@ -173,7 +174,8 @@ def mixture(docs: DataFrame, settings: MixSettings = MixSettings()) -> DataFrame
 
 def mixed_documents(docs: DataFrame, settings: MixSettings = MixSettings()) -> DataFrame:
     """``docs`` with each row as often as the mixture uses it; the columns stay as they are."""
+    names, docs = docs.columns, set_aside(docs, "doc_id", "source", "text")
     columns = docs.columns
     full = counted(docs)
     narrow = materialize(full.select("doc_id", "mix_source", "mix_tokens"), "mix-tokens")
-    return realise(full, plan(narrow, settings)).select(*columns)
+    return realise(full, plan(narrow, settings)).select(*columns).toDF(*names)

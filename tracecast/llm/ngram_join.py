@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tracecast.llm.common import hashed_words, id_and_text, mixed, raw_bytes, slices
+from tracecast.llm.common import hashed_words, id_and_text, mixed, raw_bytes, set_aside, slices
 from tracecast.llm.components import components
 from tracecast.llm.groups import whole_groups
 from tracecast.storage import materialize
@@ -304,6 +304,7 @@ def join(docs: DataFrame, settings: JoinSettings = JoinSettings()) -> DataFrame:
 
 def one_of_each(docs: DataFrame, settings: JoinSettings = JoinSettings()) -> DataFrame:
     """``docs`` without all but the document of smallest ``doc_id`` of each class; repeated rows of it become one."""
+    names, docs = docs.columns, set_aside(docs, "doc_id", "text")
     classes = materialize(join(docs, settings), "classes")
     # a row without words has no other class than its own, and goes with its document if that goes
     stays = F.min(F.col("class_id").eqNullSafe(F.col("doc_id")))
@@ -315,4 +316,4 @@ def one_of_each(docs: DataFrame, settings: JoinSettings = JoinSettings()) -> Dat
     several = docs.join(special.where("stays").select("class_doc_id"), same, "left_semi")
     first = W.partitionBy("doc_id").orderBy("text")
     one = several.withColumn("class_row", F.row_number().over(first)).where("class_row = 1").drop("class_row")
-    return once.unionByName(one)
+    return once.unionByName(one).toDF(*names)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracecast.llm.common import batch_of, slices
+from tracecast.llm.common import batch_of, set_aside, slices
 from tracecast.storage import materialize
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -251,6 +251,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sanitise(docs: DataFrame, settings: PiiSettings = PiiSettings()) -> DataFrame:
     """``docs`` with personal data replaced by its kind, disclosing terms by ``[TERM]`` or nothing; all columns stay."""
+    names, docs = docs.columns, set_aside(docs, "text")
     columns = docs.columns
     fields = [f"`{n}` {t}" for n, t in docs.dtypes]
     keyed = docs.withColumn("row", F.monotonically_increasing_id())
@@ -258,4 +259,4 @@ def sanitise(docs: DataFrame, settings: PiiSettings = PiiSettings()) -> DataFram
     rules = materialize(disclosing_terms(found, docs, settings), "disclosing-terms")
     terms = _with_terms(found, rules).select(*columns, "base", "terms")
     clean = docs.mapInArrow(_clean, ", ".join(fields))
-    return clean.unionByName(terms.mapInArrow(_rewrite, ", ".join(fields)))
+    return clean.unionByName(terms.mapInArrow(_rewrite, ", ".join(fields))).toDF(*names)

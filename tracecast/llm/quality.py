@@ -86,10 +86,10 @@ def count_rules(text: str) -> tuple[int, ...]:
 
 
 def windowed(words: list[str], window: int = 50) -> tuple[int, int]:
-    """The statistics of ``WINDOWED``; a shorter text is one window, else the words after the last whole one are left out."""
+    """The statistics of ``WINDOWED``: every word is in a window; the last one is of the last words, and a shorter text is one window."""
     if len(words) < window:
         return len(words), len(set(words))
-    starts = range(0, len(words) - window + 1, window)
+    starts = [*range(0, len(words) - window, window), len(words) - window]
     return len(starts) * window, sum(len(set(words[i : i + window])) for i in starts)
 
 
