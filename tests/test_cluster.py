@@ -1,10 +1,11 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracecast.operators import cluster as C
-from tracecast.operators import ngrams, svd, traces
+from tracecast.operators import density, neighbours, ngrams, svd, traces
 from tracecast.operators.router import route, train_router
 from tracecast.plans.clustered import best_candidate, candidate_scores, clustered_lines, fit_clustered
 from tracecast.operators import split
@@ -35,27 +36,125 @@ def grams(acts):
     return frozenset(acts) | {" ".join(p) for p in zip(acts, acts[1:])}
 
 
-def test_first_level_is_single_linkage_at_one_edit(spark, trace_frame):
-    rng = random.Random(4)
-    texts = {"-".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(60)}
-    by_variant = C.feature_points(trace_frame(";".join(sorted(texts))))
-    points = by_variant.groupBy("point").agg(F.sum("n_traces").alias("weight"), F.any_value("grams").alias("grams"), F.any_value("activities").alias("activities"))
-    tree = {r.point: r for r in C.hierarchy(points, C.hubs(points)).collect()}
-    sets = {r.point: frozenset(r.grams) for r in points.collect()}
-    parent = {p: p for p in sets}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
+def brute_clusters(weights: dict, sets: dict, size: int):
+    """Labels, and exemplars, of the points: every pair compared, merged at each distance in turn, chosen from the root down."""
+    points = sorted(sets)
+    apart = {(a, b): len(sets[a] ^ sets[b]) for a in points for b in points if a != b}
+
+    def core(p):
+        ranks = [0] * (weights[p] - 1) + sorted(d for (a, q), d in apart.items() if a == p for _ in range(weights[q]))
+        return ranks[size - 1] if len(ranks) >= size else None
+
+    cores = {p: core(p) for p in points}
+    live = [p for p in points if cores[p] is not None]
+    reach = {(a, b): max(apart[a, b], cores[a], cores[b]) for a in live for b in live if a < b}
+    dense = lambda level: level**-0.5 if level else density.DENSEST
+    part = {p: frozenset([p]) for p in live}
+    tree: list = []  # clusters: members at the end, mass, children, members at birth
+    holds: dict = {}
+    for p in live:
+        if weights[p] >= size:
+            holds[part[p]] = len(tree)
+            tree.append({"mass": weights[p] * dense(cores[p]), "children": [], "points": {p}, "birth": {p}, "since": cores[p]})
+    total = lambda group: sum(weights[p] for p in group)
+    for level in sorted(set(reach.values())):
+        before = set(part.values())
+        for (a, b), d in reach.items():
+            if d == level and part[a] != part[b]:
+                both = part[a] | part[b]
+                for p in both:
+                    part[p] = both
+        for group in set(part.values()) - before:
+            inside = {g: holds[g] for g in before if g <= group and g in holds and tree[holds[g]]["since"] < level}
+            inner = list(inside.values())
+            if len(inner) == 1:
+                (old,) = inside
+                cluster = tree[inner[0]]
+                cluster["mass"] += (total(group) - total(old)) * dense(level)
+                cluster["points"] |= group
+                holds[group] = inner[0]
+            elif inner:
+                for g, c in inside.items():
+                    tree[c]["mass"] -= total(g) * dense(level)
+                holds[group] = len(tree)
+                tree.append({"mass": total(group) * dense(level), "children": inner, "points": set(group), "birth": set(), "since": level})
+            elif total(group) >= size:
+                holds[group] = len(tree)
+                tree.append({"mass": total(group) * dense(level), "children": [], "points": set(group), "birth": set(group), "since": level})
+    roots = [holds[g] for g in set(part.values()) if g in holds]
+    best = {}
+    for i, c in enumerate(tree):
+        below = sum(best[k] for k in c["children"])
+        c["head"] = c["mass"] >= below and (i not in roots or len(roots) > 1)
+        best[i] = max(c["mass"], below)
+    label, exemplar = dict.fromkeys(points), set()
+
+    def down(i, chosen):
+        chosen = chosen if chosen is not None else (i if tree[i]["head"] else None)
+        exemplar.update(tree[i]["birth"])
+        if chosen is not None:
+            for p in tree[i]["points"]:
+                label[p] = min(tree[chosen]["points"])
+        for k in tree[i]["children"]:
+            down(k, chosen)
+
+    for r in roots:
+        down(r, None)
+    return label, exemplar
+
+
+def random_points(spark, trace_frame, seed: int, n: int, letters: str):
+    rng = random.Random(seed)
+    texts = ["-".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(n)]
+    points = C.points_of(C.feature_points(trace_frame(";".join(texts))))
+    rows = points.collect()
+    return points, {r.point: r.weight for r in rows}, {r.point: frozenset(r["items"]) for r in rows}
+
+
+@pytest.mark.parametrize("seed, n, letters, most_nodes", [(1, 300, "abc", 1000), (2, 300, "abcdefgh", 1000), (2, 200, "abcde", 5), (3, 250, "abcd", 30), (4, 40, "ab", 1)])
+def test_clusters_equal_the_condensed_single_linkage_of_all_pairs(spark, trace_frame, seed, n, letters, most_nodes):
+    points, weights, sets = random_points(spark, trace_frame, seed, n, letters)
+    sizes = [2, 3, 5, 9]
+    found = C.labels_of(points, sizes, most_nodes=most_nodes).collect()
+    for size in sizes:
+        label, exemplar = brute_clusters(weights, sets, size)
+        own = {r.point: r.label for r in found if r.candidate == size}
+        groups = lambda of: {frozenset(p for p in of if of[p] == k) for k in set(of.values()) - {None}}
+        assert groups(own) == groups(label), (size, len(groups(own)), len(groups(label)))
+        assert {r.point for r in found if r.candidate == size and r.exemplar and r.label is not None} == {p for p in exemplar if label[p] is not None}
+
+
+def test_blocks_of_several_orders_find_the_near_points(spark, trace_frame):
+    points, weights, sets = random_points(spark, trace_frame, 7, 600, "abcdef")
+    small = neighbours.BlockSettings(points=120, orders=6)
+    cored = {r.point: r.cores for r in neighbours.core_distances(points, [1, 3], small).collect()}
+    exact = {r.point: r.cores for r in neighbours.core_distances(points, [1, 3]).collect()}
+    right = sum(cored[p][0] == exact[p][0] for p in sets)
+    assert len(sets) > 3 * 120 and right >= 0.8 * len(sets) and all(cored[p][0] >= exact[p][0] for p in sets)
+    found = C.labels_of(points, [2, 4], small).collect()
+    assert len(found) == 2 * len(sets)
+
+
+def test_least_trees_span_at_the_least_cost():
+    rng = random.Random(3)
+    import numpy as np
 
-    for a in sets:
-        for b in sets:
-            if len(sets[a] - sets[b]) <= 1 and len(sets[b] - sets[a]) <= 1:
-                parent[root(a)] = root(b)
-    pairs = lambda key: {(a, b) for a in sets for b in sets if key(a) == key(b)}
-    assert pairs(lambda p: tree[p].c1) == pairs(root)
-    assert pairs(lambda p: tree[p].c1) <= pairs(lambda p: tree[p].c2) <= pairs(lambda p: tree[p].c3)
+    for n in (2, 3, 30):
+        w = np.array([[rng.randint(1, 20) for _ in range(n)] for _ in range(n)])
+        w = np.minimum(w, w.T)
+        a, b, level = neighbours.least_tree(w)
+        edges = sorted((int(w[i, j]), i, j) for i in range(n) for j in range(i))
+        up = list(range(n))
+        cost = 0
+        for c, i, j in edges:
+            while up[i] != i:
+                i = up[i]
+            while up[j] != j:
+                j = up[j]
+            if i != j:
+                up[i] = j
+                cost += c
+        assert cost == level.sum() and len(a) == n - 1
 
 
 def test_clusters_of_small_log(spark, small):
@@ -79,37 +178,21 @@ def test_clusters_of_small_log(spark, small):
 
 
 def test_soft_membership_against_its_definition(spark, trace_frame):
-    rng = random.Random(6)
-    texts = ["-".join(rng.choice("abcd") for _ in range(rng.randint(1, 4))) for _ in range(150)]
-    by_variant = C.feature_points(trace_frame(";".join(texts)))
-    points = by_variant.groupBy("point").agg(F.sum("n_traces").alias("weight"), F.any_value("grams").alias("grams"), F.any_value("activities").alias("activities"))
-    hub_rows = C.hubs(points)
-    labels = C.select_clusters(C.hierarchy(points, hub_rows), [2, 5, 9])
-    label = {(r.candidate, r.point): r.cluster_id for r in labels.collect()}
-    weight = {r.point: r.weight for r in points.collect()}
-    members: dict = {}
-    for r in hub_rows.collect():
-        members.setdefault((r.level, r.hub), set()).add(r.point)
-    expected: dict = {}
-    for candidate in (2, 5, 9):
-        votes: dict = {}
-        for (level, _), inside in members.items():
-            held: dict = {}
-            for p in inside:
-                if (candidate, p) in label:
-                    held[label[candidate, p]] = held.get(label[candidate, p], 0) + weight[p]
-            if held:
-                winner = min(held, key=lambda c: (-held[c], c))
-                for p in inside:
-                    votes.setdefault(p, {}).setdefault(level, []).append(winner)
-        for p, levels in votes.items():
-            total = sum(C.LEVEL_DENSITY[level] for level in levels)
-            for level, cast in levels.items():
-                for c in cast:
-                    key = (candidate, p, c)
-                    expected[key] = expected.get(key, 0) + C.LEVEL_DENSITY[level] / len(cast) / total
-    found = {(r.candidate, r.point, r.cluster_id): r.prob for r in C.soft_membership(hub_rows, labels).collect()}
-    assert label and found.keys() == expected.keys()
+    points, weights, sets = random_points(spark, trace_frame, 6, 150, "abcd")
+    sizes = [2, 5, 9]
+    labels = C.labels_of(points, sizes)
+    marks: dict = {}
+    for r in labels.collect():
+        if r.exemplar and r.label is not None:
+            marks.setdefault(r.candidate, {}).setdefault(r.label, []).append(r.point)
+    expected = {}
+    for size, clusters in marks.items():
+        for p in sets:
+            near = sorted((min(len(sets[p] ^ sets[q]) for q in own), c) for c, own in clusters.items())[: C.NEAREST_CLUSTERS]
+            shares = {c: float(d == 0) if near[0][0] == 0 else 1 / d for d, c in near}
+            expected |= {(size, p, c): x / sum(shares.values()) for c, x in shares.items() if x}
+    found = {(r.candidate, r.point, r.cluster): r.prob for r in C.soft_membership(points, labels, sizes).collect()}
+    assert marks and found.keys() == expected.keys()
     assert all(abs(found[k] - expected[k]) < 1e-9 for k in found)
 
 

@@ -1,15 +1,10 @@
-"""Density clustering of traces with soft membership, linear in the number of n-grams.
-
-A point is a distinct n-gram set. Points meet in *hubs*: the set itself, the set
-less one n-gram, its activity set, and that set less one activity. Sharing a hub of
-the second kind is the same as being one edit apart (one n-gram added, removed or
-exchanged), so the connected components over hubs are the single-linkage components
-at that distance, found without comparing points. The four kinds of hub give four levels of a hierarchy.
-
-For a minimum cluster size the hierarchy is condensed (components below the size
-are noise) and the clusters with the largest excess of mass are kept, never the
-single all-embracing one. Membership is a vote of a point's hubs, each for the
-cluster that holds most of its traces, weighted by the density of the hub's level.
+"""Density clustering of traces with soft membership.
+
+A point is a distinct n-gram set that stands for its traces. Points are compared in neighbour blocks, which give the core
+distances and, for each minimum cluster size, a spanning forest by mutual reachability (``neighbours.py``). The forest's
+merges, at the distances that occur in it, are condensed and the clusters with the largest excess of mass are chosen
+(``density.py``). Exemplars of a cluster are the points its leaves were born with. Every point, noise too, belongs to the
+clusters of the nearest exemplars by shares of the inverse squared distance.
 """
 
 from __future__ import annotations
@@ -20,13 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracecast.functions.sequences import ngram_arrays
+from tracecast.operators import density, neighbours
 from tracecast.operators.traces import variants
 from tracecast.settings import Settings
 from tracecast.storage import materialize
 
-#: Density (inverse distance) of the four hub levels; level 0 holds identical points.
-LEVEL_DENSITY = (10.0, 0.7, 0.5, 0.33)
-LEVELS = range(len(LEVEL_DENSITY))
+#: Clusters a point may belong to, the nearest ones.
+NEAREST_CLUSTERS = 16
 
 
 @dataclass(frozen=True)
@@ -38,53 +33,16 @@ class Clustering:
 
 
 def feature_points(train: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Variants with their point: ``(variant_id, acts, n_traces, point, grams, activities)``."""
+    """Variants with the n-grams they hold as hashes: ``(variant_id, acts, n_traces, items)``."""
     distinct = variants(train).select("variant_id", "acts", "n_traces")
-    grams = F.transform(F.array_distinct(ngram_arrays(F.col("acts"), settings.ngram_min, settings.ngram_max)), lambda g: F.to_json(g))
-    return distinct.withColumns({"grams": grams, "activities": F.array_distinct("acts")}).withColumn(
-        "point", _set_key(_set_hash(F.col("grams")))
-    )
-
-
-def _item_hash(item: Column) -> Column:
-    """Two independent 64-bit hashes of a label."""
-    return F.struct(F.xxhash64(item).alias("x"), F.xxhash64(item, F.lit(1)).alias("y"))
-
-
-def _with(a: Column, b: Column) -> Column:
-    """Hash of a set with an item put in or, being its own inverse, taken out."""
-    return F.struct(a["x"].bitwiseXOR(b["x"]).alias("x"), a["y"].bitwiseXOR(b["y"]).alias("y"))
-
-
-def _set_hash(items: Column) -> Column:
-    empty = F.struct(F.lit(0).cast("bigint").alias("x"), F.lit(0).cast("bigint").alias("y"))
-    return F.aggregate(items, empty, lambda seen, item: _with(seen, _item_hash(item)))
-
-
-def _set_key(hashed: Column, prefix: str = "") -> Column:
-    return F.concat(F.lit(prefix), F.lpad(F.lower(F.hex(hashed["x"])), 16, "0"), F.lpad(F.lower(F.hex(hashed["y"])), 16, "0"))
-
-
-def hubs(points: DataFrame) -> DataFrame:
-    """``(point, weight, level, hub)``; linear in the set sizes, as a set less one item is one step from its hash."""
+    grams = F.array_distinct(ngram_arrays(F.col("acts"), settings.ngram_min, settings.ngram_max))
+    return distinct.withColumn("items", F.array_sort(F.transform(grams, lambda g: F.xxhash64(g))))
 
-    def itself(prefix: str, hashed: Column) -> Column:
-        return F.array(_set_key(hashed, prefix))
 
-    def less_one(prefix: str, items: str, hashed: Column) -> Column:
-        return F.transform(items, lambda x: _set_key(_with(hashed, _item_hash(x)), prefix))
-
-    g, a = F.col("g_hash"), F.col("a_hash")
-    levels = F.array(
-        itself("g", g),
-        F.concat(less_one("g", "grams", g), itself("g", g)),
-        itself("a", a),
-        F.concat(less_one("a", "activities", a), itself("a", a)),
-    )
-    hashed = points.withColumns({"g_hash": _set_hash(F.col("grams")), "a_hash": _set_hash(F.col("activities"))})
-    return hashed.select("point", "weight", F.posexplode(levels).alias("level", "hs")).select(
-        "point", "weight", "level", F.explode("hs").alias("hub")
-    )
+def points_of(by_variant: DataFrame) -> DataFrame:
+    """``(point, weight, items, name)``: one row per distinct n-gram set, named by its smallest variant."""
+    sets = by_variant.groupBy("items").agg(F.sum("n_traces").alias("weight"), F.min("variant_id").alias("name"))
+    return materialize(sets.withColumn("point", F.monotonically_increasing_id()), "points")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -123,128 +81,40 @@ def _follow(steps: DataFrame) -> DataFrame:
     return steps.join(onward, "to").select("node", F.col("onward").alias("to"))
 
 
-def hierarchy(points: DataFrame, hub_rows: DataFrame) -> DataFrame:
-    """``(point, weight, c0, c1, c2, c3)``: component of every point at each level."""
-    tree = points.select("point", "weight", F.col("point").alias("c0"))
-    for level in list(LEVELS)[1:]:
-        below = f"c{level - 1}"
-        of_level = hub_rows.where(F.col("level") == level)
-        if level == 1:  # the components below are the points themselves
-            edges = of_level.select(F.col("point").alias("node"), "hub")
-        else:
-            edges = of_level.join(tree.select("point", F.col(below).alias("node")), "point").select("node", "hub").distinct()
-        found = connected_components(materialize(edges, "hub-edges"))
-        tree = tree.join(found.select(F.col("node").alias(below), F.col("component").alias(f"c{level}")), below)
-    return materialize(tree.select("point", "weight", *[f"c{level}" for level in LEVELS]), "hierarchy")
-
-
-def select_clusters(tree: DataFrame, candidates: list[int]) -> DataFrame:
-    """``(candidate, point, cluster_id)``: clusters of the condensed hierarchy by excess of mass."""
-    sizes = F.explode(F.array(*[F.lit(c) for c in candidates])).alias("candidate")
-    alive_below, heads = None, []
-    for level in LEVELS:
-        comp, coarser = f"c{level}", LEVEL_DENSITY[level + 1] if level + 1 < len(LEVEL_DENSITY) else 0.0
-        gain = F.col("w") * (LEVEL_DENSITY[level] - coarser)
-        alive = (
-            tree.groupBy(comp).agg(F.sum("weight").alias("w"))
-            .select(F.col(comp).alias("comp"), "w", sizes)
-            .where("w >= candidate")
-        )
-        if alive_below is None:
-            state = alive.select("candidate", "comp", gain.alias("mass"), F.lit(0.0).alias("below"), F.lit(0).alias("n"))
-        else:
-            up = tree.select(F.col(f"c{level - 1}").alias("comp"), F.col(comp).alias("parent")).distinct()
-            inside = alive_below.join(up, "comp")
-            parents = inside.groupBy("candidate", F.col("parent").alias("comp")).agg(
-                F.count(F.lit(1)).alias("n"),
-                F.sum(F.greatest("mass", "below")).alias("split"),
-                F.max("mass").alias("kept"),
-                F.max("below").alias("kept_below"),
-            )
-            joined = alive.join(parents, ["candidate", "comp"], "left")
-            # One living child is the same cluster going on; several end in a split.
-            state = joined.select(
-                "candidate", "comp",
-                (gain + F.when(F.col("n") == 1, F.col("kept")).otherwise(0.0)).alias("mass"),
-                F.when(F.col("n") == 1, F.col("kept_below")).when(F.col("n") > 1, F.col("split")).otherwise(0.0).alias("below"),
-                F.coalesce("n", F.lit(0)).alias("n"),
-            )
-            split = parents.where("n > 1").select("candidate", F.col("comp").alias("parent"))
-            heads.append(
-                inside.join(split, ["candidate", "parent"]).where("mass >= below").select(
-                    "candidate", F.col("comp").alias(f"c{level - 1}"), F.lit(True).alias(f"head{level - 1}")
-                )
-            )
-        alive_below = materialize(state, "alive")
-    several = alive_below.groupBy("candidate").count().where("count > 1").select("candidate")
-    heads.append(
-        alive_below.join(several, "candidate").where("mass >= below").select(
-            "candidate", F.col("comp").alias(f"c{LEVELS[-1]}"), F.lit(True).alias(f"head{LEVELS[-1]}")
-        )
-    )
-    labelled = tree.select("*", sizes)
-    for level, head in zip(LEVELS, heads):
-        labelled = labelled.join(head, ["candidate", f"c{level}"], "left")
-    cluster = F.coalesce(*[F.when(F.col(f"head{level}"), F.col(f"c{level}")) for level in reversed(LEVELS)])
-    return labelled.select("candidate", "point", cluster.alias("cluster_id")).where("cluster_id is not null")
+def labels_of(points: DataFrame, sizes: list[int], blocks: neighbours.BlockSettings = neighbours.BlockSettings(), most_nodes: int = 200_000) -> DataFrame:
+    """``(candidate, point, label, exemplar)``; a cluster's label is its smallest point, null for noise."""
+    cored = materialize(neighbours.core_distances(points, sizes, blocks), "core-distances")
+    forest = materialize(neighbours.forest(cored, sizes, blocks), "forest")
+    cores = F.posexplode("cores").alias("place", "core")
+    listed = cored.select("point", "weight", cores).withColumn("candidate", F.element_at(F.array(*[F.lit(c) for c in sizes]), F.col("place") + 1))
+    return materialize(density.choose(listed, forest, connected_components, most_nodes), "labels")
 
 
-def soft_membership(hub_rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(candidate, point, cluster_id, prob)``; every hub casts one vote, so nothing is paired.
+def soft_membership(points: DataFrame, labels: DataFrame, sizes: list[int], blocks: neighbours.BlockSettings = neighbours.BlockSettings()) -> DataFrame:
+    """``(candidate, point, cluster, prob)``: shares of the nearest clusters, by the inverse squared distance to their nearest exemplars.
 
-    Most hubs hold a single point and vote for its own cluster: they are only counted.
+    Exemplars of one cluster only belong to it wholly; at no distance from several, to each alike.
     """
-    meeting = (
-        hub_rows.groupBy("level", "hub").agg(F.min("point").alias("lo"), F.max("point").alias("hi")).where("lo < hi")
-    )
-    shared = materialize(hub_rows.join(meeting.select("level", "hub"), ["level", "hub"], "left_semi"), "shared-hubs")
-    n_shared = shared.groupBy("point", "level").agg(F.count(F.lit(1)).alias("n_shared"))
-    alone = (
-        hub_rows.groupBy("point", "level").agg(F.count(F.lit(1)).alias("n_all"))
-        .join(n_shared, ["point", "level"], "left")
-        .select("point", "level", (F.col("n_all") - F.coalesce("n_shared", F.lit(0))).alias("n"))
-        .where("n > 0")
-        .join(labels, "point")
-    )
-    held = (
-        shared.join(labels, "point")
-        .groupBy("candidate", "level", "hub", "cluster_id")
-        .agg(F.sum("weight").alias("held"))
-    )
-    votes = held.groupBy("candidate", "level", "hub").agg(
-        F.min_by("cluster_id", F.struct(-F.col("held"), "cluster_id")).alias("cluster_id")
-    )
-    columns = ["candidate", "point", "level", "cluster_id", "n"]
-    # All further grouping is by point within a candidate: one shuffle serves it.
-    cast = (
-        shared.join(votes, ["level", "hub"]).withColumn("n", F.lit(1).cast("bigint")).select(*columns)
-        .unionByName(alone.select(*columns))
-        .repartition("candidate", "point")
-        .groupBy("candidate", "point", "level", "cluster_id")
-        .agg(F.sum("n").alias("n"))
-    )
-    density = F.element_at(F.array(*[F.lit(d) for d in LEVEL_DENSITY]), F.col("level") + 1)
-    in_level = F.sum("n").over(Window.partitionBy("candidate", "point", "level"))
-    shares = cast.withColumn("s", F.col("n") / in_level * density)
-    by_cluster = shares.groupBy("candidate", "point", "cluster_id").agg(F.sum("s").alias("s"))
-    of_point = F.sum("s").over(Window.partitionBy("candidate", "point"))
+    marks = labels.where("exemplar and label is not null").select("candidate", F.col("label").alias("cluster"), "point")
+    apart = neighbours.exemplar_distances(points, marks, sizes, NEAREST_CLUSTERS, blocks)
+    of_point = Window.partitionBy("candidate", "point")
+    ranked = apart.withColumn("place", F.row_number().over(of_point.orderBy("apart", "cluster"))).where(F.col("place") <= NEAREST_CLUSTERS)
+    ranked = ranked.withColumn("least", F.min("apart").over(of_point))
+    share = F.when(F.col("least") == 0, (F.col("apart") == 0).cast("double")).otherwise(1 / F.col("apart"))
     # Rounded, so that the order of the sums decides neither ties nor thresholds.
-    return by_cluster.select("candidate", "point", "cluster_id", F.round(F.col("s") / of_point, 12).alias("prob"))
+    return ranked.withColumn("share", share).select("candidate", "point", "cluster", F.round(F.col("share") / F.sum("share").over(of_point), 12).alias("prob")).where("prob > 0")
 
 
 def cluster_traces(train: DataFrame, settings: Settings = Settings()) -> Clustering:
-    """Clusters of the training traces for every candidate minimum size with more than one cluster."""
-    by_variant = materialize(feature_points(train, settings), "points")
-    points = by_variant.groupBy("point").agg(
-        F.sum("n_traces").alias("weight"), F.any_value("grams").alias("grams"), F.any_value("activities").alias("activities")
-    )
-    hub_rows = materialize(hubs(points), "hubs")
-    tree = hierarchy(points, hub_rows)
-    labels = materialize(select_clusters(tree, settings.candidates()), "labels")
-    several = labels.groupBy("candidate").agg(F.countDistinct("cluster_id").alias("k")).where("k > 1")
-    labels = labels.join(several.select("candidate"), "candidate", "left_semi")
-    soft = soft_membership(hub_rows, labels)
-    slim = by_variant.select("variant_id", "acts", "n_traces", "point")
+    """Clusters of the training traces for every candidate minimum size with more than one cluster; a cluster has the name of its smallest variant."""
+    by_variant = materialize(feature_points(train, settings), "variants")
+    points, sizes = points_of(by_variant), settings.candidates()
+    labels = labels_of(points, sizes)
+    names = labels.where("label is not null").join(points.select("point", "name"), "point").groupBy("candidate", "label").agg(F.min("name").alias("cluster_id"))
+    several = names.groupBy("candidate").count().where("count > 1").select("candidate")
+    names = materialize(names.join(several, "candidate").withColumnRenamed("label", "cluster"), "cluster-names")
+    soft = soft_membership(points, labels.join(several, "candidate", "left_semi"), sizes).join(names, ["candidate", "cluster"]).drop("cluster")
+    slim = materialize(by_variant.join(points.select("items", "point"), "items").select("variant_id", "acts", "n_traces", "point"), "points-of-variants")
     # Sequences stay out: they would repeat for every candidate and cluster.
     memberships = slim.drop("acts").join(soft, "point").select("candidate", "cluster_id", "variant_id", "n_traces", "prob")
     return Clustering(slim, materialize(memberships, "memberships"))
