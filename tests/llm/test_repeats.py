@@ -142,3 +142,21 @@ def test_thinned_anchors_cover_the_same():
         for value in np.unique(around):
             whole, left = ({x for p in places for x in range(p - 136, p + 200)} for places in (place[around == value], place[kept & (around == value)]))
             assert whole == left and (kept & (around == value)).sum() >= min(2, (around == value).sum())
+
+
+def test_split_joins_do_not_split_a_text(spark):
+    before = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.01",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.files.maxPartitionBytes": "4k", "spark.sql.files.openCostInBytes": "1",
+    }
+    kept = {k: spark.conf.get(k) for k in before}
+    try:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        rows = corpus(11) + [(700 + i, t) for i, (_, t) in enumerate(corpus(12))]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+        got = r.without_repeats(docs, r.RepeatSettings(least=20, core=6, bucket_rows=50)).collect()
+        assert sorted((tuple(x) for x in got), key=repr) == brute(rows, 20)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)

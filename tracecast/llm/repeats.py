@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracecast.llm.common import SLICE_BYTES, id_and_text, mixed, prefix_hashes, raw_bytes, slices, span_hashes
+from tracecast.llm.common import SLICE_BYTES, id_and_text, mixed, prefix_hashes, raw_bytes, released, slices, span_hashes
 from tracecast.llm.groups import whole_groups
 from tracecast.storage import materialize
 
@@ -143,7 +143,7 @@ def _anchored(settings: RepeatSettings):
                     ["text_a", "text_b", "place", "core", "around"],
                 )
 
-    return run
+    return released(run)
 
 
 def _small(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
@@ -163,6 +163,7 @@ def _small(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordB
 PACKED = "text_a long, text_b long, n_bytes long, sha256 string, packed binary"
 
 
+@released
 def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts by name, compressed for the shuffle."""
     squeeze = zstandard.ZstdCompressor(level=1).compress
@@ -217,7 +218,7 @@ def _surroundings(settings: RepeatSettings, most: int = 8_192):
         if rows:
             yield batch_of_rows()
 
-    return run
+    return released(run)
 
 
 def _narrowed(settings: RepeatSettings):
@@ -241,7 +242,7 @@ def _narrowed(settings: RepeatSettings):
                 types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), types)], [*batch.schema.names[:9], "around"])
 
-    return run
+    return released(run)
 
 
 def _common(rows: list[bytes]) -> np.ndarray:
@@ -394,7 +395,7 @@ def _scanned(settings: RepeatSettings, named: bool, most: int = 50_000):
             if out:
                 yield _batch(out, FOUND)
 
-    return run
+    return released(run)
 
 
 def _whole(rows: DataFrame, settings: RepeatSettings, named: bool) -> DataFrame:
@@ -438,7 +439,8 @@ def repeats(docs: DataFrame, names: DataFrame, settings: RepeatSettings = Repeat
         large = materialize(sizes.where(F.col("n") > settings.bucket_rows).select("bucket", "low", "high"), "large-buckets")
         key = ["bucket", "low", "high"]
         small = rows.join(large, key, "left_anti")
-        spans.append(small.repartition(*key).sortWithinPartitions(*key).mapInArrow(_scanned(settings, named), FOUND if named else SPANS))
+        # by a hash of the key: a shuffle by the key itself could be left out after the join, whose partitions may be split
+        spans.append(small.repartition(F.xxhash64(*key)).sortWithinPartitions(*key).mapInArrow(_scanned(settings, named), FOUND if named else SPANS))
         if large.isEmpty():
             break
         halves = materialize(rows.join(large, key).select(*rows.columns).mapInArrow(_narrowed(settings), f"{SUFFIXES}, around long"), "halves")
@@ -460,6 +462,7 @@ RUNS = "text_a long, text_b long, runs array<struct<start: int, end: int>>"
 _RUN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
 
+@released
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Maximal runs of each text, from spans by text and start; only the runs of one text are held."""
     text, runs, out = None, [], []
@@ -490,6 +493,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+@released
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document: the bytes that its runs cover, and the hash of the others."""
     expand = zstandard.ZstdDecompressor().decompress
@@ -521,8 +525,9 @@ def without_repeats(docs: DataFrame, settings: RepeatSettings = RepeatSettings()
     texts = materialize(packed_texts(docs), "packed-texts")
     names = materialize(named_texts(texts), "texts")
     copied = names.where("n > 1").select(*key)
-    spans = repeats(texts, names, settings).join(copied, key, "left_anti")
-    runs = materialize(spans.repartition(*key).sortWithinPartitions(*key, "start").mapInArrow(_merged, RUNS), "runs")
+    spans = repeats(texts, names, settings)
+    merged = spans.repartition(F.xxhash64(*key)).sortWithinPartitions(*key, "start").mapInArrow(_merged, RUNS)
+    runs = materialize(merged.join(copied, key, "left_anti"), "runs")
     known = copied.withColumn("copied", F.lit(True)).unionByName(runs.select(*key, F.lit(False).alias("copied")))
     plain = texts.select("doc_id", *key, "n_bytes", "sha256").join(known, key, "left")
     gone = F.coalesce("copied", F.lit(False)) & (F.col("n_bytes") >= settings.least)
