@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracecast.llm.common import SLICE_BYTES, raw_bytes, slices
+from tracecast.llm.common import SLICE_BYTES, raw_bytes, released, slices
 from tracecast.storage import materialize, passing_shuffles
 
 END = 0
@@ -50,7 +50,7 @@ class ClassSettings:
     block_bytes: int = 16 << 20
     #: Words that are moved together, and the counts of their profiles.
     group: int = 1024
-    group_counts: int = 1 << 15
+    group_counts: int = 1 << 13
 
 
 def _binary(values: np.ndarray) -> bytes:
@@ -92,7 +92,7 @@ def _blocks(settings: ClassSettings):
         if tokens:
             yield block()
 
-    return run
+    return released(run)
 
 
 def first_class(word: str, classes: int) -> int:
@@ -143,7 +143,7 @@ def _bigrams(settings: ClassSettings):
         met = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array((met // k).astype(np.int32)), pa.array((met % k).astype(np.int32)), pa.array(total[met])], ["a", "b", "n"])
 
-    return run
+    return released(run)
 
 
 def _profiles(settings: ClassSettings):
@@ -157,7 +157,10 @@ def _profiles(settings: ClassSettings):
             for i in range(batch.num_rows):
                 words, row = batch.column("words")[i].values, batch.select([n for n in batch.schema.names if n != "words"]).slice(i, 1).to_pylist()[0]
                 pairs = _Pairs.of(row, settings, words)
-                key, count = np.unique(np.concatenate([pairs.before * 128 + pairs.classes[pairs.after], pairs.after * 128 + 64 + pairs.classes[pairs.before]]), return_counts=True)
+                late = np.unique(pairs.before * 128 + pairs.classes[pairs.after], return_counts=True)
+                early = np.unique(pairs.after * 128 + 64 + pairs.classes[pairs.before], return_counts=True)
+                key, count = (np.concatenate(x) for x in zip(late, early))
+                del late, early
                 owner, piece = [], []
                 for place in range(8):
                     digit = (count >> (6 * place)) & 63
@@ -174,7 +177,7 @@ def _profiles(settings: ClassSettings):
                     where = [pa.array(np.full(high - low, row["block"])), pa.array(np.arange(low, high, dtype=np.int32)), pa.array(pairs.classes[low:high].astype(np.int16))]
                     yield pa.RecordBatch.from_arrays([words.slice(low, high - low), *where, profile], ["word", "block", "pos", "class", "profile"])
 
-    return run
+    return released(run)
 
 
 def _log(x: np.ndarray) -> np.ndarray:
@@ -292,7 +295,7 @@ def _exchange(bigrams: np.ndarray, settings: ClassSettings, held_rows: int = 200
             yield packed()
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), *(pa.nulls(1, pa.binary()) for _ in range(3)), pa.array([sizes], pa.list_(pa.int64()))], ["block", "pos", "class", "count", "sizes"])
 
-    return run
+    return released(run)
 
 
 def likelihood(bigrams: np.ndarray) -> float:
@@ -387,7 +390,7 @@ def _scored(model_logs: tuple[np.ndarray, np.ndarray, np.ndarray], settings: Cla
                 columns = [batch.column("doc_ids").slice(i, 1).flatten(), pa.array(row["train"], pa.bool_()), pa.array(ends - starts), pa.array(np.add.reduceat((counts[tokens] > 0).astype(np.int64), starts))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(base), pa.array(score)], ["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
 
-    return run
+    return released(run)
 
 
 def score(model: ClassModel) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,24 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES, column:
                 yield batch.slice(start, end - start)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def released(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run``, after which the worker gives the memory it no longer uses back; workers serve many tasks, and allocators keep their largest size."""
+
+    def task(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return task
+
+
 def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all values in one array, and where each value starts (one more for the end); null is empty."""
     column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) else "")

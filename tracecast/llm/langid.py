@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracecast.llm.common import batch_of, mixed, raw_bytes, slices
+from tracecast.llm.common import batch_of, mixed, raw_bytes, released, slices
 from tracecast.storage import materialize
 
 UNKNOWN = "und"
@@ -112,7 +112,7 @@ def _corpus(settings: LanguageSettings):
             counts=pa.nulls(len(used) + 1, pa.binary()),
         )
 
-    return run
+    return released(run)
 
 
 def _cluster(idf: np.ndarray, settings: LanguageSettings):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tracecast.llm.common import hashed_words, id_and_text, mixed, raw_bytes, set_aside, slices
+from tracecast.llm.common import hashed_words, id_and_text, mixed, raw_bytes, released, set_aside, slices
 from tracecast.llm.components import components
 from tracecast.llm.groups import whole_groups
 from tracecast.storage import materialize
@@ -134,7 +134,7 @@ def _signed(settings: JoinSettings):
                 ["doc_id", "node", "sign", "bands"],
             )
 
-    return run
+    return released(run)
 
 
 def _smallest_connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -189,7 +189,7 @@ def _agreeing(settings: JoinSettings, all_pairs_up_to: int = 16):
             node = rows.column("node").combine_chunks()
             yield pa.RecordBatch.from_arrays([node.take(pa.array(moved, pa.int64())), node.take(pa.array(label[moved]))], ["a", "b"])
 
-    return run
+    return released(run)
 
 
 def _in_blocks(rows: DataFrame, group: str, size: str, block_rows: int) -> DataFrame:
@@ -215,7 +215,7 @@ def _with_sets(settings: JoinSettings):
             names = ["node", "label", "size"]
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(sets, pa.binary())], [*names, "windows"])
 
-    return run
+    return released(run)
 
 
 def _overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -259,7 +259,7 @@ def _verified(settings: JoinSettings):
             node = rows.column("node").combine_chunks()
             yield pa.RecordBatch.from_arrays([node, node.take(pa.array(label)), pa.array(links)], ["a", "b", "links"])
 
-    return run
+    return released(run)
 
 
 def join(docs: DataFrame, settings: JoinSettings = JoinSettings()) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracecast.llm.common import batch_of, set_aside, slices
+from tracecast.llm.common import batch_of, released, set_aside, slices
 from tracecast.storage import materialize
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -130,15 +130,17 @@ def _found(only_hits: bool):
             columns["same"] = pa.array([None if t is None else _hash(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return run
+    return released(run)
 
 
+@released
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows without base spans."""
     for part in slices(batches):
         yield part.filter(pa.array([not own for own in _spans_of(part)], pa.bool_()))
 
 
+@released
 def _document_counts(batches: Iterator[pa.RecordBatch], most: int = 500_000) -> Iterator[pa.RecordBatch]:
     """In how many of the texts each word is, summed before it leaves the task; flushed at ``most`` words."""
     counts: Counter[str] = Counter()
@@ -184,6 +186,7 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, settings: PiiSettings) -
     )
 
 
+@released
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``terms`` for ``disclosing``: every place where one of these stands."""
     for part in slices(batches):
@@ -241,6 +244,7 @@ def _rewritten(text: str, base: list[dict], terms: list[dict] | None) -> str:
     return "".join([*out, text[done:]])
 
 
+@released
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
         columns = dict(zip(part.schema.names, part.columns))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracecast.llm.common import batch_of, id_and_text, per_value, raw_bytes, slices
+from tracecast.llm.common import batch_of, id_and_text, per_value, raw_bytes, released, slices
 from tracecast.storage import materialize
 
 WORD = re.compile(r"[^ \t-\r]+")
@@ -103,6 +103,7 @@ def _columns(texts: pa.Array) -> dict[str, np.ndarray]:
     return dict(zip(COUNTED, counts.T)) | classes | dict(zip(WINDOWED, windows.T))
 
 
+@released
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
         yield batch_of(doc_id=part.column("doc_id"), **_columns(part.column("text")))
@@ -285,4 +286,4 @@ def filtered(docs: DataFrame, labels: DataFrame, rules: QualityRules = QualityRu
         for part in slices(batches):
             yield part.filter(pa.array(verdict.kept(_columns(part.column("text"))), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
