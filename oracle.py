@@ -195,6 +195,29 @@ def queries() -> dict[str, str]:
             select case_id, unnest(range(greatest(2, first_len), longest + 1)) as length, array_to_string(gram, ' ') as ngram
             from (select case_id, gram, min(last) as first_len from grams group by 1, 2)
             cross join (select max(n) as longest from train)""",
+        "svd_features": train_grams + """,
+            held as (select distinct case_id, gram from grams),
+            first as (select gram from held where case_id = (select min(case_id) from held))
+            select case_id, cast(count(*) as double) as own, cast(count(first.gram) as double) as with_first
+            from held left join first using (gram) group by case_id""",
+        "prefix_projections": train_grams + """,
+            news as (select case_id, gram, min(last) as seen from grams group by 1, 2),
+            cuts as (select case_id, unnest(range(2, n + 1)) as length from train)
+            select cuts.case_id, length, cast(count(*) as double) as own,
+                   case when length > 2 then cast(count(*) filter (seen < length) as double) end as with_before
+            from cuts join news on news.case_id = cuts.case_id and seen <= length group by 1, 2""",
+        "core_distances": train_grams + """,
+            bits as (select gram, cast(1 as bigint) << cast(row_number() over (order by gram) - 1 as int) as bit from (select distinct gram from grams)),
+            sets as (select case_id, cast(sum(bit) as bigint) as mask from (select distinct case_id, gram from grams) join bits using (gram) group by case_id),
+            points as (select mask, min(case_id) as name, count(*) as weight from sets group by mask),
+            pairs as (
+                select a.name, any_value(a.weight) as weight, bit_count(xor(a.mask, b.mask)) as apart, sum(b.weight) as other
+                from points a join points b on a.name <> b.name group by a.name, apart),
+            reached as (select name, apart, weight - 1 + sum(other) over (partition by name order by apart) as reach from pairs),
+            sizes as (select unnest(range(2, 11)) as candidate),
+            far as (select name, candidate, min(apart) as apart from reached join sizes on reach >= candidate group by 1, 2)
+            select p.name, p.weight, s.candidate, cast(case when p.weight > s.candidate then 0 else far.apart end as bigint) as core
+            from points p cross join sizes s left join far on far.name = p.name and far.candidate = s.candidate""",
         "tree_table": lines + _NODES + f"select model_id, type, shortname, {_long('node_id', 'parent_id', 'child_ix', 'depth')} from nodes",
         "tree_memberships": lines + _NODES + """
             select 'bag' as model_id, 'and_branch' as kind, n.shortname as node, '[And0]' as operator,

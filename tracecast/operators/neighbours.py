@@ -27,7 +27,7 @@ POINT = ("point", "weight", "items")
 @dataclass(frozen=True)
 class BlockSettings:
     #: Points compared with one another.
-    points: int = 2048
+    points: int = 6144
     #: Orders the points are dealt by, where one block does not hold them.
     orders: int = 4
     #: Hashes of a path.
@@ -69,7 +69,8 @@ def squared_distances(items: pa.ListArray, rows: slice = slice(None), columns: i
         has = np.zeros((len(size), min(columns, len(names) - start)), np.float32)
         has[owner[low:high], column[low:high] - start] = 1
         both += has[rows] @ has.T
-    return size[rows, None] + size[None, :] - 2 * both.astype(np.int64)
+    size = size.astype(np.int32)
+    return size[rows, None] + size[None, :] - 2 * both.astype(np.int32)
 
 
 def nearest(most: int, tile: int = 1024):
@@ -81,7 +82,7 @@ def nearest(most: int, tile: int = 1024):
         for start in range(0, len(point), tile):
             rows = slice(start, min(len(point), start + tile))
             apart = squared_distances(items, rows)
-            apart[np.arange(len(apart)), np.arange(rows.start, rows.stop)] = np.iinfo(np.int64).max
+            apart[np.arange(len(apart)), np.arange(rows.start, rows.stop)] = np.iinfo(np.int32).max
             k = min(most, len(point) - 1)
             near = np.argpartition(apart, k - 1, axis=1)[:, :k] if k else np.zeros((len(apart), 0), np.int64)
             lists = [
@@ -115,22 +116,20 @@ def core_distances(points: DataFrame, sizes: list[int], settings: BlockSettings
     return listed.withColumn("steps", steps).select(*points.columns, F.array(*[core(s) for s in sizes]).alias("cores"))
 
 
-def least_tree(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges of a minimum spanning tree of a dense matrix: from, to, weight."""
-    n = len(weights)
-    source, cost, away = np.zeros(n, np.int64), weights[0].copy(), np.ones(n, bool)
-    away[0] = False
+def least_tree(weights: Callable[[int], np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges of a minimum spanning tree of ``n`` points, given the weights from a point to all: from, to, weight."""
+    far = np.iinfo(np.int32).max
+    source, cost, away = np.zeros(n, np.int64), weights(0).copy(), np.ones(n, bool)
+    away[0], cost[0] = False, far
     ends = np.zeros((3, n - 1), np.int64)
-    far = np.iinfo(np.int64).max
-    cost[0] = far
     for i in range(n - 1):
         new = int(cost.argmin())
         ends[:, i] = source[new], new, cost[new]
-        away[new] = False
-        closer = away & (weights[new] < cost)
-        cost[closer] = weights[new][closer]
+        away[new], cost[new] = False, far
+        row = weights(new)
+        closer = away & (row < cost)
+        cost[closer] = row[closer]
         source[closer] = new
-        cost[new] = far
     return ends[0], ends[1], ends[2]
 
 
@@ -142,12 +141,13 @@ def spanning(sizes: list[int]):
         apart = squared_distances(block.column("items").combine_chunks())
         flat = block.column("cores").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(point), -1)
         for place, size in enumerate(sizes):
-            core = np.where(np.isnan(flat[:, place].astype(float)), -1, flat[:, place]).astype(np.int64)
+            core = np.where(np.isnan(flat[:, place].astype(float)), -1, flat[:, place]).astype(np.int32)
             live = np.flatnonzero(core >= 0)
             if len(live) < 2:
                 continue
-            own = core[live]
-            a, b, level = least_tree(np.maximum(np.maximum(apart[np.ix_(live, live)], own[:, None]), own[None, :]))
+            own, whole = core[live], len(live) == len(core)
+            row = lambda i: np.maximum(np.maximum(apart[i] if whole else apart[live[i]][live], own), own[i])  # noqa: B023, E731
+            a, b, level = least_tree(row, len(live))
             columns = [pa.array(np.full(len(a), size, np.int32)), pa.array(point[live[a]]), pa.array(point[live[b]]), pa.array(level)]
             yield pa.RecordBatch.from_arrays(columns, ["candidate", "a", "b", "level"])
 
@@ -185,7 +185,7 @@ def to_exemplars(sizes: list[int], most: int):
             chosen = np.argsort(near, axis=1, kind="stable")[:, :k]
             rows = np.repeat(np.arange(len(point)), k)
             picked = chosen.ravel()
-            columns = [pa.array(np.full(len(rows), size, np.int32)), pa.array(point[rows]), pa.array(clusters[starts][picked]), pa.array(near[rows, picked])]
+            columns = [pa.array(np.full(len(rows), size, np.int32)), pa.array(point[rows]), pa.array(clusters[starts][picked]), pa.array(near[rows, picked].astype(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, ["candidate", "point", "cluster", "apart"])
 
     return run

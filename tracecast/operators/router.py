@@ -1,128 +1,128 @@
-"""Routing of prefixes to clusters: one linear classifier per candidate and prefix length.
+"""Routing of prefixes to clusters: one linear classifier per candidate and prefix length, on projected prefixes.
 
-The weights are smoothed log-odds of the n-grams a cut of that length holds. All
-classifiers of all candidates come from one pass over the first positions of the
-n-grams instead of one fit per length.
+A classifier has one hinge-loss weight vector per cluster (one against the rest), fitted by stochastic gradients over
+small batches. Each classifier sees at most ``router_rows`` prefixes, those of smallest hash; all classifiers are
+fitted side by side, one group each, whose size that number bounds. Scoring deals prefixes out in blocks, and multiplies
+a block by the weights of all clusters of a classifier at once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracecast.operators.ngrams import first_lengths
+from tracecast.operators.svd import prefix_projections, svd_basis
 from tracecast.settings import Settings
 from tracecast.storage import materialize
 
+#: Passes over the rows, rows of a batch, weight of the penalty.
+_PASSES = 30
+_BATCH = 16
+_PENALTY = 1e-4
+#: Prefixes multiplied at once.
+_BLOCK = 1_000
+
 
+@dataclass(frozen=True)
 class Router:
-    """``weights``: (candidate, length, gram, cluster_id, weight above the unseen one);
-    ``bases``: (candidate, length, cluster_id, bias, unseen)."""
+    """``models``: (candidate, length, clusters, weights), a row of weights and a bias per cluster; ``basis``: (gram, axis)."""
+
+    models: DataFrame
+    basis: DataFrame
+    max_len: int
+
+
+def fit_linear(x: np.ndarray, label: np.ndarray, classes: int, seed: int) -> np.ndarray:
+    """``classes`` rows of weights with the bias last: averaged hinge-loss gradients, one class against the rest."""
+    random = np.random.default_rng(seed)
+    x = np.column_stack([x, np.ones(len(x))])
+    target = np.where(label[:, None] == np.arange(classes), 1.0, -1.0)
+    weights, average, steps = np.zeros((classes, x.shape[1])), np.zeros((classes, x.shape[1])), 0
+    scale = max(float((x * x).sum(1).mean()), 1.0)
+    for _ in range(_PASSES):
+        order = random.permutation(len(x))
+        for start in range(0, len(x), _BATCH):
+            rows = order[start : start + _BATCH]
+            missed = np.where(target[rows] * (x[rows] @ weights.T) < 1, target[rows], 0.0)
+            steps += 1
+            rate = 1 / (scale * (1 + 0.01 * steps))
+            weights *= 1 - rate * _PENALTY
+            weights += rate * missed.T @ x[rows] / len(rows)
+            average += (weights - average) / steps
+    return average
+
+
+MODEL = "candidate int, length int, clusters array<{kind}>, weights array<array<double>>"
 
-    def __init__(self, weights: DataFrame, bases: DataFrame, vocab: DataFrame, max_len: int):
-        self.weights, self.bases, self.vocab, self.max_len = weights, bases, vocab, max_len
+
+def _fitted(seed: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["draw", "variant_id"])
+        clusters = sorted(set(rows["cluster_id"]))
+        number = {c: i for i, c in enumerate(clusters)}
+        label = np.array([number[c] for c in rows["cluster_id"]])
+        weights = fit_linear(np.stack(rows["projection"].tolist()), label, len(clusters), seed)
+        first = rows.iloc[0]
+        return pd.DataFrame({"candidate": [int(first["candidate"])], "length": [int(first["length"])], "clusters": [clusters], "weights": [[w.tolist() for w in weights]]})
+
+    return run
 
 
 def train_router(labelled: DataFrame, max_len: int, settings: Settings = Settings()) -> Router:
-    """``labelled``: ``(candidate, cluster_id, variant_id, acts, n_traces)``, noise left out."""
-    sequences = labelled.select("variant_id", "acts").distinct()
-    grams = first_lengths(sequences, "variant_id", settings)
-    vocab = grams.select("gram").distinct()
-    members = labelled.select("candidate", "cluster_id", "variant_id", "n_traces")
-    sizes = members.groupBy("candidate", "cluster_id").agg(F.sum("n_traces").alias("size"))
-    totals = sizes.groupBy("candidate").agg(F.sum("size").alias("all"))
-    sizes = sizes.join(totals, "candidate").withColumn("prior", F.log(F.col("size") / F.col("all"))).drop("all")
-    seen_at = (
-        grams.withColumn("first_len", F.greatest(F.lit(2), "first_len"))
-        .join(members, "variant_id")
-        .groupBy("candidate", "cluster_id", "gram", "first_len")
-        .agg(F.sum("n_traces").alias("n"))
-    )
-    along = Window.partitionBy("candidate", "cluster_id", "gram").orderBy("first_len")
-    stepped = seen_at.select(
-        "candidate", "cluster_id", "gram", "first_len",
-        F.sum("n").over(along).alias("n"),
-        (F.coalesce(F.lead("first_len").over(along), F.lit(max_len + 1)) - 1).alias("until"),
-    )
-    by_length = stepped.where("first_len <= until").select(
-        "candidate", "cluster_id", "gram", "n", F.explode(F.sequence("first_len", "until")).alias("length")
-    )
-    share = (F.col("n") + 1) / (F.col("size") + 2)
-    rare = 1 / (F.col("size") + 2)
-    log_odds = lambda p: F.log(p) - F.log(1 - p)
-    seen = by_length.join(sizes, ["candidate", "cluster_id"]).select(
-        "candidate", "length", "gram", "cluster_id",
-        (log_odds(share) - log_odds(rare)).alias("weight"),
-        (F.log(1 - share) - F.log(1 - rare)).alias("absent"),
-    )
-    n_grams = vocab.agg(F.count(F.lit(1)).alias("n_grams")).withColumn("one", F.lit(1))
-    lengths = F.explode(F.sequence(F.lit(2), F.lit(max(2, max_len)))).alias("length")
-    absent = seen.groupBy("candidate", "length", "cluster_id").agg(F.sum("absent").alias("absent"))
-    bases = (
-        sizes.withColumn("one", F.lit(1)).join(n_grams, "one").select("*", lengths)
-        .join(absent, ["candidate", "length", "cluster_id"], "left")
-        .select(
-            "candidate", "length", "cluster_id",
-            (F.col("prior") + F.col("n_grams") * F.log(1 - rare) + F.coalesce("absent", F.lit(0.0))).alias("bias"),
-            log_odds(rare).alias("unseen"),
-        )
-    )
-    return Router(seen.drop("absent"), bases, vocab, max(2, max_len))
+    """``labelled``: ``(candidate, cluster_id, variant_id, acts)``, noise left out.
+
+    A trace shorter than a classifier's length is in it as a whole.
+    """
+    longest = max(2, max_len)
+    sequences = materialize(labelled.select("variant_id", "acts").dropDuplicates(["variant_id"]), "router-traces")
+    basis = svd_basis(first_lengths(sequences, "variant_id", settings), "variant_id", settings)
+    cut = materialize(prefix_projections(sequences, basis, "variant_id", settings), "router-prefixes")
+    last = Window.partitionBy("variant_id").orderBy(F.desc("length"))
+    whole = cut.withColumn("place", F.row_number().over(last)).where("place = 1").where(F.col("length") < longest)
+    longer = whole.select("variant_id", F.explode(F.sequence(F.col("length") + 1, F.lit(longest))).alias("length"), "projection")
+    every = cut.unionByName(longer).where(F.col("length") <= longest)
+    members = labelled.select("candidate", "cluster_id", "variant_id")
+    draw = F.xxhash64(F.col("variant_id"), F.lit(settings.seed))
+    drawn = members.withColumn("draw", draw).withColumn("place", F.row_number().over(Window.partitionBy("candidate").orderBy("draw", "variant_id")))
+    sample = drawn.where(F.col("place") <= settings.router_rows).drop("place").join(every, "variant_id")
+    kind = dict(labelled.dtypes)["cluster_id"]
+    models = sample.groupBy("candidate", "length").applyInPandas(_fitted(settings.seed), MODEL.format(kind=kind))
+    return Router(materialize(models, "router-models"), basis, longest)
 
 
 def route(sequences: DataFrame, router: Router, settings: Settings = Settings()) -> DataFrame:
-    """``(candidate, variant_id, length, cluster_id)`` for every prefix of ``(variant_id, acts)``.
+    """``(candidate, variant_id, length, cluster_id)`` for every prefix of ``(variant_id, acts)`` from 2 events on.
 
-    Lengths beyond the longest trained one use its classifier. Prefixes of one
-    classifier with equal n-gram sets are scored once.
+    Lengths beyond the longest trained one use its classifier; the smaller cluster wins ties.
     """
-    grams = first_lengths(sequences, "variant_id", settings).join(router.vocab, "gram", "left_semi")
-    lengths = F.explode(F.sequence(F.lit(2), F.size("acts") - 1)).alias("length")
-    prefixes = sequences.where(F.size("acts") >= 3).select("variant_id", lengths)
-    held = prefixes.join(grams.select("variant_id", "gram", "first_len"), "variant_id").where("first_len <= length")
-    # Order-free hash of the n-gram set.
-    sets = held.groupBy("variant_id", "length").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("gram")).alias("x"), F.bit_xor(F.xxhash64("gram", F.lit(1))).alias("y")
-    )
-    key = ["classifier", "n", "x", "y"]
-    keyed = materialize(
-        prefixes.join(sets, ["variant_id", "length"], "left").select(
-            "variant_id", "length", F.least("length", F.lit(router.max_len)).alias("classifier"),
-            *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "x", "y")],
-        ),
-        "prefix-sets",
-    )
-    first = keyed.groupBy(*key).agg(F.min(F.struct("variant_id", "length")).alias("p"))
-    asked = first.select(*key, "p.variant_id", "p.length")
-    best = _best_cluster(asked.select(*key), asked.join(held, ["variant_id", "length"]).select(*key, "gram"), router)
-    return keyed.join(best, key).select("candidate", "variant_id", "length", "cluster_id")
-
-
-def _best_cluster(asked: DataFrame, held: DataFrame, router: Router) -> DataFrame:
-    """Best cluster per candidate and distinct prefix.
-
-    An n-gram a cluster has seen only raises its score, so besides the clusters that
-    share an n-gram with the prefix only the best one of the bare biases can win.
-    """
-    key = ["classifier", "n", "x", "y"]
-    bases = router.bases.withColumnRenamed("length", "classifier")
-    bare_score = F.col("bias") + F.col("n") * F.col("unseen")
-    overlapping = (
-        held.join(router.weights.withColumnRenamed("length", "classifier"), ["classifier", "gram"])
-        .groupBy("candidate", "cluster_id", *key)
-        .agg(F.sum("weight").alias("gain"))
-        .join(bases, ["candidate", "classifier", "cluster_id"])
-        .select("candidate", "cluster_id", *key, (bare_score + F.col("gain")).alias("score"))
-    )
-    bare = (
-        asked.select("classifier", "n").distinct()
-        .join(bases, "classifier")
-        .groupBy("candidate", "classifier", "n")
-        .agg(F.min_by(F.struct("cluster_id", bare_score.alias("score")), F.struct(-bare_score, "cluster_id")).alias("top"))
-    )
-    outside = asked.join(bare, ["classifier", "n"]).select("candidate", "top.cluster_id", *key, "top.score")
-    return (
-        overlapping.unionByName(outside)
-        .groupBy("candidate", *key)
-        .agg(F.min_by("cluster_id", F.struct(-F.round("score", 9), "cluster_id")).alias("cluster_id"))
-    )
+    longer = sequences.where(F.size("acts") >= 3)
+    own = prefix_projections(longer, router.basis, "variant_id", settings).join(longer.select("variant_id", F.size("acts").alias("n")), "variant_id").where("length < n")
+    classifier = F.least("length", F.lit(router.max_len)).alias("classifier")
+    own = materialize(own.select("variant_id", "length", classifier, "projection"), "prefix-projections")
+    counts = own.groupBy("classifier").agg(F.count("*").alias("rows"))
+    dealt = own.join(counts, "classifier").withColumn("block", F.pmod(F.xxhash64("variant_id", "length"), F.ceil(F.col("rows") / _BLOCK)))
+    blocks = dealt.groupBy("classifier", "block").agg(F.collect_list(F.struct("variant_id", "length", "projection")).alias("prefixes"))  # about _BLOCK
+    models = router.models.withColumnRenamed("length", "classifier")
+    types = dict(models.dtypes), dict(own.dtypes)
+    schema = f"candidate int, variant_id {types[1]['variant_id']}, length int, cluster_id {types[0]['clusters'][len('array<'):-1]}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                prefixes = batch.column("prefixes")[i].values
+                weights = np.array(batch.column("weights")[i].as_py())
+                clusters = batch.column("clusters")[i].values
+                x = np.array(prefixes.field("projection").to_pylist()).reshape(len(prefixes), -1)
+                scores = np.round(x @ weights[:, :-1].T + weights[:, -1], 9)
+                best = clusters.take(pa.array(scores.argmax(1)))
+                candidate = pa.array(np.full(len(prefixes), batch.column("candidate")[i].as_py(), np.int32))
+                yield pa.RecordBatch.from_arrays([candidate, prefixes.field("variant_id"), prefixes.field("length"), best], ["candidate", "variant_id", "length", "cluster_id"])
+
+    return blocks.join(models, "classifier").select("candidate", "prefixes", "clusters", "weights").mapInArrow(run, schema)

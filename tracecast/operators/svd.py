@@ -1,46 +1,121 @@
-"""Uncentred truncated SVD of the binary n-gram matrix."""
+"""Uncentred truncated SVD of the binary n-gram matrix, and projections of whole traces and of all their prefixes.
+
+Randomised subspace iteration: a random basis, one row per n-gram, is multiplied by the matrix and its transpose a few
+times and made orthonormal in between by the Cholesky factor of its Gram matrix. The basis stays a table; the driver sees
+matrices of ``svd_components`` and a few more rows and columns. With as many components as n-grams the projection is a
+rotation: products of projections are counts of common n-grams.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.ml.feature import CountVectorizer
-from pyspark.ml.linalg import DenseVector, VectorUDT
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tracecast.operators.ngrams import first_lengths, vocabulary
 from tracecast.settings import Settings
 from tracecast.storage import materialize
 
+#: Columns beyond the wanted ones, and multiplications by the matrix and its transpose.
+_MORE = 8
+_ROUNDS = 4
 
-def svd_basis(features: DataFrame, key: str = "case_id", settings: Settings = Settings()) -> DataFrame:
-    """``(name, axis)``: right singular vectors, as many as ``svd_components`` or as the n-grams allow.
 
-    The basis has one row per n-gram of the vocabulary; ``name`` is the n-gram's array as JSON.
-    """
-    rows = features.groupBy(key).agg(F.collect_set(F.to_json("gram")).alias("grams"))
-    model = CountVectorizer(inputCol="grams", outputCol="x", binary=True, vocabSize=settings.max_features or (1 << 31) - 1).fit(rows)
-    names = model.vocabulary
-    k = min(settings.svd_components, len(names))
-    # The solver passes over the rows many times.
-    vectors = materialize(model.transform(rows).select("x"), "vectors")
-    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "x"), numCols=len(names))
-    v = matrix.computeSVD(k).V.toArray()
-    v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])  # one sign per axis
-    schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("axis", VectorUDT())])
-    spark = features.sparkSession
-    return spark.createDataFrame([(name, DenseVector(axis)) for name, axis in zip(names, v)], schema)
+def _summed(rows: DataFrame, key: str, column: str = "axis") -> DataFrame:
+    return rows.groupBy(key).agg(vector_to_array(Summarizer.sum(array_to_vector(column))).alias(column))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def gram_matrix(rows: DataFrame, size: int, column: str = "axis") -> np.ndarray:
+    """Sum of the outer products of all rows' vectors: partial sums in the tasks, ``size`` times ``size`` numbers to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, size))
+        for batch in batches:
+            x = _matrix(batch.column(0))
+            total += x.T @ x if len(x) else 0
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(list(total))], ["place", "axis"])
+
+    found = _summed(rows.select(column).mapInArrow(run, "place long, axis array<double>"), "place").collect()
+    out = np.zeros((size, size))
+    for r in found:
+        out[r["place"]] = r["axis"]
+    return (out + out.T) / 2
+
+
+def _turned(rows: DataFrame, turn: np.ndarray) -> DataFrame:
+    """The basis with each axis row multiplied by a small matrix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(_matrix(batch.column(1)) @ turn), pa.list_(pa.float64()))], ["gram", "axis"])
+
+    return rows.select("gram", "axis").mapInArrow(run, "gram array<string>, axis array<double>")
+
+
+def _orthonormal(basis: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """The same span with orthonormal columns; columns that depend on the others go."""
+    values, vectors = np.linalg.eigh(gram_matrix(basis, size))
+    kept = values > max(values.max(), 0) * 1e-12
+    return materialize(_turned(basis, vectors[:, kept] / np.sqrt(values[kept])), "basis"), int(kept.sum())
+
+
+def svd_basis(features: DataFrame, key: str = "case_id", settings: Settings = Settings()) -> DataFrame:
+    """``(gram, axis)``: right singular vectors by falling singular value, as many as ``svd_components`` or as the n-grams allow."""
+    grams = materialize(vocabulary(features, settings).select("gram"), "vocabulary")
+    held = materialize(features.join(grams, "gram", "left_semi").select(key, "gram"), "held-grams")
+    n = grams.count()
+    size = min(n, settings.svd_components + _MORE)
+    if not n:
+        return grams.withColumn("axis", F.array().cast("array<double>"))
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda j: F.xxhash64("gram", F.lit(settings.seed), j) / F.lit(2.0**63))
+    basis, size = _orthonormal(materialize(grams.select("gram", drawn.alias("axis")), "basis"), size)
+    for _ in range(0 if size == n else _ROUNDS):
+        rows = _summed(held.join(basis, "gram"), key)
+        basis, size = _orthonormal(materialize(_summed(held.join(rows, key), "gram"), "basis"), size)
+    values, vectors = np.linalg.eigh(gram_matrix(_summed(held.join(basis, "gram"), key), size))
+    turn = vectors[:, np.argsort(-values)][:, : settings.svd_components]
+    return materialize(_turned(basis, turn), "basis")
 
 
 def svd_features(features: DataFrame, basis: DataFrame, key: str = "case_id") -> DataFrame:
     """``(key, projection)``: sum of the axes of the n-grams a row holds."""
-    return (
-        features.withColumn("name", F.to_json("gram")).join(basis, "name")
-        .groupBy(key)
-        .agg(Summarizer.sum(F.col("axis")).alias("x"))
-        .select(key, vector_to_array("x").alias("projection"))
-    )
+    return _summed(features.join(basis, "gram"), key).withColumnRenamed("axis", "projection")
+
+
+def prefix_projections(sequences: DataFrame, basis: DataFrame, key: str = "case_id", settings: Settings = Settings()) -> DataFrame:
+    """``(key, length, projection)`` of the prefixes of 2 events up to the whole of each of ``(key, acts)``.
+
+    A prefix has the projection of the one before and the axes of the n-grams that its last event completes, so the
+    sums run along a trace; n-grams that the basis does not know count nothing.
+    """
+    size = (basis.agg(F.max(F.size("axis")).alias("n")).first()["n"]) or 0
+    kind = dict(sequences.dtypes)[key]
+    known = first_lengths(sequences, key, settings).join(basis, "gram")
+    steps = known.groupBy(key, "first_len").agg(vector_to_array(Summarizer.sum(array_to_vector("axis"))).alias("axis"))
+    steps = steps.groupBy(key).agg(F.collect_list(F.struct(F.col("first_len").cast("int").alias("at"), "axis")).alias("steps"))  # of one trace
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                n, own = batch.column("n")[i].as_py(), batch.column("steps")[i].as_py()
+                if n < 2:
+                    continue
+                added = np.zeros((n + 1, size))
+                for step in own or ():
+                    added[step["at"]] += step["axis"]
+                sums = np.cumsum(added, axis=0)[2:]
+                keys = batch.column(0).take(pa.array(np.full(n - 1, i)))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(np.arange(2, n + 1, dtype=np.int32)), pa.array(list(sums), pa.list_(pa.float64()))], [key, "length", "projection"])
+
+    rows = sequences.select(key, F.size("acts").alias("n")).join(steps, key, "left")
+    return rows.mapInArrow(run, f"{key} {kind}, length int, projection array<double>")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracecast.functions.sequences import from_text, to_text
@@ -15,9 +15,9 @@ from tracecast.functions.similarity import damerau_similarity, levenshtein_simil
 from tracecast.operators import alphabet as A
 from tracecast.operators import cluster as C
 from tracecast.operators import decisions as D
-from tracecast.operators import dfg, footprint, ngrams, replay, report, split, svd, traces, tree
+from tracecast.operators import dfg, footprint, neighbours, ngrams, replay, report, split, svd, traces, tree
 from tracecast.operators.discover import discover
-from tracecast.operators.router import route
+from tracecast.operators.router import route, train_router
 from tracecast.plans import clustered, suffix_model
 from tracecast.plans.suffix_model import MAIN
 from tracecast.settings import Settings
@@ -231,11 +231,30 @@ def prefix_features_query(spark, folder):
     return rows.select("case_id", F.col("length").cast("bigint").alias("length"), "ngram")
 
 
+def _product(a, b):
+    """Product of two projections; with as many axes as n-grams it counts the n-grams both hold."""
+    return F.round(F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), 6)
+
+
 def svd_features_query(spark, folder):
-    grams = ngrams.first_lengths(_parts("lineitem", spark, folder)[0])
-    basis = svd.svd_basis(grams, settings=Settings(svd_components=8))
-    return svd.svd_features(grams, basis).select(
-        "case_id", F.transform("projection", lambda x: F.round(x, 6)).alias("projection")
+    """Products of every projected training trace with itself and with the first one."""
+    train = _parts("lineitem", spark, folder)[0]
+    grams = ngrams.first_lengths(train)
+    projected = materialize(svd.svd_features(grams, svd.svd_basis(grams)), "projections")
+    first = projected.orderBy("case_id").select("projection").head()  # as many numbers as axes
+    x, other = F.col("projection"), F.array(*[F.lit(a) for a in first["projection"]]) if first else F.col("projection")
+    return projected.select("case_id", _product(x, x).alias("own"), _product(x, other).alias("with_first"))
+
+
+def prefix_projections_query(spark, folder):
+    """Products of every projected prefix of a training trace with itself, and with the prefix one event shorter."""
+    train = _parts("lineitem", spark, folder)[0]
+    basis = svd.svd_basis(ngrams.first_lengths(train))
+    rows = svd.prefix_projections(train, basis)
+    before = F.lag("projection").over(Window.partitionBy("case_id").orderBy("length"))
+    x = F.col("projection")
+    return rows.withColumn("before", before).select(
+        "case_id", F.col("length").cast("bigint").alias("length"), _product(x, x).alias("own"), _product(x, F.col("before")).alias("with_before")
     )
 
 
@@ -454,56 +473,69 @@ def discovered_predictions_query(spark, folder):
 
 # -- clustered run -------------------------------------------------------------------------------
 
-_FITTED: dict[tuple, tuple] = {}
-
-
-def _fit_clustered(spark, folder, log: str):
+def _fitted(spark, folder, log: str = "conversations"):
+    """The clustered model of a log, with the validation and the test traces."""
     train, test = _parts(log, spark, folder, write=True)
     train, validation = split.cut_validation(train)
     train, validation = materialize(train, "train"), materialize(validation, "validation")
     return clustered.fit_clustered(train), validation, test
 
 
-def _fitted(spark, folder, log: str = "conversations"):
-    """The clustered model of a log; queries of one application share it."""
-    key = (spark.sparkContext.applicationId, folder, log)
-    if key not in _FITTED:
-        _FITTED[key] = _fit_clustered(spark, folder, log)
-    return _FITTED[key]
+def _members(spark, folder) -> tuple[DataFrame, C.Clustering]:
+    """Training traces of the largest log, and their clusters."""
+    train = _parts("lineitem", spark, folder, write=True)[0]
+    return train, C.cluster_traces(train)
+
+
+def core_distances_query(spark, folder):
+    """How far the second, third, ... nearest trace of every distinct n-gram set is."""
+    points = C.points_of(C.feature_points(_parts("lineitem", spark, folder)[0]))
+    sizes = Settings().candidates()
+    cored = neighbours.core_distances(points, sizes).select("name", "weight", F.posexplode("cores").alias("place", "core"))
+    return cored.select("name", "weight", F.element_at(F.array(*[F.lit(s) for s in sizes]), F.col("place") + 1).cast("bigint").alias("candidate"), "core")
 
 
 def trace_clusters_query(spark, folder):
-    train = _parts("lineitem", spark, folder)[0]
-    found = C.cluster_traces(train).memberships
+    found = _members(spark, folder)[1].memberships
     return found.select("candidate", "cluster_id", "variant_id", "n_traces", F.round("prob", 9).alias("prob"))
 
 
 def cluster_representatives_query(spark, folder):
-    return _fitted(spark, folder)[0].chosen.select(
+    return C.representatives(_members(spark, folder)[1].memberships).select(
         "candidate", "cluster_id", "variant_id", "n_traces", "is_build", "is_training", F.round("prob", 9).alias("prob")
     )
 
 
 def cluster_traces_join_query(spark, folder):
-    """Training traces of every cluster."""
-    fitted, _, _ = _fitted(spark, folder)
-    train = split.cut_validation(_parts("conversations", spark, folder)[0])[0]
-    members = fitted.chosen.where("is_training").select("model_id", "acts")
-    return train.join(members, "acts").select("model_id", "case_id", _text("acts").alias("trace"))
+    """Training traces of every cluster, by the variant they are."""
+    train, found = _members(spark, folder)
+    ids = train.groupBy("acts").agg(F.min("case_id").alias("variant_id"))
+    cases = train.join(ids, "acts").select("case_id", "variant_id", _text("acts").alias("trace"))
+    members = C.representatives(found.memberships).where("is_training").select(clustered.model_name("candidate", "cluster_id").alias("model_id"), "variant_id")
+    return cases.join(members, "variant_id").select("model_id", "case_id", "trace")
 
 
 def cluster_coverage_query(spark, folder):
-    return C.coverage(_fitted(spark, folder)[0].chosen)
+    return C.coverage(C.representatives(_members(spark, folder)[1].memberships))
+
+
+def _routing(spark, folder):
+    train, test = _parts("lineitem", spark, folder, write=True)
+    found = C.cluster_traces(train)
+    labelled = C.hard_labels(found.memberships).join(found.variants, "variant_id").select("candidate", "cluster_id", "variant_id", "acts")
+    return train_router(labelled, train.agg(F.max(F.size("acts"))).first()[0]), test
 
 
 def prefix_router_query(spark, folder):
-    router = _fitted(spark, folder)[0].router
-    return router.weights.select("candidate", "length", F.array_join("gram", " ").alias("ngram"), "cluster_id", F.round("weight", 9).alias("weight"))
+    """Clusters and biases of every classifier."""
+    router, _ = _routing(spark, folder)
+    rows = router.models.select("candidate", "length", F.posexplode("weights").alias("place", "w"), "clusters")
+    return rows.select("candidate", "length", F.get("clusters", F.col("place")).alias("cluster_id"), F.round(F.element_at("w", -1), 6).alias("bias"))
 
 
 def routed_prefixes_query(spark, folder):
-    fitted, _, test = _fitted(spark, folder)
-    return route(traces.variants(test).select("variant_id", "acts"), fitted.router)
+    router, test = _routing(spark, folder)
+    return route(traces.variants(test).select("variant_id", "acts"), router)
 
 
 def candidate_scores_query(spark, folder):

@@ -49,11 +49,7 @@ def fit_clustered(train: DataFrame, settings: Settings = Settings()) -> Clustere
     model = fit(chosen.where("is_training").select("model_id", "variant_id", "acts", "n_traces"), models, settings)
     longest = train.agg(F.max(F.size("acts"))).first()[0]
     labelled = C.hard_labels(clustering.memberships).join(clustering.variants, "variant_id")
-    router = train_router(labelled.select("candidate", "cluster_id", "variant_id", "acts", "n_traces"), longest, settings)
-    router = Router(
-        materialize(router.weights, "router-weights"), materialize(router.bases, "router-bases"),
-        materialize(router.vocab, "router-vocab"), router.max_len,
-    )
+    router = train_router(labelled.select("candidate", "cluster_id", "variant_id", "acts"), longest, settings)
     return ClusteredModel(clustering, chosen, model, router, settings)
 
 

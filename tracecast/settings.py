@@ -12,7 +12,10 @@ class Settings:
     ngram_max: int = 2
     #: Keep only the n-grams found in most traces; all of them by default.
     max_features: int | None = None
+    #: Axes of the projected n-grams that prefixes are routed by.
     svd_components: int = 200
+    #: Traces of each candidate that its prefix classifiers are fitted on, those of smallest hash.
+    router_rows: int = 2_000
     prob_building: float = 0.8
     prob_training: float = 0.2
     ratio_validation: float = 0.1
