@@ -29,7 +29,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracecast.llm.common import batch_of, id_and_text, slices
+from tracecast.llm.common import batch_of, id_and_text, released, slices
 from tracecast.storage import materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -126,7 +126,7 @@ def _pieces(settings: PackSettings):
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return run
+    return released(run)
 
 
 def pieces(docs: DataFrame, settings: PackSettings = PackSettings()) -> DataFrame:

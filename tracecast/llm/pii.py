@@ -203,18 +203,15 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-def _with_terms(found: DataFrame, rules: DataFrame) -> DataFrame:
-    """``found`` and the spans of its disclosing terms."""
+def _with_rules(found: DataFrame, rules: DataFrame) -> DataFrame:
+    """``found`` and what its entities disclose."""
     told = rules.groupBy("entity").agg(F.collect_list(F.struct("term", "removed")).alias("told"))  # of one entity
     rows = (
         found.select("row", F.explode("entities").alias("entity")).join(told, "entity")
         .groupBy("row").agg(F.flatten(F.collect_list("told")).alias("disclosing"))  # of one document
     )
     found = found.drop("entities", "candidates", "same")
-    fields = ", ".join(f"`{n}` {t}" for n, t in found.dtypes)
-    return found.join(rows, "row", "left").select(*found.columns, "disclosing").mapInArrow(
-        _marked, f"{fields}, terms array<struct<start: int, end: int, removed: boolean>>"
-    )
+    return found.join(rows, "row", "left").select(*found.columns, "disclosing")
 
 
 def digest(spans: Column) -> Column:
@@ -230,7 +227,9 @@ def detect(docs: DataFrame, settings: PiiSettings = PiiSettings()) -> DataFrame:
         F.coalesce("terms", F.array()),
         lambda t: F.struct(t["start"].alias("start"), F.lit(4).alias("rank"), F.lit("term").alias("kind"), t["end"].alias("end")),
     )
-    return _with_terms(found, rules).select("doc_id", "base", F.array_sort(F.concat("base", terms)).alias("spans"))
+    told = _with_rules(found, rules).select("doc_id", "text", "base", "disclosing")
+    marked = told.mapInArrow(_marked, f"doc_id long, text string, base {SPANS}, terms array<struct<start: int, end: int, removed: boolean>>")
+    return marked.select("doc_id", "base", F.array_sort(F.concat("base", terms)).alias("spans"))
 
 
 def _rewritten(text: str, base: list[dict], terms: list[dict] | None) -> str:
@@ -253,6 +252,10 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
+def _marked_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _rewrite(_marked(batches))
+
+
 def sanitise(docs: DataFrame, settings: PiiSettings = PiiSettings()) -> DataFrame:
     """``docs`` with personal data replaced by its kind, disclosing terms by ``[TERM]`` or nothing; all columns stay."""
     names, docs = docs.columns, set_aside(docs, "text")
@@ -261,6 +264,6 @@ def sanitise(docs: DataFrame, settings: PiiSettings = PiiSettings()) -> DataFram
     keyed = docs.withColumn("row", F.monotonically_increasing_id())
     found = materialize(keyed.mapInArrow(_found(True), ", ".join([*fields, "row long", FOUND])), "personal-texts")
     rules = materialize(disclosing_terms(found, docs, settings), "disclosing-terms")
-    terms = _with_terms(found, rules).select(*columns, "base", "terms")
+    told = _with_rules(found, rules).select(*columns, "base", "disclosing")
     clean = docs.mapInArrow(_clean, ", ".join(fields))
-    return clean.unionByName(terms.mapInArrow(_rewrite, ", ".join(fields))).toDF(*names)
+    return clean.unionByName(told.mapInArrow(_marked_out, ", ".join(fields))).toDF(*names)
