@@ -69,11 +69,24 @@ def test_split_sizes_of_small_log(small):
     assert (counts.n_train, counts.n_test) == (20, 5)
 
 
+@pytest.mark.parametrize("kind", ["string", "bigint", "double", "date", "timestamp", "decimal(10,2)"])
+def test_value_at_rank_of_any_kind_and_many_ties(spark, monkeypatch, kind):
+    values = [random.Random(kind).choice([0, 1, 1, 1, 5, 700, 12345]) * (k % 7) for k in range(400)]
+    rows = spark.createDataFrame([(v,) for v in values], "v int")
+    made = {"string": "concat('the same long beginning', cast(v as string))", "date": "date_add(date'2020-01-01', v)", "timestamp": "timestamp_micros(v)"}
+    rows = rows.selectExpr(f"{made.get(kind, f'cast(v as {kind})')} as v")
+    ordered = [r.v for r in rows.orderBy("v").collect()]
+    monkeypatch.setattr(split, "_SMALL_BRACKET", 2)
+    for rank in (1, 57, 200, 399, 400, 1000):
+        assert split.value_at_rank(rows, "v", lambda n: rank) == ordered[min(rank, 400) - 1]
+    assert split.value_at_rank(rows.limit(0), "v", lambda n: 1) is None
+
+
 def test_value_at_rank_and_enumeration(spark, monkeypatch):
     rng = random.Random(3)
     values = rng.sample(range(10_000), 777)
     rows = spark.createDataFrame([(v,) for v in values], "v int")
-    monkeypatch.setattr(split, "_SMALL_SLICE", 20)  # forces repeated narrowing
+    monkeypatch.setattr(split, "_SMALL_BRACKET", 3)  # forces repeated narrowing
     for rank in (1, 2, 300, 776, 777):
         assert split.value_at_rank(rows, "v", lambda n: rank) == sorted(values)[rank - 1]
     assert split.value_at_rank(rows, "v", lambda n: 0) is None

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Row, Window
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 
 from tracecast.settings import Settings
 
-#: A slice this small is ordered by one top-k; larger ones are range-partitioned again.
-_SMALL_SLICE = 1_000_000
+#: Quantiles asked of the sketch, its accuracy, and the distinct values of a bracket that are counted one by one.
+_GRID = 1_000
+_ACCURACY = 20_000
+_SMALL_BRACKET = 200_000
 
 
 def _ranges(rows: DataFrame, column: str) -> list[Row]:
@@ -29,29 +32,62 @@ def _ranges(rows: DataFrame, column: str) -> list[Row]:
     return sorted(found, key=lambda r: r["lo"])
 
 
+def _ordered(kind: str, offset: int) -> Column:
+    """A number that grows with ``value``, though it may be equal for different ones; of text the seven bytes after ``offset``."""
+    value = F.col("value")
+    if kind == "string":
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(value, "utf-8"), offset + 1, 7)), 14, "0"), 16, 10).cast("bigint")
+    if kind == "date":
+        return F.unix_date(value).cast("bigint")
+    if kind.startswith("timestamp"):
+        return F.unix_micros(value.cast("timestamp"))
+    return value.cast("bigint") if kind in ("tinyint", "smallint", "int", "bigint") else value.cast("double")
+
+
+def _bracket(keyed: DataFrame, low, high) -> tuple[int, list[Row]]:
+    """Rows below ``low``, and the values up to ``high`` with their counts, the smallest ones only if they are too many."""
+    part = keyed.where(F.col("key") <= high).select(F.when(F.col("key") >= low, F.col("value")).alias("value"))
+    counts = part.groupBy("value").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("value").asc_nulls_first()).limit(_SMALL_BRACKET + 1).collect()
+    below = counts[0]["n"] if counts and counts[0]["value"] is None else 0
+    return below, [r for r in counts if r["value"] is not None]
+
+
 def value_at_rank(rows: DataFrame, column: str, rank_of: Callable[[int], int]):
-    """Exact value of ``column`` at 1-based rank ``rank_of(row count)``; None below rank 1.
+    """Exact value of ``column`` at 1-based rank ``rank_of(row count)``; None below rank 1, the largest beyond the last.
 
-    The range that holds the rank is narrowed until it is small enough to order.
+    A mergeable quantile sketch brackets the rank; one pass then counts what is below the bracket and every value in it.
+    A bracket of too many values is bracketed again; what cannot be narrowed any more is ordered.
     """
-    rank = None
+    kind, rank, offset = dict(rows.dtypes)[column], None, 0
+    values = rows.select(F.col(column).alias("value")).where("value is not null")
+    probabilities = [i / _GRID for i in range(_GRID + 1)]
     while True:
-        ranges = _ranges(rows, column)
+        keyed = values.withColumn("key", _ordered(kind, offset))
+        found = keyed.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("key", probabilities, _ACCURACY).alias("grid"), F.min("value").alias("lo"), F.max("value").alias("hi")).first()
+        n, grid = found["n"], found["grid"]
         if rank is None:
-            rank = rank_of(sum(r["n"] for r in ranges))
-        if rank < 1 or not ranges:
-            return None
-        for part in ranges:
-            if rank <= part["n"]:
-                break
-            rank -= part["n"]
+            rank = min(rank_of(n), n)
+        if rank < 1 or found["lo"] == found["hi"]:
+            return found["lo"] if rank >= 1 else None
+        at = rank * _GRID / n
+        low, high = grid[max(0, math.floor(at) - 1)], grid[min(_GRID, math.ceil(at) + 1)]
+        if grid[0] < grid[-1]:
+            below, counts = _bracket(keyed, low, high)
+            if below >= rank or (below + sum(r["n"] for r in counts) < rank and len(counts) < _SMALL_BRACKET):  # the sketch was off
+                low, high = grid[0], grid[-1]
+                below, counts = _bracket(keyed, low, high)
+            for row in counts:
+                below += row["n"]
+                if below >= rank:
+                    return row["value"]
+            below -= sum(r["n"] for r in counts)
+            rank, narrower = rank - below, (low, high) != (grid[0], grid[-1])
+            values = keyed.where(F.col("key").between(low, high)).select("value")
         else:
-            return ranges[-1]["hi"]
-        if part["lo"] == part["hi"]:
-            return part["lo"]
-        rows = rows.where(F.col(column).between(part["lo"], part["hi"]))
-        if part["n"] <= _SMALL_SLICE:
-            return rows.select(column).orderBy(column).offset(rank - 1).limit(1).first()[0]
+            shared = len(os.path.commonprefix([found["lo"], found["hi"]]).encode()) if kind == "string" else 0
+            narrower, offset = shared > offset, max(offset, shared)
+        if not narrower:
+            return values.select("value").orderBy("value").offset(rank - 1).limit(1).first()[0]
 
 
 def _range_index(column: str, lows: list) -> Column:
