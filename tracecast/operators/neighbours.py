@@ -181,8 +181,8 @@ def to_exemplars(sizes: list[int], most: int):
             starts = np.flatnonzero(np.concatenate([[True], clusters[1:] != clusters[:-1]]))
             near = np.minimum.reduceat(apart[:, [i for _, i in own]], starts, axis=1)
             k = min(most, len(starts))
-            # the smaller cluster on ties
-            chosen = np.argsort(near, axis=1, kind="stable")[:, :k]
+            placed = near.astype(np.int64) * len(starts) + np.arange(len(starts))  # the smaller cluster on ties
+            chosen = np.argpartition(placed, k - 1, axis=1)[:, :k]
             rows = np.repeat(np.arange(len(point)), k)
             picked = chosen.ravel()
             columns = [pa.array(np.full(len(rows), size, np.int32)), pa.array(point[rows]), pa.array(clusters[starts][picked]), pa.array(near[rows, picked].astype(np.int64))]
