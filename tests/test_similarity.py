@@ -1,7 +1,9 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from tracecast.functions.sequences import fingerprint, only_value
 from tracecast.functions.similarity import damerau_similarity, levenshtein_similarity, score_pairs
 
 
@@ -79,3 +81,12 @@ def test_long_sequences_take_little_memory():
     similarity._damerau_batch(pd.Series(left), pd.Series(right))
     assert tracemalloc.get_traced_memory()[1] < 60_000_000
     tracemalloc.stop()
+
+
+def test_fingerprints_tell_sequences_apart(spark):
+    rows = [["a", "b"], ["ab"], ["b", "a"], [], ["", "ab"], ["a", "b", ""], ["1", "a"], ["a"]]
+    frame = spark.createDataFrame([(r,) for r in rows + rows], "acts array<string>")
+    found = frame.groupBy(fingerprint("acts").alias("f")).agg(only_value("acts").alias("acts"))
+    assert sorted(r.acts for r in found.collect()) == sorted(rows)
+    with pytest.raises(Exception, match="different sequences"):
+        frame.groupBy().agg(only_value("acts").alias("acts")).collect()

@@ -45,3 +45,16 @@ def ngrams(acts: Column, low: int = 1, high: int = 2) -> Column:
 def ngram_arrays(acts: Column, low: int = 1, high: int = 2) -> Column:
     """Every n-gram of the sequence, with repeats, as an array of labels."""
     return F.transform(ngram_positions(acts, low, high), lambda g: g["ngram"])
+
+
+def fingerprint(acts: Column | str) -> Column:
+    """128 bits that stand for a sequence in joins and groups; :func:`only_value` shows if two sequences should ever share them."""
+    acts = F.col(acts) if isinstance(acts, str) else acts
+    tell = F.concat(F.array(F.size(acts).cast("string")), acts)
+    return F.struct(F.xxhash64(tell).alias("x"), F.xxhash64(tell, F.lit(1)).alias("y"))
+
+
+def only_value(column: str) -> Column:
+    """The value that all rows of a group have; different ones raise."""
+    told = F.raise_error(F.lit(f"{column}: different sequences with one fingerprint"))
+    return F.when(F.min(column).eqNullSafe(F.max(column)), F.min(column)).otherwise(told)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from tracecast.functions.sequences import fingerprint, only_value
+
 #: First code of the per-pair alphabet and number of codes below the surrogate range.
 _FIRST_CODE = 0x100
 _CODES = 0xD800 - _FIRST_CODE
@@ -115,11 +117,11 @@ def damerau_similarity(a: Column, b: Column) -> Column:
 
 def score_pairs(lines: DataFrame, guess: str = "suffix_guessed", truth: str = "suffix") -> DataFrame:
     """Adds both similarities to every line, computing each distinct pair once."""
-    pairs = lines.select(guess, truth).distinct()
+    keyed = lines.withColumn("pair", F.struct(fingerprint(guess).alias("guess"), fingerprint(truth).alias("truth")))
+    pairs = keyed.groupBy("pair").agg(only_value(guess).alias(guess), only_value(truth).alias(truth))
     scored = pairs.select(
-        guess,
-        truth,
+        "pair",
         damerau_similarity(F.col(guess), F.col(truth)).alias("damerau_similarity"),
         levenshtein_similarity(F.col(guess), F.col(truth)).alias("levenshtein_similarity"),
     )
-    return lines.join(scored, [guess, truth])
+    return keyed.join(scored, "pair").drop("pair")

@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracecast.functions.sequences import from_text, to_text
-from tracecast.functions.similarity import damerau_similarity, levenshtein_similarity
+from tracecast.functions.sequences import fingerprint, from_text, only_value, to_text
+from tracecast.functions.similarity import levenshtein_similarity, score_pairs
 from tracecast.operators import alphabet as A
 from tracecast.operators import cluster as C
 from tracecast.operators import decisions as D
@@ -194,9 +194,8 @@ def levenshtein_similarity_query(spark, folder):
 
 def damerau_similarity_query(spark, folder):
     rows = _halves(spark, folder)
-    pairs = rows.select("prefix", "suffix").distinct()
-    scored = pairs.withColumn("similarity", F.round(damerau_similarity(F.col("prefix"), F.col("suffix")), 9))
-    return rows.join(scored, ["prefix", "suffix"]).select("case_id", "length", "similarity")
+    scored = score_pairs(rows, "prefix", "suffix")
+    return scored.select("case_id", "length", F.round("damerau_similarity", 9).alias("similarity"))
 
 
 # -- n-gram features -----------------------------------------------------------------------------
@@ -509,8 +508,9 @@ def cluster_representatives_query(spark, folder):
 def cluster_traces_join_query(spark, folder):
     """Training traces of every cluster, by the variant they are."""
     train, found = _members(spark, folder)
-    ids = train.groupBy("acts").agg(F.min("case_id").alias("variant_id"))
-    cases = train.join(ids, "acts").select("case_id", "variant_id", _text("acts").alias("trace"))
+    keyed = train.withColumn("sequence", fingerprint("acts"))
+    ids = keyed.groupBy("sequence").agg(F.min("case_id").alias("variant_id"), only_value("acts").alias("same"))
+    cases = keyed.join(ids.where("same is not null").select("sequence", "variant_id"), "sequence").select("case_id", "variant_id", _text("acts").alias("trace"))
     members = C.representatives(found.memberships).where("is_training").select(clustered.model_name("candidate", "cluster_id").alias("model_id"), "variant_id")
     return cases.join(members, "variant_id").select("model_id", "case_id", "trace")
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracecast.functions.sequences import to_text
+from tracecast.functions.sequences import fingerprint, only_value, to_text
 from tracecast.functions.similarity import score_pairs
 from tracecast.operators.decisions import decision_counts, decision_table
 from tracecast.operators.footprint import footprint
@@ -85,7 +85,8 @@ def prediction_lines(test: DataFrame, model: SuffixModel, model_id: str = MAIN,
 
 def case_lines(test: DataFrame, distinct: DataFrame, scored: DataFrame) -> DataFrame:
     """Gives every case the lines of its sequence."""
-    cases = test.join(distinct.select("variant_id", "acts"), "acts").select("case_id", "variant_id")
+    ids = distinct.groupBy(fingerprint("acts").alias("sequence")).agg(only_value("variant_id").alias("variant_id"))
+    cases = test.select("case_id", fingerprint("acts").alias("sequence")).join(ids, "sequence").select("case_id", "variant_id")
     prefix = F.slice("acts", 1, F.col("length"))
     return cases.join(scored, "variant_id").select(
         "case_id",
