@@ -1,6 +1,8 @@
 import collections
 import math
 
+from pyspark.sql import functions as F
+
 from tracecast.llm import mixing as m
 
 
@@ -60,3 +62,33 @@ def test_a_small_budget_leaves_documents_out_and_nothing_else(spark):
 def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert m.mixture(docs).collect() == [] == m.mixed_documents(docs).collect()
+
+
+def test_mixture_equals_the_plain_version(spark):
+    """The exponent in closed form, epochs from the documents in the order of their draws."""
+    rows, settings = [r for r in corpus() if r[0] != 3003], m.MixSettings(max_repeats=2.6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    words = {k: len((t or "").split()) for k, t, _ in rows}
+    tokens = collections.Counter()
+    for k, _, s in rows:
+        tokens[s] += words[k]
+    held = {s: n for s, n in tokens.items() if n}
+    largest, smallest = max(held.values()), min(held.values())
+    exponent = max(0.0, 1 - math.log(settings.max_repeats) / math.log(largest / smallest))
+    want = collections.Counter()
+    for s in tokens:
+        often = (tokens[s] / largest) ** (exponent - 1) if tokens[s] else 1.0
+        full, part = math.floor(often + 1e-9), often - math.floor(often + 1e-9)
+        own = [k for k, _, of in rows if of == s]
+        want.update({(k, e): 1 for k in own for e in range(full)})
+        if part > 1e-9 and tokens[s]:
+            frame = spark.createDataFrame([(k, words[k]) for k in own], "doc_id long, n long")
+            draw = F.xxhash64("doc_id", "n", F.lit(settings.seed), F.lit(full)).bitwiseAND(F.lit((1 << 62) - 1))
+            used = 0
+            for r in sorted(frame.select("doc_id", "n", draw.alias("draw")).collect(), key=lambda r: r.draw):
+                used += r.n
+                if used > int(part * tokens[s]):
+                    break
+                want[r.doc_id, full] += 1
+    got = collections.Counter((r.doc_id, r.mix_epoch) for r in m.mixture(docs, settings).collect())
+    assert got == want and any(e == 1 for _, e in want)
