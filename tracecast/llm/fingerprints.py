@@ -7,7 +7,7 @@ shorter). The likeness of two fingerprints estimates the Jaccard similarity of t
 
 Null texts are empty; the fingerprints of two empty texts are equal (likeness 1), that of an empty and
 another text 0. Rows are ordered by descending ``doc_id`` (null last), then text; repeated rows
-follow one another, and a single document is its own next. Further columns are ignored.
+follow one another, and a single document is its own next; no documents give no rows. A text is handled whole, whatever its length. Further columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ samples are is marked ``rejected``.
 
 Null texts and texts without a letter get ``und`` and score 0, as do all texts when nothing could be
 learned. Such texts and rows with a null language are not learned from. Repeated rows are predicted alike, each
-on its own; further columns are ignored. Of equally near centroids the first language by name wins.
+on its own, ids may be null; further columns are ignored. Of equally near centroids the first language by name wins. Texts are
+read whole; no documents give no rows.
 """
 
 from __future__ import annotations

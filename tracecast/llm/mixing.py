@@ -8,7 +8,7 @@ that keeps is one pair of numbers per source, so the documents themselves are no
 
 Tokens are words. A null source is a source of its own. Null and empty texts have no tokens; they are in
 every epoch they are reached in, as is a source without tokens, once. Rows equal in id and tokens
-tie and are kept or left together. Further columns pass through. Without documents nothing is mixed.
+tie and are kept or left together. Further columns, whatever their names, pass through. Without documents nothing is mixed.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ representative and the smallest one it is connected to, never pairs. Buckets and
 larger than a block are dealt out as pairs of blocks.
 
 Texts without words (null, empty) have no links and are classes of their own. Rows that share a ``doc_id`` are one
-document and so one class. Further columns are ignored, or pass through :func:`one_of_each`.
+document and so one class; rows with a null id are one, too. Texts are read whole. Of ties the smallest ``doc_id`` names the class and stays. No
+documents give no rows. Further columns, whatever their names, are ignored, or pass through :func:`one_of_each`.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ sizes is found by a linear programme (column generation), rounded down, and fill
 Room that is left, and what no configuration holds, goes to the longest piece that fits.
 
 A null or empty text is its end token alone. Repeated rows are packed each on its own; further
-columns are ignored. No documents give no rows.
+columns are ignored, ids may be null, texts are read whole. Pieces of one length are alike; which goes where may differ, the number of
+sequences does not. No documents give no rows.
 """
 
 from __future__ import annotations

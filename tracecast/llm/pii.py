@@ -9,7 +9,9 @@ of pairs. An entity of a single text meets every word of it once, which tells no
 is replaced by its shape, at ``remove_at`` it is removed, wherever it stands in the documents that hold the entity.
 
 Null and empty texts have no spans. Repeated rows are treated alike, each on its own, and count as
-documents. Further columns pass through :func:`sanitise` unchanged.
+documents. Overlapping spans of different kinds all count; in :func:`sanitise` the first by start, then end, is written out and takes the
+others with it. Long texts are read whole; ids may be null; no documents give no rows. Further columns, whatever their
+names, pass through :func:`sanitise` unchanged and are else ignored.
 """
 
 from __future__ import annotations

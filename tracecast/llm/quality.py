@@ -8,7 +8,8 @@ resemble each other, would count as a cluster of usual ones. The statistics reac
 
 Null and empty texts have no words and fail the rules. Without good labelled rows there is no
 forest, every score is null and the rules alone decide. Repeated rows are judged alike, each on
-its own; further columns are ignored. A label given twice counts as the worse one.
+its own, ids may be null; further columns are ignored or, in :func:`filtered`, kept. A label given twice counts as the worse one; a score at the
+limit is kept. Texts are read whole, every word of them; no documents give no rows.
 """
 
 from __future__ import annotations

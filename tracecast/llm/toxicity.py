@@ -8,7 +8,8 @@ intercept is then set back to the class shares of all labelled rows.
 
 Null and empty texts score by the intercept alone. Without labelled rows of both classes there is no
 model and every score is the share of toxic labels (0 if there are none). Of several labels of a
-document the toxic one counts. Repeated rows are scored alike, each on its own; further columns are ignored.
+document the toxic one counts. Repeated rows are scored alike, each on its own, ids may be null; texts are read whole, no documents give no rows;
+further columns are ignored.
 """
 
 from __future__ import annotations
