@@ -8,7 +8,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from tracecast.ship import ship  # noqa: E402
 
-#: 64 short cases: case id -> activities.
+#: Fixed value: the complete small log that the expected trees, lines and statistics belong to; 64 cases by id, their activities.
 SMALL_LOG = (
     "1-0-2;7;6;6;7;0-1-2;6;6;3-4;3-4;3-4;3-4-5-3-4-5-3-4;7;6;7;7;1-0-2;0-1-2;1-0-2;3-4-5-3-4;6;3-4-5-3-4;"
     "3-4-5-3-4-5-3-4;1-2-0;1-0-2;7;6;0-1-2;3-4;7;1-0-2;6;6;1-0-2;6;7;0-1-2;6;6;6;7;3-4;7;7;3-4;1-2-0;6;7;"

@@ -9,6 +9,7 @@ from tracecast.operators.tree import transitions, tree_nodes
 from tracecast.sources.trees import models_from, read_models, tree_from_text, tree_to_text, write_models
 from tracecast.storage import materialize
 
+# Logs and the trees that discovery must give for them.
 GOLDEN = {
     "3-4": "Seq(3, 4)",
     "0-1-2": "Seq(0, 1, 2)",

@@ -17,6 +17,7 @@ from tracecast.sources.trees import models_from, tree_from_text
 from tracecast.settings import Settings
 import json
 
+# Fixed value: the tree that must come from the small log.
 GOLDEN_TREE = "Xor(And(Seq(1, 2), 0), XorLoop(Seq(3, 4), 5, tau))"
 NESTED = "XorLoop(Seq(a, And(XorLoop(b, c, tau), Xor(d, Seq(e, f)))), XorLoop(g, h, tau), tau)"
 

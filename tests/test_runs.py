@@ -26,6 +26,7 @@ def test_single_run_gives_the_stored_results(spark, csv_log, tmp_path):
     run = run_single(csv_log, Settings(dataset="small"))
     tree = json.loads(run.models.first().tree)
     assert unordered(tree) == unordered(tree_from_text("Xor(And(Seq(1, 2), 0), XorLoop(Seq(3, 4), 5, tau))"))
+    # The lines and statistics that must come from the small log.
     lines = {r.case_id: (r.prefix_text, r.suffix_guessed, r.damerau_similarity) for r in run.lines.collect()}
     assert lines == {
         45: ("1-2", ["0"], 1.0), 48: ("1-2", ["0"], 1.0), 52: ("0-1", ["2"], 1.0), 62: ("0-1", ["2"], 1.0), 63: ("1-0", ["2"], 1.0),

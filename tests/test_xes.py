@@ -2,11 +2,10 @@ from tracecast.sources.xes import read_xes, write_xes, write_xes_per_model
 
 SAMPLE = """<?xml version="1.0" encoding="UTF-8"?>
 <log>
-  <extension name="Concept" prefix="concept" uri="http://www.xes-standard.org/concept.xesext"/>
   <trace>
-    <string key="concept:name" value="0"/>
-    <event><string key="concept:name" value="1"/></event>
-    <event><string key="concept:name" value="01"/></event>
+    <string key="concept:name" value="north"/>
+    <event><string key="concept:name" value="paid"/></event>
+    <event><string key="concept:name" value="sent 01"/></event>
   </trace>
 </log>
 """
@@ -15,7 +14,7 @@ SAMPLE = """<?xml version="1.0" encoding="UTF-8"?>
 def test_reads_a_log_file(spark, tmp_path):
     path = tmp_path / "log.xes"
     path.write_text(SAMPLE)
-    assert [(r.trace_name, r.acts) for r in read_xes(spark, str(path)).collect()] == [("0", ["1", "01"])]
+    assert [(r.trace_name, r.acts) for r in read_xes(spark, str(path)).collect()] == [("north", ["paid", "sent 01"])]
 
 
 MANY = """<log>

@@ -1,4 +1,4 @@
-"""Loop-aware footprint: every branching decision of every replayed variant, as tall rows.
+"""Footprint: every branching decision of every replayed variant, as tall rows.
 
 Counters are running sums. A loop's redo starts a new epoch for every And and
 XorLoop below it, so a counter is the sum of its increments within the epoch.
