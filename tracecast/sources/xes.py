@@ -11,6 +11,9 @@ from tracecast.operators.split import enumerate_rows
 #: Attribute that names traces and events (fixed value of the format).
 NAME = "concept:name"
 
+#: Traces of a file: a file is read whole by one task.
+_FILE_TRACES = 20_000
+
 #: Attribute that times an event (fixed value of the format).
 TIME = "time:timestamp"
 
@@ -66,7 +69,7 @@ def write_xes_per_model(variant_rows: DataFrame, path: str) -> None:
 
 
 def _write(rows: DataFrame, path: str, *by: str) -> None:
-    writer = rows.write.mode("overwrite").format("xml").option("rowTag", "trace").option("rootTag", "log")
+    writer = rows.write.mode("overwrite").format("xml").option("rowTag", "trace").option("rootTag", "log").option("maxRecordsPerFile", _FILE_TRACES)
     writer.partitionBy(*by).save(path)
 
 
