@@ -31,9 +31,9 @@ def first_lengths(rows: DataFrame, key: str = "case_id", settings: Settings = Se
     )
 
 
-def vocabulary(features: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``(gram, ngram, n_traces)``: all n-grams, or the ``max_features`` found in most traces, ties by name."""
-    counted = features.groupBy("gram").agg(F.count(F.lit(1)).alias("n_traces")).select("gram", _shown().alias("ngram"), "n_traces")
+def vocabulary(features: DataFrame, settings: Settings = Settings(), weight: str | None = None) -> DataFrame:
+    """``(gram, ngram, n_traces)``: all n-grams, or the ``max_features`` found in most traces, ties by name; a row counts as ``weight`` traces."""
+    counted = features.groupBy("gram").agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n_traces")).select("gram", _shown().alias("ngram"), "n_traces")
     if settings.max_features is None:
         return counted
     return counted.orderBy(F.desc("n_traces"), "gram").limit(settings.max_features)

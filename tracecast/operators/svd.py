@@ -24,9 +24,11 @@ from tracecast.storage import materialize
 #: Columns beyond the wanted ones, and multiplications by the matrix and its transpose.
 _MORE = 8
 _ROUNDS = 4
+#: Numbers of running sums made at once, those of one trace at least.
+_NUMBERS = 1 << 20
 
 
-def _summed(rows: DataFrame, key: str, column: str = "axis") -> DataFrame:
+def _summed(rows: DataFrame, key: str | list[str], column: str = "axis") -> DataFrame:
     return rows.groupBy(key).agg(vector_to_array(Summarizer.sum(array_to_vector(column))).alias(column))
 
 
@@ -34,17 +36,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def gram_matrix(rows: DataFrame, size: int, column: str = "axis") -> np.ndarray:
-    """Sum of the outer products of all rows' vectors: partial sums in the tasks, ``size`` times ``size`` numbers to the driver."""
+def gram_matrix(rows: DataFrame, size: int, column: str = "axis", weight: str | None = None) -> np.ndarray:
+    """Sum of the outer products of all rows' vectors, ``weight`` times each: partial sums in the tasks, ``size`` times ``size`` numbers to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, size))
         for batch in batches:
             x = _matrix(batch.column(0))
-            total += x.T @ x if len(x) else 0
+            y = batch.column(1).to_numpy(zero_copy_only=False)[:, None] * x if weight and len(x) else x
+            total += x.T @ y if len(x) else 0
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(list(total))], ["place", "axis"])
 
-    found = _summed(rows.select(column).mapInArrow(run, "place long, axis array<double>"), "place").collect()
+    found = _summed(rows.select(column, *([weight] if weight else [])).mapInArrow(run, "place long, axis array<double>"), "place").collect()
     out = np.zeros((size, size))
     for r in found:
         out[r["place"]] = r["axis"]
@@ -69,10 +72,16 @@ def _orthonormal(basis: DataFrame, size: int) -> tuple[DataFrame, int]:
     return materialize(_turned(basis, vectors[:, kept] / np.sqrt(values[kept])), "basis"), int(kept.sum())
 
 
-def svd_basis(features: DataFrame, key: str = "case_id", settings: Settings = Settings()) -> DataFrame:
-    """``(gram, axis)``: right singular vectors by falling singular value, as many as ``svd_components`` or as the n-grams allow."""
-    grams = materialize(vocabulary(features, settings).select("gram"), "vocabulary")
-    held = materialize(features.join(grams, "gram", "left_semi").select(key, "gram"), "held-grams")
+def svd_basis(features: DataFrame, key: str = "case_id", settings: Settings = Settings(), weight: str | None = None) -> DataFrame:
+    """``(gram, axis)``: right singular vectors by falling singular value, as many as ``svd_components`` or as the n-grams allow.
+
+    ``weight`` names a column of ``features`` that says for how many equal rows of the matrix a key stands.
+    """
+    grams = materialize(vocabulary(features, settings, weight).select("gram"), "vocabulary")
+    stands = [F.col(weight).cast("double").alias("weight")] if weight else []
+    held = materialize(features.join(grams, "gram", "left_semi").select(key, "gram", *stands), "held-grams")
+    weighted = F.transform("axis", lambda x: x * F.col("weight")) if weight else F.col("axis")
+    ids = [key, "weight"] if weight else [key]
     n = grams.count()
     size = min(n, settings.svd_components + _MORE)
     if not n:
@@ -80,9 +89,9 @@ def svd_basis(features: DataFrame, key: str = "case_id", settings: Settings = Se
     drawn = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda j: F.xxhash64("gram", F.lit(settings.seed), j) / F.lit(2.0**63))
     basis, size = _orthonormal(materialize(grams.select("gram", drawn.alias("axis")), "basis"), size)
     for _ in range(0 if size == n else _ROUNDS):
-        rows = _summed(held.join(basis, "gram"), key)
-        basis, size = _orthonormal(materialize(_summed(held.join(rows, key), "gram"), "basis"), size)
-    values, vectors = np.linalg.eigh(gram_matrix(_summed(held.join(basis, "gram"), key), size))
+        rows = _summed(held.join(basis, "gram"), ids)
+        basis, size = _orthonormal(materialize(_summed(held.join(rows.withColumn("axis", weighted), ids), "gram"), "basis"), size)
+    values, vectors = np.linalg.eigh(gram_matrix(_summed(held.join(basis, "gram"), ids), size, weight="weight" if weight else None))
     turn = vectors[:, np.argsort(-values)][:, : settings.svd_components]
     return materialize(_turned(basis, turn), "basis")
 
@@ -101,21 +110,35 @@ def prefix_projections(sequences: DataFrame, basis: DataFrame, key: str = "case_
     size = (basis.agg(F.max(F.size("axis")).alias("n")).first()["n"]) or 0
     kind = dict(sequences.dtypes)[key]
     known = first_lengths(sequences, key, settings).join(basis, "gram")
-    steps = known.groupBy(key, "first_len").agg(vector_to_array(Summarizer.sum(array_to_vector("axis"))).alias("axis"))
-    steps = steps.groupBy(key).agg(F.collect_list(F.struct(F.col("first_len").cast("int").alias("at"), "axis")).alias("steps"))  # of one trace
+    steps = known.groupBy(key).agg(F.collect_list(F.struct(F.col("first_len").cast("int").alias("at"), "axis")).alias("steps"))  # of one trace
+
+    def part(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The running sums of some traces, whose events are stacked."""
+        n = batch.column("n").to_numpy(zero_copy_only=False)
+        steps = batch.column("steps")
+        held = np.nan_to_num(steps.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        ends = np.cumsum(n)
+        starts = ends - n
+        added = np.zeros((int(n.sum()), size))
+        step = steps.flatten()
+        if len(step):
+            np.add.at(added, np.repeat(starts, held) + step.field("at").to_numpy() - 1, _matrix(step.field("axis")))
+        for i in range(len(n)):
+            np.cumsum(added[starts[i] : ends[i]], axis=0, out=added[starts[i] : ends[i]])
+        row = np.repeat(np.arange(len(n)), n)
+        length = np.arange(1, len(row) + 1) - starts[row]
+        wanted = length >= 2
+        found = added[wanted]
+        projections = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * size, found.ravel())
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[wanted])), pa.array(length[wanted].astype(np.int32)), projections], [key, "length", "projection"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                n, own = batch.column("n")[i].as_py(), batch.column("steps")[i].as_py()
-                if n < 2:
-                    continue
-                added = np.zeros((n + 1, size))
-                for step in own or ():
-                    added[step["at"]] += step["axis"]
-                sums = np.cumsum(added, axis=0)[2:]
-                keys = batch.column(0).take(pa.array(np.full(n - 1, i)))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(np.arange(2, n + 1, dtype=np.int32)), pa.array(list(sums), pa.list_(pa.float64()))], [key, "length", "projection"])
+            events = np.cumsum(batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64) * max(size, 1)) // _NUMBERS
+            cuts = [0, *(np.flatnonzero(events[1:] != events[:-1]) + 1), batch.num_rows]
+            for start, end in zip(cuts, cuts[1:]):
+                if end > start:
+                    yield part(batch.slice(start, end - start))
 
     rows = sequences.select(key, F.size("acts").alias("n")).join(steps, key, "left")
     return rows.mapInArrow(run, f"{key} {kind}, length int, projection array<double>")
