@@ -48,12 +48,12 @@ def test_equal_sequences_are_projected_once(spark, tmp_path, monkeypatch):
 
 def test_a_weight_stands_for_equal_rows(spark):
     rows = [(1, list("abc"), 3), (2, list("bd"), 1), (3, list("acac"), 2)]
-    distinct = spark.createDataFrame(rows, "id long, acts array<string>, n long")
-    every = distinct.select("id", "acts", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k")).select((F.col("id") * 10 + F.col("k")).alias("id"), "acts")
-    features = ngrams.first_lengths(distinct, "id").join(distinct.select("id", "n"), "id")
+    distinct = spark.createDataFrame(rows, "id long, acts array<string>, n_traces long")
+    every = distinct.select("id", "acts", F.explode(F.sequence(F.lit(1), F.col("n_traces").cast("int"))).alias("k")).select((F.col("id") * 10 + F.col("k")).alias("id"), "acts")
+    features = ngrams.first_lengths(distinct, "id").join(distinct.select("id", "n_traces"), "id")
     few = svd.Settings(svd_components=2)
     planes = []
-    for basis in (svd.svd_basis(features, "id", few, "n"), svd.svd_basis(ngrams.first_lengths(every, "id"), "id", few)):
+    for basis in (svd.svd_basis(features, "id", few, "n_traces"), svd.svd_basis(ngrams.first_lengths(every, "id"), "id", few)):
         axes = np.array([r.axis for r in basis.orderBy("gram").collect()])
         planes.append(axes @ axes.T)
     assert np.allclose(planes[0], planes[1], atol=1e-6)
