@@ -7,7 +7,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tracecast.operators import neighbours, ngrams, router, svd
+from tracecast import storage
+from tracecast.functions import similarity
+from tracecast.operators import footprint, neighbours, ngrams, router, svd
 from tracecast.plans import catalog
 from tracecast.sources import xes
 
@@ -127,3 +129,14 @@ def test_every_log_is_gathered_once(spark, monkeypatch):
     monkeypatch.setattr(catalog, "_traces", lambda log, *a: seen.append(log) or run(log, *a))
     catalog.discovered_replay_query(spark, "/root/testdata/sf0.001").collect()
     assert sorted(seen) == sorted(catalog.LOGS)
+
+
+def test_sorts_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(storage, "ROWS_OF_A_TASK", 20)
+    rows = [("m", i, 1, [1, 2, 3], list("abc"), list("abd") + [str(i)]) for i in range(100)]
+    rows = spark.createDataFrame(rows, "model_id string, variant_id long, n_traces long, fired array<int>, a array<string>, b array<string>").persist()
+    sorted_ = footprint._tall(rows)
+    scored = similarity.score_pairs(rows, "a", "b")
+    assert sorted_.count() == 300 and scored.count() == 100
+    for frame in (sorted_, scored):
+        assert frame.select(F.spark_partition_id().alias("p")).distinct().count() > 4  # the session's shuffle partitions

@@ -10,10 +10,13 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from tracecast.functions.sequences import fingerprint, only_value
+from tracecast.storage import dealt
 
 #: First code of the per-pair alphabet and number of codes below the surrogate range.
 _FIRST_CODE = 0x100
 _CODES = 0xD800 - _FIRST_CODE
+#: Labels that take as much memory as a short row.
+LABELS_OF_A_ROW = 8
 #: Pairs compared in one vectorised pass, at most, and numbers such a pass may hold.
 _CHUNK = 1024
 _NUMBERS = 1 << 23
@@ -116,8 +119,10 @@ def damerau_similarity(a: Column, b: Column) -> Column:
 
 
 def score_pairs(lines: DataFrame, guess: str = "suffix_guessed", truth: str = "suffix") -> DataFrame:
-    """Adds both similarities to every line, computing each distinct pair once."""
+    """Adds both similarities to every line, computing each distinct pair once; ``lines`` is a written table, as it is read twice."""
     keyed = lines.withColumn("pair", F.struct(fingerprint(guess).alias("guess"), fingerprint(truth).alias("truth")))
+    # Labels count: sequences are sorted here, and files of them are split by their compressed size.
+    keyed = dealt(keyed, (F.size(guess) + F.size(truth)) / LABELS_OF_A_ROW + 1, "pair")
     pairs = keyed.groupBy("pair").agg(only_value(guess).alias(guess), only_value(truth).alias(truth))
     scored = pairs.select(
         "pair",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracecast.operators import tree as T
 from tracecast.operators.tree import parent_type
+from tracecast.storage import dealt, materialize
 
 
 def _ancestors(kind: str):
@@ -91,8 +92,9 @@ def _with_counts(touched: DataFrame) -> DataFrame:
 
 
 def _tall(replayed: DataFrame) -> DataFrame:
-    """Fired transitions, laid out so that the windows below need no further shuffle."""
-    return replayed.repartition("model_id", "variant_id").select(
+    """Fired transitions, laid out so that the windows below need no further shuffle; as many partitions as there are transitions to sort."""
+    replayed = materialize(replayed.select("model_id", "variant_id", "n_traces", "fired"), "fired")
+    return dealt(replayed, F.size("fired"), "model_id", "variant_id").select(
         "model_id", "variant_id", "n_traces", F.posexplode("fired").alias("pos", "transition")
     )
 
