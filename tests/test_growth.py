@@ -1,6 +1,7 @@
 """What grows with the tables: equal sequences are worked on once, hot keys are dealt out, files stay small."""
 
 import datetime
+import re
 from pathlib import Path
 
 import numpy as np
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from tracecast import storage
 from tracecast.functions import similarity
 from tracecast.operators import footprint, neighbours, ngrams, router, svd
-from tracecast.plans import catalog
-from tracecast.sources import xes
+from tracecast.plans import catalog, suffix_model
+from tracecast.sources import trees, xes
 
 
 def _lines(spark, tmp_path, texts):
@@ -140,3 +141,19 @@ def test_sorts_are_dealt_by_rows(spark, monkeypatch):
     assert sorted_.count() == 300 and scored.count() == 100
     for frame in (sorted_, scored):
         assert frame.select(F.spark_partition_id().alias("p")).distinct().count() > 4  # the session's shuffle partitions
+
+
+def test_sequences_and_states_are_not_sent_to_the_driver(spark):
+    texts = ["abc", "abcb", "aab", "abc", "bca", "ccab"]
+    cases = spark.createDataFrame([(i, list(t)) for i, t in enumerate(texts)], "case_id long, acts array<string>")
+    models = trees.models_from(spark, {suffix_model.MAIN: ["XorLoop", ["Xor", "a", "b", "c"], None, None]})
+    model = suffix_model.fit(cases.withColumn("model_id", F.lit(suffix_model.MAIN)), models)
+    distinct = suffix_model.distinct_sequences(cases)
+    sequences = distinct.select(F.lit(suffix_model.MAIN).alias("model_id"), "variant_id", "acts", F.array(F.lit(2)).alias("lengths"))
+    scored = suffix_model.variant_lines(distinct, model).withColumn("candidate", F.lit(0))
+    lines = suffix_model.case_lines(cases, distinct, scored)
+    assert sorted((r.case_id, r.length) for r in lines.collect()) == sorted((i, n) for i, t in enumerate(texts) for n in range(2, len(t)))
+    plans = "".join(frame._jdf.queryExecution().sparkPlan().toString() for frame in (model.predict(sequences), lines))
+    merged = {re.sub(r"#\d+L?", "", keys) for keys in re.findall(r"SortMergeJoin \[([^\]]*)\]", plans)}
+    assert merged >= {"model_id, state", "pair", "sequence", "variant_id"}
+    assert not re.search(r"BroadcastHashJoin \[(variant_id|pair|sequence|model_id#\d+, state)", plans)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from tracecast.functions.sequences import fingerprint, only_value
-from tracecast.storage import dealt
+from tracecast.storage import dealt, never_broadcast
 
 #: First code of the per-pair alphabet and number of codes below the surrogate range.
 _FIRST_CODE = 0x100
@@ -129,4 +129,4 @@ def score_pairs(lines: DataFrame, guess: str = "suffix_guessed", truth: str = "s
         damerau_similarity(F.col(guess), F.col(truth)).alias("damerau_similarity"),
         levenshtein_similarity(F.col(guess), F.col(truth)).alias("levenshtein_similarity"),
     )
-    return keyed.join(scored, "pair").drop("pair")
+    return keyed.join(never_broadcast(scored), "pair").drop("pair")

@@ -17,7 +17,7 @@ from tracecast.operators.replay import prefix_states, replay
 from tracecast.operators.traces import suffix_of, trainable, variants
 from tracecast.operators.tree import tree_nodes
 from tracecast.settings import Settings
-from tracecast.storage import materialize
+from tracecast.storage import materialize, never_broadcast
 
 MAIN = "0_0"
 
@@ -38,7 +38,7 @@ class SuffixModel:
         """
         states = materialize(prefix_states(sequences, self.models), "states")
         guesses = continue_states(states, self.models, self.rules, self.settings)
-        return states.join(guesses, ["model_id", "state"]).drop("state")
+        return states.join(never_broadcast(guesses), ["model_id", "state"]).drop("state")
 
     def predict_one(self, prefix: Sequence[str], model_id: str = MAIN) -> list[str]:
         spark = self.models.sparkSession
@@ -72,7 +72,7 @@ def variant_lines(distinct: DataFrame, model: SuffixModel, model_id: str = MAIN)
     sequences = distinct.select(
         F.lit(model_id).alias("model_id"), "variant_id", "acts", F.sequence(F.lit(2), F.size("acts") - 1).alias("lengths")
     )
-    guessed = model.predict(sequences).join(distinct.select("variant_id", "acts"), "variant_id")
+    guessed = model.predict(sequences).join(never_broadcast(distinct.select("variant_id", "acts")), "variant_id")
     return score_pairs(materialize(guessed.withColumn("suffix", suffix_of("acts", "length")), "guessed"))
 
 
@@ -86,9 +86,9 @@ def prediction_lines(test: DataFrame, model: SuffixModel, model_id: str = MAIN,
 def case_lines(test: DataFrame, distinct: DataFrame, scored: DataFrame) -> DataFrame:
     """Gives every case the lines of its sequence."""
     ids = distinct.groupBy(fingerprint("acts").alias("sequence")).agg(only_value("variant_id").alias("variant_id"))
-    cases = test.select("case_id", fingerprint("acts").alias("sequence")).join(ids, "sequence").select("case_id", "variant_id")
+    cases = test.select("case_id", fingerprint("acts").alias("sequence")).join(never_broadcast(ids), "sequence").select("case_id", "variant_id")
     prefix = F.slice("acts", 1, F.col("length"))
-    return cases.join(scored, "variant_id").select(
+    return cases.join(never_broadcast(scored), "variant_id").select(
         "case_id",
         "length",
         prefix.alias("prefix"),
