@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +137,41 @@ def test_blocks_of_several_orders_find_the_near_points(spark, trace_frame):
     assert len(found) == 2 * len(sets)
 
 
+@pytest.mark.parametrize("size, nodes", [(60, 200_000), (60, 100), (150, 200_000)])
+def test_results_do_not_depend_on_the_size_of_blocks(spark, trace_frame, monkeypatch, size, nodes):
+    points, weights, sets = random_points(spark, trace_frame, 7, 300, "abcdef")
+    points, small, sizes = points.persist(), neighbours.BlockSettings(points=size), [2, 4]
+    monkeypatch.setattr(neighbours, "thinned", lambda edges, parts, settings, run=neighbours.thinned: run(edges, parts, settings, nodes))
+    assert len(sets) > 1.3 * size
+    core = lambda *blocks: {r.point: r.cores for r in neighbours.core_distances(points, [1, 3], *blocks).collect()}
+    assert core(small) == core()
+    labels = lambda *blocks: sorted((r.candidate, r.point, r.label or -1, r.exemplar) for r in C.labels_of(points, sizes, *blocks).collect())
+    assert labels(small) == labels()
+
+
+def test_any_two_points_meet_in_a_block(spark):
+    points = spark.range(40).select(F.col("id").alias("point"), F.array("id").alias("items"))
+
+    def pairs(block):
+        held = block.column("point").to_pylist()
+        assert len(held) <= 3 * 10
+        yield pa.RecordBatch.from_arrays([pa.array([a for a in held for _ in held]), pa.array(held * len(held))], ["a", "b"])
+
+    met = {(r.a, r.b) for r in neighbours.in_blocks(points, pairs, "a long, b long", neighbours.BlockSettings(points=10)).collect()}
+    assert met == {(a, b) for a in range(40) for b in range(40)}
+
+
+def test_thinned_edges_span_at_the_least_cost(spark):
+    rng = random.Random(8)
+    edges = [(2, a, b, rng.randint(1, 9)) for a in range(60) for b in range(a) if rng.random() < 0.3]
+    found = neighbours.thinned(spark.createDataFrame(edges, neighbours.FOREST), 20, neighbours.BlockSettings(points=6)).collect()
+    w = np.full((60, 60), 99, np.int32)
+    for _, a, b, level in edges:
+        w[a, b] = w[b, a] = level
+    assert len(found) == 59 and sum(r.level for r in found) == neighbours.least_tree(lambda i: w[i], 60)[2].sum()
+    assert {(r.candidate, r.a, r.b, r.level) for r in found} <= set(edges)
+
+
 def test_least_trees_span_at_the_least_cost():
     rng = random.Random(3)
     for n in (2, 3, 30):
