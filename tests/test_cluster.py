@@ -231,6 +231,28 @@ def test_soft_membership_against_its_definition(spark, trace_frame):
     assert all(abs(found[k] - expected[k]) < 1e-9 for k in found)
 
 
+def test_a_point_belongs_to_all_clusters(spark, monkeypatch):
+    sets = {i: set(range(i % 7 + 1)) | {100 + i} for i in range(30)}
+    points = spark.createDataFrame([(i, 1, sorted(s)) for i, s in sets.items()], "point long, weight long, items array<long>")
+    labels = [(c, i, i - i % k if i < 20 * k else None, i < 20 * k) for c, k in ((2, 1), (5, 2)) for i in range(30)]
+    labels = spark.createDataFrame(labels, "candidate int, point long, label long, exemplar boolean")
+    want = {}
+    for size, k in ((2, 1), (5, 2)):
+        for p in sets:
+            near = {}
+            for q in range(min(30, 20 * k)):
+                near[q - q % k] = min(near.get(q - q % k, 99), len(sets[p] ^ sets[q]))
+            shares = {c: float(d == 0) if not min(near.values()) else 1 / d for c, d in near.items()}
+            want |= {(size, p, c): x / sum(shares.values()) for c, x in shares.items() if x}
+    assert sum(size == 2 and p == 29 for size, p, _ in want) == 20
+    for numbers, rows in ((1 << 23, 10_000), (100, 3)):
+        monkeypatch.setattr(neighbours, "_NUMBERS", numbers)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        found = {(r.candidate, r.point, r.cluster): r.prob for r in C.soft_membership(points, labels, [2, 5]).collect()}
+        assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in found)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_cluster_without_strong_member_takes_its_best(spark):
     rows = spark.createDataFrame(
         [(2, "c", 5, 1, 0.1), (2, "c", 7, 1, 0.15), (2, "d", 5, 1, 0.9)],
