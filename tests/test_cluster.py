@@ -330,6 +330,18 @@ def test_a_classifier_sees_no_more_rows_than_asked(spark):
     assert route(labelled.select("variant_id", "acts"), few).count() > 0
 
 
+def test_classifiers_and_routes_know_the_variants_of_largest_hash(spark):
+    """The cluster of the last ten of 2,020 variants, by the order they are drawn in."""
+    drawn = spark.range(2020).withColumn("draw", F.xxhash64("id", F.lit(Settings().seed))).orderBy("draw", "id").collect()
+    late = {r.id for r in drawn[-10:]}
+    rows = [(2, 7 if i in late else i % 2, i, ["z", "y", "z"] if i in late else ["a", "ab"[i % 2], "b"]) for i in range(2020)]
+    labelled = spark.createDataFrame(rows, "candidate int, cluster_id long, variant_id long, acts array<string>")
+    router = train_router(labelled, 3)
+    assert {(r.length, tuple(r.clusters)) for r in router.models.collect()} == {(2, (0, 1, 7)), (3, (0, 1, 7))}
+    asked = spark.createDataFrame([(1, ["z", "y", "z"]), (2, ["a", "b", "b"])], "variant_id long, acts array<string>")
+    assert {r.variant_id: r.cluster_id for r in route(asked, router).collect()} == {1: 7, 2: 1}
+
+
 def matrix(texts):
     names = sorted(set().union(*(grams(t.split("-")) for t in texts)))
     return np.array([[g in grams(t.split("-")) for g in names] for t in texts], dtype=float)
